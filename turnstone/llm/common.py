@@ -148,7 +148,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarr
         if b - a >= width:
             out.append(np.unique(acc[a : b - width + 1]))
         elif b > a:
-            out.append(mix((words[a:b] * factors[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * _P).reshape(1))
+            out.append(mix(np.array([b - a], np.uint64) * _P + (words[a:b] * factors[: b - a]).sum(dtype=np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .packing import op2_packing
+from .partenum import OP6_SQL, op6_ngram_jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op9_exact_dedup": OP9_SQL}
