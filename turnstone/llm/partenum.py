@@ -399,9 +399,9 @@ s AS (
   FROM w),
 c AS (SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
 e AS (SELECT rep, n, unnest(sh) AS g FROM c),
-p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS both FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS common FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
 l AS (
-  SELECT x, y FROM p JOIN c a ON a.rep = x JOIN c b ON b.rep = y WHERE 100 * both >= 85 * (a.n + b.n - both)),
+  SELECT x, y FROM p JOIN c a ON a.rep = x JOIN c b ON b.rep = y WHERE 100 * common >= 85 * (a.n + b.n - common)),
 u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT x AS node, x AS seen FROM u UNION SELECT r.node, u.y FROM r JOIN u ON r.seen = u.x),
 m AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
