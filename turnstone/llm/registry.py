@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .packing import op2_packing
 from .partenum import OP6_SQL, op6_ngram_jaccard_join
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
