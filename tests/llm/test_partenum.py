@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from turnstone.llm import partenum
 from turnstone.llm.common import shingles
@@ -20,6 +21,20 @@ def test_similar_sets_share_a_signature():
                 assert len(np.intersect1d(partenum.signatures(a, num, den), partenum.signatures(b, num, den)))
 
 
+def test_reduced_sets_lose_no_similar_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        n = int(rng.choice([rng.integers(1, 60), rng.integers(1500, 2600), 9000]))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.r_[rng.permutation(a)[: n - int(rng.integers(0, n // 8 + 1))], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)])
+        if partenum._similar(a, b, 85, 100):
+            low = []
+            for x in (a, b):
+                batch = pa.record_batch([pa.array([1]), pa.array([x.tobytes()], pa.binary())], ["id", "features"])
+                low.append(next(partenum._reduce(iter([batch]))).column(1)[0].as_py())
+            assert partenum._may_be_similar(*low, 85, 100)
+
+
 def test_poor_sets_share_a_prefix():
     # features chosen so that second-level partitions are empty
     base = np.arange(1, 60, dtype=np.uint64) << np.uint64(40)

@@ -23,7 +23,7 @@ from .common import binary_column, discard, in_ids, materialize, mix, not_in_ids
 from .components import connected_components
 
 #: Buckets with more sets than this are checked by a star and then by blocks, not pair by pair.
-SMALL_BUCKET = 16
+SMALL_BUCKET = 32
 #: Sets, and features of sets, on one side of a block.
 BLOCK_SETS, BLOCK_FEATURES = 512, 1_000_000
 RUNS = 64
@@ -176,7 +176,42 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _check_stars(num: int, den: int):
+def _low_bits(features: np.ndarray, bits: int) -> np.ndarray:
+    """The distinct values of the features' low bits, sorted."""
+    return np.unique(features.astype(np.uint16 if bits == 16 else np.uint32))
+
+
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as the low bits of their features, 16 of them for small sets and 32 for others, after the size."""
+    for batch in batches:
+        out = []
+        for raw in batch.column(1).to_pylist():
+            x = np.frombuffer(raw, np.uint64)
+            low = _low_bits(x, 16 if len(x) < 2048 else 32)
+            out.append(len(x).to_bytes(4, "little") + low.tobytes())
+        yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["id", "features"])
+
+
+def _may_be_similar(a: bytes, b: bytes, num: int, den: int) -> bool:
+    """Of two reduced sets: False only if the sets are not similar, as equal features have equal low bits."""
+    (na, x), (nb, y) = ((int.from_bytes(r[:4], "little"), r[4:]) for r in (a, b))
+    if num * max(na, nb) > den * min(na, nb):
+        return False
+    x, y = (np.frombuffer(r, np.uint16 if n < 2048 else np.uint32) for n, r in ((na, x), (nb, y)))
+    if x.dtype != y.dtype:
+        x, y = _low_bits(x, 16), _low_bits(y, 16)
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    most = int((large[at] == small).sum()) + min(na - len(x), nb - len(y))
+    return den * most >= num * (na + nb - most)
+
+
+def _are_similar(a: bytes, b: bytes, num: int, den: int) -> bool:
+    return _similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), num, den)
+
+
+def _check_stars(test, num: int, den: int):
     """Rows sorted by (a, block, role): the set of a comes before those it is held against."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +219,9 @@ def _check_stars(num: int, den: int):
         for batch in batches:
             out = []
             for a, i, role, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "id", "role", "features")), strict=True):
-                x = np.frombuffer(raw, np.uint64)
                 if role == 0:
-                    hub, hub_set = a, x
-                elif hub == a and _similar(hub_set, x, num, den):
+                    hub, hub_set = a, raw
+                elif hub == a and test(hub_set, raw, num, den):
                     out.append((a, i))
             yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -255,11 +289,11 @@ def _check_blocks(num: int, den: int):
 
 
 def _fetch_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    return materialize(in_ids(texts, ids, "id").mapInArrow(_sets(width), "id long, features binary").dropDuplicates(["id"]), "sets")
+    return materialize(in_ids(texts, ids, "id").mapInArrow(_sets(width), "id long, features binary"), "sets")
 
 
-def _verify_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int, block: int = 256) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. A hub's partners are dealt into blocks; each gets the hub's set once."""
+def _hold_against(pairs: DataFrame, sets: DataFrame, test, num: int, den: int, block: int = 256) -> DataFrame:
+    """The pairs (a, b) that pass test. A hub's partners are dealt into blocks; each block gets the hub's set once."""
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
     rows = dealt.select("a", "block", F.col("b").alias("id"), F.lit(1).alias("role")).unionByName(
@@ -269,10 +303,17 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int, block:
         rows.join(sets, "id")
         .repartition("a", "block")
         .sortWithinPartitions("a", "block", "role")
-        .mapInArrow(_check_stars(num, den), "a long, b long")
+        .mapInArrow(_check_stars(test, num, den), "a long, b long")
     )
 
 
+def _verify_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sets are similar: reduced sets rule most others out, whole sets decide."""
+    reduced = sets.mapInArrow(_reduce, "id long, features binary")
+    maybe = materialize(_hold_against(pairs, reduced, _may_be_similar, num, den), "maybe")
+    return _hold_against(maybe, sets, _are_similar, num, den)
+
+
 def _verify_large(large: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
     """Links between different components inside the large buckets (sig, rep, n), blocks against blocks.
 
