@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .packing import op2_packing
 from .partenum import OP6_SQL, op6_ngram_jaccard_join
+from .pii import op3_pii
 from .toxicity import op1_toxicity
+from .warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_pii": op3_pii,
+    "op4_warc": op4_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
 }
