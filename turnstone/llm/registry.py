@@ -10,6 +10,7 @@ from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .packing import op2_packing
 from .partenum import OP6_SQL, op6_ngram_jaccard_join
 from .pii import op3_pii
+from .rp_forest import op10_rp_forest
 from .toxicity import op1_toxicity
 from .warc import op4_warc
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_rp_forest": op10_rp_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op9_exact_dedup": OP9_SQL}
