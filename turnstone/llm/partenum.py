@@ -26,7 +26,11 @@ from .components import connected_components
 SMALL_BUCKET = 32
 #: Sets, and features of sets, on one side of a block.
 BLOCK_SETS, BLOCK_FEATURES = 512, 1_000_000
+#: Large buckets that share members are one group if it has no more sets than this, else each is on its own.
+GROUP_SETS = 8192
 RUNS = 64
+#: Rows with an equal set of a smaller identifier that are broadcast to leave them out, at most.
+COPIES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -317,8 +321,21 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 def _verify_large(large: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
     """Links between different components inside the large buckets (sig, rep, n), blocks against blocks.
 
-    After the stars most members of a bucket are in one component. Only the others are held against all its members.
+    A group of near copies fills many buckets with much the same members, so buckets that share members are taken
+    together, up to GROUP_SETS sets. After the stars most members of a bucket or group may be in one component; only
+    the others are held against all its members.
     """
+    lead = large.groupBy("sig").agg(F.min("rep").alias("lead"))
+    large = large.join(lead, "sig")
+    groups = connected_components(large.select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+    large = large.join(groups.select(F.col("id").alias("lead"), F.col("component").alias("group")), "lead")
+    together = materialize(large.select("group", "rep", "n").distinct(), "groups")
+    count = together.groupBy("group").agg(F.count("*").alias("sets"))
+    few, many = count.where(F.col("sets") <= GROUP_SETS).select("group"), count.where(F.col("sets") > GROUP_SETS).select("group")
+    large = (
+        together.join(few, "group").select(F.col("group").alias("sig"), "rep", "n")
+        .unionByName(large.join(many, "group").select("sig", "rep", "n"))
+    )
     parts = connected_components(links)
     rows = large.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(
         "sig", "rep", "n", F.coalesce("component", "rep").alias("part")
@@ -386,8 +403,11 @@ def ngram_jaccard_components(
     members = materialize(
         slim.join(back, ["run", "d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members"
     )
+    # an equal set's signatures say nothing new; where such rows are too many to broadcast, later steps drop theirs
+    copies = materialize(members.where("rep <> id").select("id").distinct(), "same")
+    alone = not_in_ids(texts, copies, "id") if copies.limit(COPIES + 1).count() <= COPIES else texts
     shared = (
-        texts.where("id IS NOT NULL")
+        alone.where("id IS NOT NULL")
         .mapInArrow(_sign(width, num, den), "sig long, id long")
         .repartition("sig")
         .sortWithinPartitions("sig", "id")
