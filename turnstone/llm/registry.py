@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .licenses import op7_license_scan
+from .ordinal import op8_quality
 from .packing import op2_packing
 from .partenum import OP6_SQL, op6_ngram_jaccard_join
 from .pii import op3_pii
@@ -20,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_license_scan": op7_license_scan,
+    "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_rp_forest": op10_rp_forest,
 }
