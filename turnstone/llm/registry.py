@@ -13,6 +13,7 @@ from .packing import op2_packing
 from .partenum import OP6_SQL, op6_ngram_jaccard_join
 from .pii import op3_pii
 from .rp_forest import op10_rp_forest
+from .sp_sampling import op5_sp_sampling
 from .toxicity import op1_toxicity
 from .warc import op4_warc
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
+    "op5_sp_sampling": op5_sp_sampling,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_license_scan": op7_license_scan,
     "op8_quality": op8_quality,
