@@ -90,9 +90,15 @@ def test_matches_brute_force_in_small_and_large_buckets(spark):
     rows = list(enumerate(corpus(7, 260)))
     rows += [(900, None), (901, ""), (902, " \t\x0b "), (903, "One"), (904, "one"), (905, "ONE two three"), (906, "x\x1cy z"), (907, "é É")]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, sig string, n int").repartition(5)
-    for width, num, den, small in ((4, 85, 100, 16), (4, 85, 100, 1), (5, 8, 10, 2)):
-        got = partenum.ngram_jaccard_components(docs, width=width, num=num, den=den, small_bucket=small)
+    for width, num, den, small, most in ((4, 85, 100, 16, 8192), (4, 85, 100, 1, 3), (5, 8, 10, 4, 0)):
+        got = partenum.ngram_jaccard_components(docs, width=width, num=num, den=den, small_bucket=small, group_sets=most)
         assert sorted(map(tuple, got.collect())) == brute(rows, width, num, den)
+    partenum.BLOCK_SETS, before = 8, partenum.BLOCK_SETS
+    try:
+        got = partenum.ngram_jaccard_components(docs)
+        assert sorted(map(tuple, got.collect())) == brute(rows, 4, 85, 100)
+    finally:
+        partenum.BLOCK_SETS = before
     kept = partenum.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, c in brute(rows, 5, 8, 10) if i == c]

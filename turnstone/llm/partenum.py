@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import binary_column, discard, in_ids, materialize, mix, not_in_ids, read, shingles, signed, spread, text_slices
 from .components import connected_components
 
-#: Buckets with more sets than this are checked by a star and then by blocks, not pair by pair.
+#: In groups of more than GROUP_SETS sets, larger buckets are checked by a star and then by blocks, not pair by pair.
 SMALL_BUCKET = 32
 #: Sets, and features of sets, on one side of a block.
 BLOCK_SETS, BLOCK_FEATURES = 512, 1_000_000
-#: Large buckets that share members are one group if it has no more sets than this, else each is on its own.
+#: Sets that shared signatures connect are one group if they are no more than this, else each bucket is on its own.
 GROUP_SETS = 8192
 RUNS = 64
 #: Rows with an equal set of a smaller identifier that are broadcast to leave them out, at most.
@@ -232,28 +232,29 @@ def _check_stars(test, num: int, den: int):
     return run
 
 
-def _block_links(left: list, right: list, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between left and right: lists of (id, features)."""
-    sets = [x for _, x in left + right]
-    n0, sizes = len(left), np.array([len(x) for x in sets], np.int64)
+def _block_links(items: list[tuple[int, int, np.ndarray]], same: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among items (id, side, features): all of them, or those between the sides."""
+    sides, sets = np.array([x[1] for x in items]), [x[2] for x in items]
+    sizes = np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     all_features = np.concatenate(sets)
     order = np.argsort(all_features, kind="stable")
     f, owner = all_features[order], owner[order]
-    new = np.r_[True, f[1:] != f[:-1]]
-    number = np.cumsum(new) - 1
+    number = np.cumsum(np.r_[True, f[1:] != f[:-1]]) - 1
     shared = np.bincount(number)[number] > 1
     owner, number = owner[shared], number[shared]
-    number = np.searchsorted(np.unique(number), number)
-    both = np.zeros((n0, len(sets) - n0), np.int64)
+    number = np.unique(number, return_inverse=True)[1]
+    both = np.zeros((len(sets), len(sets)), np.float32)
     for start in range(0, int(number.max()) + 1 if len(number) else 0, 4096):
         a, b = np.searchsorted(number, [start, start + 4096])
-        m = np.zeros((len(sets), 4096), np.float32)
+        m = np.zeros((len(sets), min(4096, int(number.max()) + 1 - start)), np.float32)
         m[owner[a:b], number[a:b] - start] = 1
-        both += (m[:n0] @ m[n0:].T).astype(np.int64)
-    link = den * both >= num * (sizes[:n0, None] + sizes[None, n0:] - both)
-    link &= sizes[:n0, None] > 0
-    ids = [i for i, _ in left + right]
+        both += m @ m.T
+    both = both.astype(np.int64)
+    link = np.triu(den * both >= num * (sizes[:, None] + sizes[None, :] - both), 1)
+    if not same:
+        link &= sides[:, None] != sides[None, :]
+    ids = [x[0] for x in items]
     parent = list(range(len(ids)))
 
     def find(x: int) -> int:
@@ -264,19 +265,22 @@ def _block_links(left: list, right: list, num: int, den: int) -> list[tuple[int,
 
     out = []
     for p, q in zip(*np.nonzero(link), strict=True):
-        x, y = find(int(p)), find(n0 + int(q))
-        if x != y and ids[p] != ids[n0 + q]:
+        x, y = find(int(p)), find(int(q))
+        if x != y:
             parent[y] = x
-            out.append((ids[p], ids[n0 + q]))
+            if ids[p] != ids[q]:
+                out.append((ids[p], ids[q]))
     return out
 
 
-def _check_blocks(num: int, den: int):
+def _check_blocks(num: int, den: int, sided: bool):
+    """Rows sorted by (sig, i, j); sided: between roles 0 and 1 only, else between blocks, or all of one block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides = None, ([], [])
+        key, items = None, []
 
         def flush() -> pa.RecordBatch:
-            out = _block_links(*sides, num, den) if sides[0] and sides[1] else []
+            out = _block_links(items, not sided and key[1] == key[2], num, den) if len(items) > 1 else []
             return pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -284,14 +288,49 @@ def _check_blocks(num: int, den: int):
                 if at != key:
                     if key is not None:
                         yield flush()
-                    key, sides = at, ([], [])
-                sides[side].append((i, np.frombuffer(raw, np.uint64)))
+                    key, items = at, []
+                if raw:
+                    items.append((i, side, np.frombuffer(raw, np.uint64)))
         if key is not None:
             yield flush()
 
     return run
 
 
+def _sets_of(width: int, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, offsets in text_slices(batch.column(len(columns))):
+                sets = shingles(data, offsets, width)
+                yield pa.record_batch([*(batch.column(k).slice(row, len(sets)) for k in range(len(columns))), binary_column(sets)], [*columns, "features"])
+
+    return run
+
+
+def _blocks(m, f):
+    return F.greatest(F.ceil(m / BLOCK_SETS), F.ceil(f / BLOCK_FEATURES)).cast("int")
+
+
+def _verify_groups(groups: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links within groups (group, rep, n), each block of a group against each. A set goes once to each pair of blocks.
+
+    The texts are joined with where they are needed, by broadcast up to COPIES places (counted first), and their
+    sets worked out again; so only sets of candidates are shuffled, once.
+    """
+    shape = groups.groupBy("group").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("role")).alias("i"), F.greatest(k, F.col("role")).alias("j"))))
+    dealt = groups.join(shape, "group").select("group", "rep", "blocks", block.alias("role")).withColumn("pair", pair)
+    dealt = materialize(dealt.select(F.col("group").alias("sig"), "pair.i", "pair.j", "role", F.col("rep").alias("id")), "dealt")
+    rows = texts.join(F.broadcast(dealt) if dealt.count() <= COPIES else dealt, "id").select(*dealt.columns, "text")
+    return (
+        rows.mapInArrow(_sets_of(width, dealt.columns), "sig long, i int, j int, role int, id long, features binary")
+        .repartition("sig", "i", "j")
+        .sortWithinPartitions("sig", "i", "j", "id")
+        .mapInArrow(_check_blocks(num, den, False), "a long, b long")
+    )
+
+
 def _fetch_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return materialize(in_ids(texts, ids, "id").mapInArrow(_sets(width), "id long, features binary"), "sets")
 
@@ -318,24 +357,11 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     return _hold_against(maybe, sets, _are_similar, num, den)
 
 
-def _verify_large(large: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
+def _verify_large(large: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between different components inside the large buckets (sig, rep, n), blocks against blocks.
 
-    A group of near copies fills many buckets with much the same members, so buckets that share members are taken
-    together, up to GROUP_SETS sets. After the stars most members of a bucket or group may be in one component; only
-    the others are held against all its members.
+    After the stars most members of a bucket are in one component; only the others are held against all its members.
     """
-    lead = large.groupBy("sig").agg(F.min("rep").alias("lead"))
-    large = large.join(lead, "sig")
-    groups = connected_components(large.select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-    large = large.join(groups.select(F.col("id").alias("lead"), F.col("component").alias("group")), "lead")
-    together = materialize(large.select("group", "rep", "n").distinct(), "groups")
-    count = together.groupBy("group").agg(F.count("*").alias("sets"))
-    few, many = count.where(F.col("sets") <= GROUP_SETS).select("group"), count.where(F.col("sets") > GROUP_SETS).select("group")
-    large = (
-        together.join(few, "group").select(F.col("group").alias("sig"), "rep", "n")
-        .unionByName(large.join(many, "group").select("sig", "rep", "n"))
-    )
     parts = connected_components(links)
     rows = large.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(
         "sig", "rep", "n", F.coalesce("component", "rep").alias("part")
@@ -347,13 +373,9 @@ def _verify_large(large: DataFrame, links: DataFrame, sets: DataFrame, num: int,
         .agg(F.max_by("part", F.struct("m", "part")).alias("major"), F.max(F.struct("m", "part", "f")).alias("top"), F.sum("m").alias("m"), F.sum("f").alias("f"), F.count("*").alias("parts"))
         .where("parts > 1")
     )
-
-    def blocks(m, f):
-        return F.greatest(F.ceil(m / BLOCK_SETS), F.ceil(f / BLOCK_FEATURES)).cast("int")
-
     shape = shape.select(
-        "sig", "major", blocks(F.col("m"), F.col("f")).alias("nj"),
-        blocks(F.col("m") - F.col("top.m"), F.col("f") - F.col("top.f")).alias("ni"),
+        "sig", "major", _blocks(F.col("m"), F.col("f")).alias("nj"),
+        _blocks(F.col("m") - F.col("top.m"), F.col("f") - F.col("top.f")).alias("ni"),
     )
     rows = rows.join(shape, "sig")
     dealt = rows.where("part <> major").select(
@@ -369,10 +391,31 @@ def _verify_large(large: DataFrame, links: DataFrame, sets: DataFrame, num: int,
         dealt.join(sets, "id")
         .repartition("sig", "i", "j")
         .sortWithinPartitions("sig", "i", "j")
-        .mapInArrow(_check_blocks(num, den), "a long, b long")
+        .mapInArrow(_check_blocks(num, den, True), "a long, b long")
     )
 
 
+def _verify_buckets(sized: DataFrame, texts: DataFrame, width: int, num: int, den: int, small_bucket: int) -> DataFrame:
+    """Links within buckets (sig, rep, n, m, lead) whose group is too large to be taken as a whole.
+
+    Pairs of small buckets are checked one by one; in a larger bucket all members are held against its smallest one,
+    and then those outside its largest component against all, in blocks.
+    """
+    little, large = sized.where(F.col("m") <= small_bucket), sized.where(F.col("m") > small_bucket)
+    x = little.select("sig", F.col("rep").alias("a"), F.col("n").alias("na"))
+    y = little.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    fits = (F.greatest("na", "nb") * num <= F.least("na", "nb") * den) & (F.col("a") < F.col("b"))
+    pairs = x.join(y, "sig").where(fits).select("a", "b")
+    stars = large.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    pairs = materialize(pairs.unionByName(stars).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select(F.col("rep").alias("id"))).distinct()
+    sets = _fetch_sets(texts, materialize(wanted, "wanted"), width)
+    links = materialize(_verify_pairs(pairs, sets, num, den), "links")
+    if large.limit(1).count():
+        links = links.unionByName(materialize(_verify_large(large.select("sig", "rep", "n"), links, sets, num, den), "links"))
+    return links
+
+
 def ngram_jaccard_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -381,6 +424,7 @@ def ngram_jaccard_components(
     num: int = 85,
     den: int = 100,
     small_bucket: int = SMALL_BUCKET,
+    group_sets: int = GROUP_SETS,
 ) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row: documents linked by a Jaccard similarity of num/den or more.
 
@@ -390,9 +434,9 @@ def ngram_jaccard_components(
     their component; a null identifier links with nothing and has a null component. Other columns are not read. An
     empty table gives an empty result.
 
-    Equal sets become one class first. Signatures that one class alone has are dropped where they meet. Pairs of
-    small buckets are checked one by one; in a larger bucket all members are held against its smallest one, and then
-    those outside its largest component against all, in blocks. So no pair is lost and no group meets in one task.
+    Equal sets become one class first. Signatures that one class alone has are dropped where they meet. Classes that
+    a chain of shared signatures connects are a group; a group of up to group_sets sets is compared as a whole, in
+    blocks, a larger one bucket by bucket. So no pair is lost and no group meets in one task.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     slim = materialize(texts.mapInArrow(_describe(width), "id long, n long, d1 long, d2 long").withColumn("run", spread("id", RUNS)), "shingles")
@@ -416,24 +460,19 @@ def ngram_jaccard_components(
     buckets = shared.join(members.where("rep IS NOT NULL"), "id").select("sig", "rep", "n").distinct()
     buckets = materialize(buckets, "buckets")
     sizes = buckets.groupBy("sig").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).where("m > 1")
-    buckets_sized = materialize(buckets.join(sizes, "sig"), "sized")
+    sized = materialize(buckets.join(sizes, "sig"), "sized")
     discard(buckets)
-    little, large = buckets_sized.where(F.col("m") <= small_bucket), buckets_sized.where(F.col("m") > small_bucket)
-    x = little.select("sig", F.col("rep").alias("a"), F.col("n").alias("na"))
-    y = little.select("sig", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    fits = (F.greatest("na", "nb") * num <= F.least("na", "nb") * den) & (F.col("a") < F.col("b"))
-    pairs = x.join(y, "sig").where(fits).select("a", "b")
-    stars = large.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    pairs = materialize(pairs.unionByName(stars).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select(F.col("rep").alias("id"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    sets = _fetch_sets(texts, wanted, width)
-    links = materialize(_verify_pairs(pairs, sets, num, den), "links")
+    groups = connected_components(sized.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+    groups = materialize(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "groups")
+    large = groups.groupBy("group").count().where(F.col("count") > group_sets).select("group")
+    large = materialize(large, "large")
+    small = groups.join(large, "group", "left_anti").join(members.where("id = rep").select("rep", "n").distinct(), "rep")
+    links = materialize(_verify_groups(small.select("group", "rep", "n"), texts, width, num, den), "links")
     if large.limit(1).count():
-        more = materialize(_verify_large(large.select("sig", "rep", "n"), links, sets, num, den), "links")
-        links = links.unionByName(more)
+        rest = sized.join(groups.join(large, "group").select("rep"), "rep", "left_semi")
+        links = links.unionByName(_verify_buckets(rest, texts, width, num, den, small_bucket))
     parts = connected_components(links)
-    discard(pairs, wanted, sets, buckets_sized, slim)
+    discard(sized, slim)
     return members.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id")
     )
