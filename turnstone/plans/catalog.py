@@ -1,7 +1,9 @@
-"""The engine's queries over the driver's tables, with their SQL."""
+"""All of the engine's queries over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "hybrid_topic_retrieval"
+from turnstone.plans import olap, rank_queries, sequence_queries, store_queries, stream_queries, text_queries  # noqa: F401
+from turnstone.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
+FLAGSHIP = "v6_hybrid_topic_retrieval"
