@@ -24,6 +24,8 @@ CANDIDATES, TERMS = 20_000, 400
 PREFIXES = range(4, 9)
 #: Least likelihood ratio (G squared) and log odds of a term.
 LEAST_G2, LEAST_WEIGHT = 15.0, 1.0
+#: Occurrences that count in a text, at most; texts that repeat a term say more than those with it once.
+REPEATS = 3
 #: Used without labels, and beside learned terms.
 SEED_LEXICON = {"idiot": 3.0, "moron": 3.0, "stupid": 2.0, "scum": 3.0, "worthless": 2.0, "pathetic": 2.0, "disgusting": 1.5}
 #: A match inside one of these does not count.
@@ -132,18 +134,19 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def _count_terms(only: frozenset[str] | None):
-    """Of rows (toxic, text): (term, toxic, docs, n) for each task; term null counts documents."""
+    """Of rows (toxic, text): (term, docs, hits) for each task; hits are up to REPEATS of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        docs: Counter = Counter()
+        hits: Counter = Counter()
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(1).to_pylist():
                 found = terms(fold(text or "").split())
-                docs[toxic].update(found.keys() if only is None else found.keys() & only)
-                docs[toxic][None] += 1
-        for toxic, c in docs.items():
-            if c:
-                yield pa.record_batch([pa.array(list(c.keys()), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["term", "toxic", "docs"])
+                for t in found if only is None else found.keys() & only:
+                    docs[t] += 1
+                    hits[t] += min(found[t], REPEATS)
+        names = list(docs)
+        yield pa.record_batch([pa.array(names, pa.string()), pa.array([docs[t] for t in names], pa.int64()), pa.array([hits[t] for t in names], pa.int64())], ["term", "docs", "hits"])
 
     return run
 
@@ -159,7 +162,10 @@ def g2(a: int, n: int, b: int, m: int) -> float:
 
 
 def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """counts: term to its documents among the toxic and the clean. Of terms that contain each other one stays."""
+    """counts: term to its hits among the toxic and the clean; toxic, clean: hits there could be.
+
+    Of terms that begin each other one stays.
+    """
     scored = []
     for t, (a, b) in counts.items():
         w = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
@@ -191,15 +197,17 @@ def fit_toxicity(
     train = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(id_col, F.col(label_col).cast("int").alias("y"))
     train = train.groupBy(id_col).agg(F.max("y").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     sample = materialize(docs.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(train), id_col).select("y", "t"), "train")
-    counted = sample.where("y = 1").mapInArrow(_count_terms(None), "term string, toxic int, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-    top = counted.where("term IS NOT NULL AND docs >= 3").orderBy(F.desc("docs"), "term").limit(CANDIDATES).collect()
-    total = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    schema = "term string, docs long, hits long"
+    both = F.sum("docs").alias("docs"), F.sum("hits").alias("hits")
+    counted = sample.where("y = 1").mapInArrow(_count_terms(None), schema).groupBy("term").agg(*both)
+    top = counted.where("docs >= 3").orderBy(F.desc("docs"), "term").limit(CANDIDATES).collect()
+    total = {r.y: r.n * REPEATS for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     lexicon = dict()
     if total.get(0) and total.get(1):
         wanted = frozenset(r.term for r in top)
-        clean = sample.where("y = 0").mapInArrow(_count_terms(wanted), "term string, toxic int, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-        seen = {r.term: r.docs for r in clean.where("term IS NOT NULL").collect()}
-        lexicon = choose_terms({r.term: (r.docs, seen.get(r.term, 0)) for r in top}, total[1], total[0])
+        clean = sample.where("y = 0").mapInArrow(_count_terms(wanted), schema).groupBy("term").agg(*both)
+        seen = {r.term: r.hits for r in clean.collect()}
+        lexicon = choose_terms({r.term: (r.hits, seen.get(r.term, 0)) for r in top}, total[1], total[0])
     for w, weight in SEED_LEXICON.items():
         if not any(w.startswith(t.rstrip()) for t in lexicon):
             lexicon[w + " "] = weight
