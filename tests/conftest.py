@@ -5,7 +5,9 @@ from pathlib import Path
 import pytest
 
 os.environ.setdefault("TZ", "UTC")
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+ROOT = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}".rstrip(":")
 
 
 @pytest.fixture(scope="session")
