@@ -29,6 +29,9 @@ BLOCK_SETS, BLOCK_FEATURES = 512, 1_000_000
 #: Sets that shared signatures connect are one group if they are no more than this, else each bucket is on its own.
 GROUP_SETS = 8192
 RUNS = 64
+#: A feature that so many sets of a task's window of FREQUENT_WINDOW features share is counted; of those counted so
+#: often in all, at most FREQUENT_MOST, the commonest, are left out of the signatures.
+FREQUENT_LOCAL, FREQUENT_TOTAL, FREQUENT_WINDOW, FREQUENT_MOST = 4, 16, 4_000_000, 500_000
 #: Rows with an equal set of a smaller identifier that are broadcast to leave them out, at most.
 COPIES = 1_000_000
 
@@ -69,20 +72,34 @@ def bands(num: int, den: int, most: int) -> tuple[Plan, ...]:
 _TAG = np.uint64(0xD1B54A32D192ED03)
 
 
-def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
+_NONE = np.zeros(0, np.uint64)
+
+
+def signatures(features: np.ndarray, num: int, den: int, frequent: np.ndarray = _NONE) -> np.ndarray:
     """All signatures of one set (sorted distinct 64-bit hashes).
 
-    Two different sets with a similarity of num/den or more share one. An empty projection gives none; a set with more
-    empty ones than its band's slack adds the signatures of a prefix filter, which two such sets share.
+    Two different sets with a similarity of num/den or more share one. Features in frequent (sorted) are left out of
+    the partitions, for every set alike: what is left of two sets differs in no more features than the sets do. An
+    empty projection gives no signature; a set with more empty ones than its band's slack adds the signatures of a
+    prefix filter, which two such sets share. Its order takes the frequent features last.
     """
     n = len(features)
-    out, poor = [], False
+    out, poor, whole = [], False, features
+    if len(frequent):
+        at = np.searchsorted(frequent, features)
+        at[at == len(frequent)] = 0
+        common = frequent[at] == features
+        features = features[~common]
+        whole = np.concatenate([features, whole[common]])
     values = mix(features + _TAG)
     for p in bands(num, den, max(64, 2 * n)):
         if p.high < n or not p.k:
             continue
         if num * p.low > den * n:
             break
+        if not len(features):
+            poor = True
+            continue
         tag = mix(np.array([p.band + 1], np.uint64) * _TAG)
         cell = ((features >> np.uint64(20)) % np.uint64(p.n1)).astype(np.int64) * p.n2 + ((features >> np.uint64(4)) % np.uint64(p.n2)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
@@ -102,7 +119,7 @@ def signatures(features: np.ndarray, num: int, den: int) -> np.ndarray:
                 else:
                     poor = True
     if poor:
-        out.append(mix(features[: n - (-(-num * n // den)) + 1] ^ _TAG))
+        out.append(mix(whole[: n - (-(-num * n // den)) + 1] ^ _TAG))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -119,7 +136,39 @@ def _describe(width: int):
     return run
 
 
-def _sign(width: int, num: int, den: int, remember: int = 1 << 20):
+def _count_features(width: int):
+    """(feature, n) of the features that many sets of a window of the task's share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            f, n = np.unique(np.concatenate(held), return_counts=True)
+            keep = n >= FREQUENT_LOCAL
+            held.clear()
+            return pa.record_batch([pa.array(signed(f[keep])), pa.array(n[keep].astype(np.int64))], ["feature", "n"])
+
+        for batch in batches:
+            for _, data, offsets in text_slices(batch.column(1)):
+                held += shingles(data, offsets, width)
+                size += sum(map(len, held[len(held) - (len(offsets) - 1) :]))
+                if size >= FREQUENT_WINDOW:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def frequent_features(texts: DataFrame, width: int) -> np.ndarray:
+    """The commonest features, sorted; a bounded list that only speeds the search up, whatever it holds."""
+    counted = texts.mapInArrow(_count_features(width), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    top = counted.where(F.col("n") >= FREQUENT_TOTAL).orderBy(F.desc("n"), "feature").limit(FREQUENT_MOST).select("feature").toArrow()
+    return np.sort(top.column(0).to_numpy().view(np.uint64)) if top.num_rows else _NONE
+
+
+def _sign(width: int, num: int, den: int, frequent, remember: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -132,7 +181,7 @@ def _sign(width: int, num: int, den: int, remember: int = 1 << 20):
                         continue
                     if len(seen) < remember:
                         seen.add(digest)
-                    x = signatures(s, num, den)
+                    x = signatures(s, num, den, frequent.value)
                     sigs.append(x)
                     owners.append(np.full(len(x), ids[row + k], np.int64))
                 if sigs and sum(map(len, sigs)):
@@ -434,7 +483,8 @@ def ngram_jaccard_components(
     their component; a null identifier links with nothing and has a null component. Other columns are not read. An
     empty table gives an empty result.
 
-    Equal sets become one class first. Signatures that one class alone has are dropped where they meet. Classes that
+    Equal sets become one class first. The commonest features, from counts over all texts, are left out of the
+    signatures (not of the comparison), so that passages which many texts share don't connect them. Signatures that one class alone has are dropped where they meet. Classes that
     a chain of shared signatures connects are a group; a group of up to group_sets sets is compared as a whole, in
     blocks, a larger one bucket by bucket. So no pair is lost and no group meets in one task.
     """
@@ -450,9 +500,10 @@ def ngram_jaccard_components(
     # an equal set's signatures say nothing new; where such rows are too many to broadcast, later steps drop theirs
     copies = materialize(members.where("rep <> id").select("id").distinct(), "same")
     alone = not_in_ids(texts, copies, "id") if copies.limit(COPIES + 1).count() <= COPIES else texts
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_features(alone, width))
     shared = (
         alone.where("id IS NOT NULL")
-        .mapInArrow(_sign(width, num, den), "sig long, id long")
+        .mapInArrow(_sign(width, num, den, frequent), "sig long, id long")
         .repartition("sig")
         .sortWithinPartitions("sig", "id")
         .mapInArrow(_shared, "sig long, id long")
