@@ -31,7 +31,7 @@ GROUP_SETS = 8192
 RUNS = 64
 #: A feature that so many sets of a task's window of FREQUENT_WINDOW features share is counted; of those counted so
 #: often in all, at most FREQUENT_MOST, the commonest, are left out of the signatures.
-FREQUENT_LOCAL, FREQUENT_TOTAL, FREQUENT_WINDOW, FREQUENT_MOST = 4, 16, 4_000_000, 500_000
+FREQUENT_LOCAL, FREQUENT_TOTAL, FREQUENT_WINDOW, FREQUENT_MOST = 2, 3, 4_000_000, 2_000_000
 #: Rows with an equal set of a smaller identifier that are broadcast to leave them out, at most.
 COPIES = 1_000_000
 
@@ -58,12 +58,12 @@ def bands(num: int, den: int, most: int) -> tuple[Plan, ...]:
         after = max(low + 1, -(-low * den * den // (num * num)))
         high = after - 1
         k = 2 * high * (den - num) // (den + num)
-        if k == 2:
-            n1, n2, k2, slack = 1, 4, 2, 0
-        else:
-            n1, n2, k2 = k // 2 + 1, 2, 1
-            # spare first-level partitions: so many with an empty projection can be left out without losing a pair
-            slack = -(-n1 // 10) if n1 >= 5 else 0
+        # a signature covers about (den+num)/(den-num)/2 features with one of two second-level partitions; where
+        # that is few, and where one partition is enough, two of four are taken
+        n2, k2 = (2, 1) if 2 * 11 * (den - num) < 2 * (den + num) and k != 2 else (4, 2)
+        n1 = k // (k2 + 1) + 1
+        # spare first-level partitions: so many with an empty projection can be left out without losing a pair
+        slack = -(-n1 // 5) if n1 >= 5 else 0
         out.append(Plan(len(out), low, high, k, n1 + slack, n2, k2, slack))
         low = after
     return tuple(out)
@@ -73,10 +73,17 @@ _TAG = np.uint64(0xD1B54A32D192ED03)
 
 
 _NONE = np.zeros(0, np.uint64)
+_BITS = np.uint64((1 << 48) - 1)
+#: Not a signature: from here on, rows that tell a set's number of partitions with an empty projection.
+_WEAK = np.uint64(1 << 50)
 
 
 def signatures(features: np.ndarray, num: int, den: int, frequent: np.ndarray = _NONE) -> np.ndarray:
-    """All signatures of one set (sorted distinct 64-bit hashes).
+    return _signatures(features, num, den, frequent)[0]
+
+
+def _signatures(features: np.ndarray, num: int, den: int, frequent: np.ndarray = _NONE) -> tuple[np.ndarray, int]:
+    """All signatures of one set (sorted distinct 64-bit hashes), and its first-level partitions with an empty projection.
 
     Two different sets with a similarity of num/den or more share one. Features in frequent (sorted) are left out of
     the partitions, for every set alike: what is left of two sets differs in no more features than the sets do. An
@@ -84,7 +91,7 @@ def signatures(features: np.ndarray, num: int, den: int, frequent: np.ndarray =
     prefix filter, which two such sets share. Its order takes the frequent features last.
     """
     n = len(features)
-    out, poor, whole = [], False, features
+    out, poor, weak, whole = [], False, 0, features
     if len(frequent):
         at = np.searchsorted(frequent, features)
         at[at == len(frequent)] = 0
@@ -98,7 +105,7 @@ def signatures(features: np.ndarray, num: int, den: int, frequent: np.ndarray =
         if num * p.low > den * n:
             break
         if not len(features):
-            poor = True
+            poor, weak = True, max(weak, p.n1)
             continue
         tag = mix(np.array([p.band + 1], np.uint64) * _TAG)
         cell = ((features >> np.uint64(20)) % np.uint64(p.n1)).astype(np.int64) * p.n2 + ((features >> np.uint64(4)) % np.uint64(p.n2)).astype(np.int64)
@@ -106,21 +113,19 @@ def signatures(features: np.ndarray, num: int, den: int, frequent: np.ndarray =
         at = cell[order]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         sums, at = np.add.reduceat(values[order], first), at[first]
-        if p.k2 == 1:
-            out.append(mix(sums + mix(at.astype(np.uint64) * _TAG + tag)))
-            poor |= p.n1 - int((at[1:] // 2 == at[:-1] // 2).sum()) > p.slack
-        else:
-            parts = dict(zip(at.tolist(), sums, strict=True))
-            for number, chosen in enumerate(combinations(range(p.n2), p.n2 - p.k2)):
-                have = [parts[c] for c in chosen if c in parts]
-                if have:
-                    total = np.array(have, np.uint64).sum(dtype=np.uint64)
-                    out.append(mix(total + mix(np.array([number + 1], np.uint64) * _TAG + tag)))
-                else:
-                    poor = True
+        cells, present = np.zeros(p.n1 * p.n2, np.uint64), np.zeros(p.n1 * p.n2, bool)
+        cells[at], present[at] = sums, True
+        cells, present = cells.reshape(p.n1, p.n2), present.reshape(p.n1, p.n2)
+        for number, chosen in enumerate(combinations(range(p.n2), p.n2 - p.k2)):
+            have = np.flatnonzero(present[:, chosen].any(axis=1))
+            total = cells[have][:, chosen].sum(axis=1, dtype=np.uint64)
+            out.append(mix(total + mix((have.astype(np.uint64) * np.uint64(64) + np.uint64(number + 1)) * _TAG + tag)))
+        empty = int(((~present).sum(axis=1) >= p.n2 - p.k2).sum())
+        poor, weak = poor or empty > p.slack, max(weak, empty)
     if poor:
         out.append(mix(whole[: n - (-(-num * n // den)) + 1] ^ _TAG))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    # 48 bits are enough to tell buckets apart, and shorter to shuffle; what meets by chance is compared anyway
+    return (np.concatenate(out) & _BITS if out else _NONE), weak
 
 
 def _describe(width: int):
@@ -181,7 +186,8 @@ def _sign(width: int, num: int, den: int, frequent, remember: int = 1 << 20):
                         continue
                     if len(seen) < remember:
                         seen.add(digest)
-                    x = signatures(s, num, den, frequent.value)
+                    x, weak = _signatures(s, num, den, frequent.value)
+                    x = np.append(x, _WEAK + np.uint64(weak)) if weak else x
                     sigs.append(x)
                     owners.append(np.full(len(x), ids[row + k], np.int64))
                 if sigs and sum(map(len, sigs)):
@@ -201,11 +207,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig, ids = np.r_[held[0], sig], np.r_[held[1], ids]
         same = sig[1:] == sig[:-1]
         keep = np.r_[before is not None and sig[0] == before, same] | np.r_[same, False]
+        keep |= sig >= int(_WEAK)
         keep, last_before = keep[:-1], sig[-2] if len(sig) > 1 else before
         if keep.any():
             yield pa.record_batch([pa.array(sig[:-1][keep]), pa.array(ids[:-1][keep])], ["sig", "id"])
         before, held = last_before, (sig[-1:], ids[-1:])
-    if held is not None and before is not None and held[0][0] == before:
+    if held is not None and (held[0][0] >= int(_WEAK) or before is not None and held[0][0] == before):
         yield pa.record_batch([pa.array(held[0]), pa.array(held[1])], ["sig", "id"])
 
 
@@ -380,6 +387,35 @@ def _verify_groups(groups: DataFrame, texts: DataFrame, width: int, num: int, de
     )
 
 
+def _least_shared(n, num: int, den: int, most: int):
+    """Signatures that two similar sets share at least, by the size of either without empty projections."""
+    out, before = F.lit(1), 0
+    for p in bands(num, den, most):
+        if p.slack != before and p.k:
+            out = out + F.when(n >= p.low, p.slack - before).otherwise(0)
+            before = p.slack
+    return out
+
+
+def _shared_enough(buckets: DataFrame, num: int, den: int, rounds: int = 2) -> DataFrame:
+    """Of (sig, rep, n) the rows of sets that share as many signatures as a similar pair must; then sig's m and lead.
+
+    A set that shares fewer can have no similar one, however its signatures met; dropping it may leave others with
+    fewer. So texts that have a passage in common, but not more, don't connect.
+    """
+    weak = buckets.where(F.col("sig") >= int(_WEAK)).groupBy("rep").agg((F.max("sig") - int(_WEAK)).alias("weak"))
+    now = buckets.where(F.col("sig") < int(_WEAK))
+    most = buckets.agg(F.max("n")).first()[0] or 1
+    for _ in range(rounds):
+        meet = now.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
+        now = materialize(now.join(meet, "sig"), "meet")
+        own = now.groupBy("rep", "n").agg(F.count("*").alias("c")).join(weak, "rep", "left")
+        enough = own.where(F.col("c") >= _least_shared(F.col("n"), num, den, most) - F.coalesce("weak", F.lit(0))).select("rep")
+        now = now.join(enough, "rep").select("sig", "rep", "n")
+    now = materialize(now, "enough")
+    return now.join(now.groupBy("sig").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).where("m > 1"), "sig")
+
+
 def _fetch_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return materialize(in_ids(texts, ids, "id").mapInArrow(_sets(width), "id long, features binary"), "sets")
 
@@ -510,8 +546,7 @@ def ngram_jaccard_components(
     )
     buckets = shared.join(members.where("rep IS NOT NULL"), "id").select("sig", "rep", "n").distinct()
     buckets = materialize(buckets, "buckets")
-    sizes = buckets.groupBy("sig").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).where("m > 1")
-    sized = materialize(buckets.join(sizes, "sig"), "sized")
+    sized = materialize(_shared_enough(buckets, num, den), "sized")
     discard(buckets)
     groups = connected_components(sized.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
     groups = materialize(groups.select(F.col("id").alias("rep"), F.col("component").alias("group")), "groups")
