@@ -45,3 +45,21 @@ def test_scan(spark):
     assert by[4][0].license == "CC-BY-NC-4.0" and len(by[5]) == 2 and by[5][0].license is None and not by[5][0].confirmed
     assert by[None][0].license == "MIT text"
     assert L.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_short_notices_in_long_lines():
+    rng = random.Random(2)
+    prose = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    for name, text in L.TEMPLATES.items():
+        line = f"{' '.join(rng.choices(prose, k=120))} the {text} under a {' '.join(rng.choices(prose, k=120))}"
+        got = [x for a, b in L.blocks(line) for x in L.notices(line, a, b)]
+        assert [(x[2], line[x[0] : x[1]]) for x in got] == [(name, text)], (name, got)
+    two = [L.TEMPLATES["MIT"], L.TEMPLATES["CC-BY-NC-4.0"], L.TEMPLATES["MIT"]]
+    line = f" {' '.join(rng.choices(prose, k=30))} ".join(["", *two, ""])
+    got = [x for a, b in L.blocks(line) for x in L.notices(line, a, b)]
+    assert [line[x[0] : x[1]] for x in got] == two
+
+
+def test_parts_of_a_huge_block():
+    text = "and so on " * 12000 + L.TEMPLATES["MIT"] + " or then " * 9000 + L.TEMPLATES["BSD text"]
+    assert [x[2] for x in L.notices(text)] == ["MIT", "BSD text"]

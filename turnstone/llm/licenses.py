@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator, Mapping
-from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -58,10 +60,15 @@ TEMPLATES: dict[str, str] = {
 TRIGGERS = ("licens", "licenc", "copyright", "redistribut", "hereby granted", "public domain", "creative commons", "cc by", "spdx")
 #: Code points that a block has on both sides of a trigger; the longest template's length fits in it.
 REACH = 600
-#: Templates whose wording is compared, best reduction first; the least reduction, and the most words missing.
-RANKED, LEAST_REDUCTION, MOST_MISSING = 8, 0.1, 0.1
+#: The most of a template's words that may be missing.
+MOST_MISSING = 0.1
+#: In an alignment, a missing word costs as much as so many added ones: a stray word further off is not drawn in.
+STRAY = 20
+#: Words of a block that are aligned at once, and those that neighbouring parts share; no alignment is longer than these.
+PART, SHARED = 1 << 14, 1 << 12
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_CLOSING = re.compile(r"[.,;:!?)\"'”’»]*")
 
 
 def words(text: str) -> list[str]:
@@ -102,16 +109,49 @@ def _long(start: str) -> bool:
     return start.startswith(("hereby granted", "redistribut", "licensed under the apache license, version 2.0 ("))
 
 
+def placements(block: list[str], template: list[str]) -> list[tuple[int, int, list[str], list[str]]]:
+    """(start, end, missing words, added words) of the template's non-overlapping alignments in the block, closest first.
+
+    Words are matched in order; the cost is STRAY for each missing word and 1 for each added one between those matched.
+    """
+    m, n = len(template), len(block)
+    same = {w: np.array([x == w for x in block]) for w in set(template)}
+    cost, places = np.zeros((m + 1, n + 1), np.int32), np.arange(n + 1, dtype=np.int32)
+    for i, w in enumerate(template, 1):
+        cost[i] = cost[i - 1] + STRAY
+        np.minimum(cost[i, 1:], cost[i - 1, :-1], out=cost[i, 1:], where=same[w])
+        cost[i] = np.minimum.accumulate(cost[i] - places) + places
+    used, out = np.zeros(n, bool), []
+    ends = 1 + np.flatnonzero(np.logical_or.reduce(list(same.values())) & (cost[m, 1:] < STRAY * m))
+    for end in ends[np.argsort(cost[m, ends], kind="stable")].tolist():
+        if used[end - 1]:
+            continue
+        i, j, at, lost, added = m, end, [], [], []
+        while i:
+            if j and same[template[i - 1]][j - 1] and cost[i, j] == cost[i - 1, j - 1]:
+                i, j = i - 1, j - 1
+                at.append(j)
+            elif cost[i, j] == cost[i - 1, j] + STRAY:
+                i -= 1
+                lost.append(template[i])
+            else:
+                j -= 1
+                added.append(block[j])
+        if at[:1] == [end - 1] and not used[at[-1] : end].any():
+            used[at[-1] : end] = True
+            out.append((at[-1], end, lost[::-1], added[::-1]))
+    if out:  # what lies between alignments that were found may hold others that overlapped them
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], used, [True]]).astype(np.int8)))
+        for a, b in edges.reshape(-1, 2).tolist():
+            if b - a >= (1 - MOST_MISSING) * m:
+                out += [(a + x, a + y, lost, added) for x, y, lost, added in placements(block[a:b], template)]
+    return out
+
+
 def differences(block: list[str], template: list[str]) -> tuple[int, int, list[str]]:
     """(missing, added, missing words): the template's words not in the block, and the block's between those that are."""
-    match = SequenceMatcher(None, block, template, autojunk=False)
-    runs = [m for m in match.get_matching_blocks() if m.size]
-    if not runs:
-        return len(template), 0, template
-    have = {k for m in runs for k in range(m.b, m.b + m.size)}
-    span = runs[-1].a + runs[-1].size - runs[0].a
-    missing = [w for k, w in enumerate(template) if k not in have]
-    return len(missing), span - len(have), missing
+    best = placements(block, template)[:1]
+    return (len(best[0][2]), len(best[0][3]), best[0][2]) if best else (len(template), 0, template)
 
 
 def rank(block: str, templates: Mapping[str, str] = TEMPLATES) -> list[tuple[float, str]]:
@@ -122,26 +162,56 @@ def rank(block: str, templates: Mapping[str, str] = TEMPLATES) -> list[tuple[flo
     return sorted(((1 - len(c.compress(data)) / size, name) for name, (c, _) in each.items()), key=lambda x: (-x[0], x[1]))
 
 
-def identify(block: str, templates: Mapping[str, str] = TEMPLATES) -> tuple[str | None, float, int, int]:
-    """(template or None, reduction, words missing, words added).
+def _never_missing(word: str) -> bool:
+    return word in _TELLING or any(c.isdigit() for c in word)
+
 
-    Of the templates that save most, that with the fewest wording differences wins; a missing number or a missing word
-    that tells it from another template (a version, NC, Lesser) is never forgiven.
+def notices(text: str, a: int = 0, b: int | None = None, templates: Mapping[str, str] = TEMPLATES) -> list[tuple[int, int, str, float, int, int]]:
+    """(start, end, template, reduction, words missing, words added) of every confirmed notice in text[a:b], in order.
+
+    Every template is aligned by its words, wherever in the block it may be and whatever share of it; only those too many of
+    whose words the block doesn't have at all are passed over. Where alignments overlap, that with the fewest wording
+    differences wins, then the longer template, then the one that saves most of the notice's compressed bytes. A missing
+    number or a missing word that tells it from another template (a version, NC, Lesser) is never forgiven.
     """
-    _, each = _compressors(tuple(templates.items()))
-    have, best = words(block), None
-    for reduction, name in rank(block, templates)[:RANKED]:
-        if reduction < LEAST_REDUCTION:
-            break
-        missing, added, lost = differences(have, each[name][1])
-        wrong = any(any(c.isdigit() for c in w) or w in _TELLING for w in lost)
-        strange = len(_TELLING & set(have) - set(each[name][1])) if added else 0
-        if not wrong and missing <= MOST_MISSING * len(each[name][1]):
-            found = (missing + added + 5 * strange, -len(each[name][1]), -reduction, name, reduction, missing, added)
-            best = min(best, found) if best else found
-    if best is None:
+    b = len(text) if b is None else b
+    plain, each = _compressors(tuple(templates.items()))
+    at = [x.span() for x in _WORD.finditer(text, a, b)]
+    # words that the block's bounds cut in two are none
+    at = at[bool(at and 0 < at[0][0] == a and text[a - 1].isalnum()) :]
+    at = at[: len(at) - bool(at and at[-1][1] == b < len(text) and text[b].isalnum())]
+    have, found = [text[x:y].lower() for x, y in at], []
+    for start in range(0, max(1, len(have) - SHARED), PART - SHARED):
+        part = have[start : start + PART]
+        counts = Counter(part)
+        for name, (c, template) in each.items():
+            lost = list((Counter(template) - counts).elements())
+            if len(lost) > MOST_MISSING * len(template) or any(map(_never_missing, lost)):
+                continue
+            for x, y, lost, added in placements(part, template):
+                if len(lost) > MOST_MISSING * len(template) or any(map(_never_missing, lost)):
+                    continue
+                x, y = at[start + x][0], _CLOSING.match(text, at[start + y - 1][1], b).end()
+                data = text[x:y].lower().encode(errors="replace")
+                reduction = 1 - len(c.compress(data)) / len(plain.compress(data))
+                strange = len(_TELLING & set(added) - set(template))
+                found.append((len(lost) + len(added) + 5 * strange, -len(template), -reduction, name, x, y, len(lost), len(added)))
+    out, starts = [], []
+    for *_, less, name, x, y, missing, added in sorted(found):
+        k = bisect(starts, x)
+        if (k and out[k - 1][1] > x) or (k < len(out) and out[k][0] < y):
+            continue
+        starts.insert(k, x)
+        out.insert(k, (x, y, name, -less, missing, added))
+    return out
+
+
+def identify(block: str, templates: Mapping[str, str] = TEMPLATES) -> tuple[str | None, float, int, int]:
+    """(template or None, reduction, words missing, words added) of the block's notice with the fewest differences."""
+    found = notices(block, templates=templates)
+    if not found:
         return None, max((r for r, _ in rank(block, templates)[:1]), default=0.0), 0, 0
-    return best[3], best[4], best[5], best[6]
+    return min(found, key=lambda x: (x[4] + x[5], x[0] - x[1]))[2:]
 
 
 _TELLING = frozenset("by-nc by-sa by-nd by by-nc-sa by-nc-nd lesser affero mit apache bsd gnu cc0 not".split())
@@ -156,9 +226,9 @@ def _scan(templates: dict[str, str]):
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
                 for a, b in blocks(text):
-                    name, reduction, missing, added = identify(text[a:b], templates)
-                    rows.append(k)
-                    out.append((a, b, name, reduction, missing, added, name is not None))
+                    found = notices(text, a, b, templates) or [(a, b, *identify(text[a:b], templates))]
+                    rows += [k] * len(found)
+                    out += [(*x, x[2] is not None) for x in found]
             types = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_())
             columns = zip(*out, strict=True) if out else [[]] * len(types)
             yield pa.record_batch(
@@ -170,11 +240,14 @@ def _scan(templates: dict[str, str]):
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
-    """A row for each candidate block of every whole text: id_col, start, end, license, reduction, missing, added, confirmed.
-
-    A block is the line, or the notice, around a trigger word. Each template is a raw Zstandard dictionary for it; the
-    templates are ranked by the share of bytes they save, and the winner is confirmed by its exact wording
-    differences (words missing and added). license is null where no template is confirmed. Offsets are code points.
+    """A row for each notice in the candidate blocks of every whole text: id_col, start, end, license, reduction, missing,
+    added, confirmed.
+
+    A block is the line, or the notice, around a trigger word. Every template is aligned with a block's words, and each
+    notice is confirmed by its exact wording differences (words missing and added), however much other text the block has;
+    start and end are the notice's own. Each template is a raw Zstandard dictionary, and reduction is the share of the
+    notice's compressed bytes that it saves. A block without a confirmed notice has one row with the block's bounds, the
+    best reduction of any template and a null license. Offsets are code points.
     Null and empty texts have no block; repeated rows are scanned each; other columns are not read. An empty table
     gives an empty result.
     """
