@@ -1,4 +1,6 @@
 import random
+import re
+import textwrap
 
 from turnstone.llm import licenses as L
 
@@ -63,3 +65,26 @@ def test_short_notices_in_long_lines():
 def test_parts_of_a_huge_block():
     text = "and so on " * 12000 + L.TEMPLATES["MIT"] + " or then " * 9000 + L.TEMPLATES["BSD text"]
     assert [x[2] for x in L.notices(text)] == ["MIT", "BSD text"]
+
+
+def named(text):
+    return [x[2] for a, b in L.blocks(text) for x in L.notices(text, a, b)]
+
+
+def test_wrapped_templates_behind_comment_marks():
+    for name, text in L.TEMPLATES.items():
+        for width in range(60, 81):
+            for mark in ("", "# ", "// ", " * ", "    ;; "):
+                for before in ("", "The copy of 1999 by one or more hands and as it was then left to us. "):
+                    lines = [mark + x for x in textwrap.wrap(before + text, width)]
+                    for end in ("\n", "\r\n"):
+                        assert named(end.join(["x = 1", "", *lines, "", "y = 2"])) == [name], (name, width, mark)
+
+
+def test_wrapped_notices():
+    assert named("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.") == ["MPL-2.0"]
+    assert named("This work is licensed under the GNU Lesser General\nPublic License, version 3.") == ["LGPL-3.0"]
+    assert named("Dedicated to the public\n# domain under CC0 1.0.") == ["CC0-1.0"]
+    apache = L.TEMPLATES["Apache-2.0 notice"]
+    assert named(re.sub(" (?=http|Unless)", "\n\n  ", apache)) == ["Apache-2.0 notice"]
+    assert named(f"{L.TEMPLATES['MIT']}\n{L.TEMPLATES['BSD']}\n\nno\n\n{L.TEMPLATES['MIT']}") == ["MIT", "BSD", "MIT"]

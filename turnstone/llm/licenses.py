@@ -56,7 +56,7 @@ TEMPLATES: dict[str, str] = {
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: One of these, in lower case, is in every candidate block.
+#: One of these, in lower case, is in every candidate block; between two words may be a line's end and comment marks.
 TRIGGERS = ("licens", "licenc", "copyright", "redistribut", "hereby granted", "public domain", "creative commons", "cc by", "spdx")
 #: Code points that a block has on both sides of a trigger; the longest template's length fits in it.
 REACH = 600
@@ -68,6 +68,8 @@ STRAY = 20
 PART, SHARED = 1 << 14, 1 << 12
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_TRIGGERS = [(t.split()[0], re.compile(t.replace(" ", r"\W+"))) for t in TRIGGERS]
+_BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)*\n")
 _CLOSING = re.compile(r"[.,;:!?)\"'”’»]*")
 
 
@@ -86,29 +88,28 @@ def _compressors(templates: tuple[tuple[str, str], ...], level: int = 6):
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks: lines with a trigger, cut to REACH around triggers, overlaps merged."""
+    """(start, end) of the candidate blocks: paragraphs with a trigger, cut to REACH around triggers.
+
+    Blocks that overlap, or with nothing but white space between them, are one: a notice may have paragraphs.
+    """
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer: only ASCII letters matter here
         low = "".join(c.lower() if c < "\x80" else c for c in text)
-    hits = sorted(m.start() for t in TRIGGERS if t in low for m in re.finditer(re.escape(t), low))
+    hits = sorted(m.start() for first, t in _TRIGGERS if first in low for m in t.finditer(low))
     out: list[list[int]] = []
     for at in hits:
-        a = max(text.rfind("\n", max(0, at - REACH), at) + 1, at - REACH, 0)
-        line_end = text.find("\n", at, at + REACH)
-        # a notice may run over lines: the block goes on to the next empty line within reach
-        empty = text.find("\n\n", at, at + REACH)
-        b = min(len(text), empty if empty >= 0 else at + REACH) if _long(low[at : at + 40]) else (line_end if line_end >= 0 else min(len(text), at + REACH))
-        if out and a < out[-1][1]:
+        a, b = max(0, at - REACH), min(len(text), at + REACH)
+        for m in _BLANK.finditer(text, a, at):
+            a = m.end()
+        if m := _BLANK.search(text, at, b):
+            b = m.start()
+        if out and not text[out[-1][1] : a].strip():
             out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
-def _long(start: str) -> bool:
-    return start.startswith(("hereby granted", "redistribut", "licensed under the apache license, version 2.0 ("))
-
-
 def placements(block: list[str], template: list[str]) -> list[tuple[int, int, list[str], list[str]]]:
     """(start, end, missing words, added words) of the template's non-overlapping alignments in the block, closest first.
 
@@ -243,7 +244,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row for each notice in the candidate blocks of every whole text: id_col, start, end, license, reduction, missing,
     added, confirmed.
 
-    A block is the line, or the notice, around a trigger word. Every template is aligned with a block's words, and each
+    A block is the paragraph around a trigger word, within REACH, joined with its neighbours that have one too. Every template is aligned with a block's words, and each
     notice is confirmed by its exact wording differences (words missing and added), however much other text the block has;
     start and end are the notice's own. Each template is a raw Zstandard dictionary, and reduction is the share of the
     notice's compressed bytes that it saves. A block without a confirmed notice has one row with the block's bounds, the
