@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -70,3 +71,22 @@ def test_pack_documents(spark):
             at += n
         assert at <= 2048
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_equal_texts_fall_into_all_shards(spark):
+    rows = [(k, "the same text") for k in range(1000)] + [(1000, "one row")] * 1000
+    rows += [(k, f"text {k} of its own" if k % 2 else None) for k in range(1001, 2001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(docs, shard_rows=100).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    shards = Counter(r.sequence_id >> 32 for r in got)
+    assert len(shards) == 30 and max(shards.values()) < 170
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in seqs.values():
+        at = 0
+        for o, n in sorted(pieces):
+            assert o == at
+            at += n
+        assert at <= 2048

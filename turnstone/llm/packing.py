@@ -24,7 +24,9 @@ SHARD_ROWS = 40_000
 #: Strings that the tokenizer file itself treats as one id; texts with them go through it.
 SPECIAL = "<|endoftext|>"
 
-PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, shard int"
+PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
+#: Copies of one row that go to a shard together are at most this share of it.
+COPIES = 256
 
 
 @lru_cache(maxsize=2)
@@ -107,7 +109,7 @@ def pack(lengths: list[int] | np.ndarray, window: int = WINDOW) -> tuple[np.ndar
     return sequence, offset
 
 
-def _cut(window: int, vocabulary: str, shards: int):
+def _cut(window: int, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -122,9 +124,7 @@ def _cut(window: int, vocabulary: str, shards: int):
                     ]
                 at, *rest = (np.array(x, dtype=np.int64) for x in zip(*out, strict=True))
                 key = ids.take(pa.array(at))
-                # pieces are dealt by their ids, so that no source, id or place decides a shard
-                shard = ((rest[2] * 2654435761 + rest[0] * 40503) % (1 << 32) * shards >> 32).astype(np.int32)
-                yield pa.record_batch([key, *map(pa.array, [*rest, shard])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard"])
+                yield pa.record_batch([key, *map(pa.array, rest)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
@@ -141,8 +141,9 @@ def pack_documents(
 
     Returns a row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is cut
     every window tokens; its whole windows are sequences of their own and the rest is packed by minimum bin slack with
-    the rests of its shard. Shards are dealt by the pieces' checksums, and their number follows the input's rows, so
-    that a task holds a bounded number of piece descriptions (no texts). sequence_id is the shard in its upper and the
+    the rests of its shard. Shards are dealt by the pieces' checksums and document ids, repeated rows by the number of the
+    run that they are counted into, so that equal texts fall into all shards; the number of shards follows the input's
+    rows, so that a task holds a bounded number of piece descriptions (no texts). sequence_id is the shard in its upper and the
     sequence in its lower 32 bits. Null text is empty (one piece, END_ID alone); repeated rows are packed each; other
     columns are not read. An empty table gives an empty result.
     """
@@ -150,16 +151,26 @@ def pack_documents(
     shards = max(1, -(-rows // shard_rows))
     kind = dict(docs.dtypes)[id_col]
     pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _cut(window, vocabulary, shards), PIECES.format(id=kind)
+        _cut(window, vocabulary), PIECES.format(id=kind)
+    )
+    # repeated rows are counted first, and dealt in runs
+    most = max(1, shard_rows // COPIES)
+    runs = pieces.groupBy(pieces.columns).agg(F.count(F.lit(1)).alias("copies"))
+    runs = runs.select("*", F.explode(F.expr(f"sequence(0, (copies - 1) div {most})")).alias("run"))
+    dealt = runs.select(
+        *pieces.columns,
+        F.least(F.lit(most), F.col("copies") - F.col("run") * most).alias("copies"),
+        F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "run"), F.lit(shards)).cast("int").alias("shard"),
     )
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])].drop(columns="copies")
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], ignore_index=True)
         sequence, offset = pack(pdf["length"].to_numpy(), window)
         return pdf.assign(sequence_id=pdf["shard"].astype("int64") * (1 << 32) + sequence, offset=offset).drop(columns="shard")
 
     return (
-        pieces.groupBy("shard")
+        dealt.groupBy("shard")
         .applyInPandas(fill, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
         .withColumnRenamed("doc_id", id_col)
     )
