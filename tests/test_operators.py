@@ -68,3 +68,20 @@ def test_dates(spark):
     df = spark.createDataFrame([("2024-03-05",), ("March 5, 2024",), ("5 Mar 2024",), ("March 2024",), ("soon",)], "t string")
     assert [str(r[0]) for r in df.select(dates.parse_session_date("t")).collect()] == ["2024-03-05"] * 3 + ["2024-03-01", "None"]
     assert spark.range(1).select(dates.snowflake_time(F.lit(175928847299117063)).cast("string")).first()[0].startswith("2016-04-30 11:18:25.796")
+
+
+def test_merge_candidates_of_any_age(spark):
+    rng = random.Random(24)
+    rows = [(k, rng.choice("pq"), rng.sample("abcdef", rng.randint(0, 4))) for k in range(0, 900, 2)]
+    rows += [(900, "rare", ["a", "b"]), (2000, "rare", ["b", "a"]), (2000, "rare", ["a", "b"]), (2001, None, ["a", "b"]), (2002, None, ["a", "b"])]
+    want = {}
+    for ref, tag, tags in rows:
+        pairs = [(len(set(tags) & set(t)), r) for r, g, t in rows if g == tag is not None and r < ref]
+        scores = [(round(n / 3 * max(0.5, 1 - (ref - r) / 60), 6), r) for n, r in pairs if n >= 2]
+        if scores:
+            want[ref] = max(scores)[1]
+    assert want[2000] == 900 and any(ref - best > 60 for ref, best in want.items() if ref < 900)
+    segments = spark.createDataFrame(rows, "ref long, primary_tag string, tags array<string>")
+    for run in (7, 100, 10_000):
+        got = joins.merge_candidates(segments, run=run).collect()
+        assert len(got) == len(want) and {r.ref: r.best for r in got} == want

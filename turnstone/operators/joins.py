@@ -88,6 +88,28 @@ def similar_tags(tags: DataFrame, least: float) -> DataFrame:
     return a.join(F.broadcast(b), near).select("a", "b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def merge_candidates(segments: DataFrame, least: int = 2, run: int = 10_000) -> DataFrame:
+    """(ref, best): for each of segments (ref, primary_tag, tags), the best earlier one of any age with its primary tag.
+
+    The score is common tags / 3 * max(0.5, 1 - age / 60), age being the distance in refs; ``least`` tags are in common at
+    least, and of equal scores the latest wins. A score never grows with age, so the best is, of the latest earlier rows
+    with each set of the row's tags, the best one: no pairs of a hot tag are made. Rows come in runs of refs, and a run's
+    latest row with a set is handed to the next, so that no hot set is in one task. There are 2^n sets of n tags.
+    """
+    s = segments.select("ref", "primary_tag", F.array_sort(F.array_distinct(F.filter("tags", lambda t: t.isNotNull()))).alias("tags"))
+    empty = F.expr("array(cast(array() as array<string>))")
+    sets = F.aggregate("tags", empty, lambda done, t: F.concat(done, F.transform(done, lambda x: F.concat(x, F.array(t)))))
+    keyed = s.select("ref", "primary_tag", F.explode(sets).alias("key"), F.floor(F.col("ref") / run).alias("run")).where(F.size("key") >= least)
+    by = ["primary_tag", "key"]
+    latest = keyed.groupBy(*by, "run").agg(F.max("ref").alias("latest"))
+    latest = latest.select(*by, "run", F.lag("latest").over(Window.partitionBy(*by).orderBy("run")).alias("handed"))
+    within = Window.partitionBy(*by, "run").orderBy("ref").rangeBetween(Window.unboundedPreceding, -1)
+    found = keyed.select("*", F.max("ref").over(within).alias("here")).join(latest, [*by, "run"])
+    found = found.select("ref", F.size("key").alias("n"), F.coalesce("here", "handed").alias("best")).where("best IS NOT NULL")
+    score = F.round(F.col("n") / 3.0 * F.greatest(F.lit(0.5), 1 - (F.col("ref") - F.col("best")) / 60.0), 6)
+    return found.groupBy("ref").agg(F.max(F.struct(score.alias("s"), "best")).alias("x")).select("ref", "x.best")
+
+
 def nearest(rows: DataFrame, query: DataFrame, least: float, limit: int) -> DataFrame:
     """rows (id, vec) by cosine with the one query vector (vec); the best ``limit`` over least."""
     q = F.broadcast(query.select(F.col("vec").alias("q")))

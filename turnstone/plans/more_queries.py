@@ -141,6 +141,11 @@ def j24(spark, d):
     return pairs.groupBy("ref").agg(F.max(F.struct(score.alias("s"), "best")).alias("x")).select("ref", "x.best")
 
 
+@query("j24_merge_candidates_any_age")
+def j24_any_age(spark, d):
+    return joins.merge_candidates(T.segments(spark, d))
+
+
 @query("w10_resequence", sql(TURNS + ", g AS (SELECT conversation_id, turn_no, min(ordinal) AS first_at FROM tn GROUP BY ALL) SELECT conversation_id, turn_no, CAST((row_number() OVER (ORDER BY first_at, conversation_id, turn_no) - 1) * 1000.0 AS DOUBLE) AS sort_key FROM g WHERE conversation_id < 5"))
 def w10(spark, d):
     t = sequences.pair_turns(T.messages(spark, d).where("conversation_id < 5")).groupBy("conversation_id", "turn_no").agg(F.min("ordinal").alias("first_at"))
