@@ -1,7 +1,9 @@
 """Operators without SQL, and edge cases, against plain Python."""
 
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnstone.functions import dates, text
@@ -85,3 +87,24 @@ def test_merge_candidates_of_any_age(spark):
     for run in (7, 100, 10_000):
         got = joins.merge_candidates(segments, run=run).collect()
         assert len(got) == len(want) and {r.ref: r.best for r in got} == want
+
+
+def test_set_cover_query_has_every_conversation(spark):
+    from turnstone.plans import catalog
+    from turnstone.sources import tables as T
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test data here")
+    want, sets = [], {}
+    for r in T.facts(spark, d).select("conversation_id", "id", "tags").collect():
+        sets.setdefault(r.conversation_id, {})[r.id] = set(r.tags) - {"_general"}
+    for k, items in sets.items():
+        left, step = set().union(*items.values()), 0
+        while left:
+            best = min(items, key=lambda i: (-len(items[i] & left), i))
+            left -= items[best]
+            want.append((k, best, step))
+            step += 1
+    assert max(want)[0] >= 20
+    assert sorted(map(tuple, catalog.QUERIES["k8_set_cover"](spark, d).collect())) == sorted(want)

@@ -93,7 +93,10 @@ def set_cover(rows: DataFrame, key: str, item: str, tag: str, skip: str = "_gene
             out.append(best)
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), item: out, "step": range(len(out))})
 
-    return rows.select(key, item, tag).groupBy(key).applyInPandas(cover, f"{key} {kinds[key]}, {item} {kinds[item]}, step int")
+    # of the items with one set of tags only the smallest can be taken, so a group holds each set once
+    sets = rows.where(F.col(tag) != skip).groupBy(key, item).agg(F.array_sort(F.collect_set(tag)).alias("tags"))
+    rows = sets.groupBy(key, "tags").agg(F.min(item).alias(item)).select(key, item, F.explode("tags").alias(tag))
+    return rows.groupBy(key).applyInPandas(cover, f"{key} {kinds[key]}, {item} {kinds[item]}, step int")
 
 
 def evenly(n: Column, k: int, row: Column) -> Column:

@@ -147,7 +147,7 @@ def k6(spark, d):
 
 @query("k8_set_cover")
 def k8(spark, d):
-    rows = T.facts(spark, d).where("conversation_id < 20").select("conversation_id", "id", F.explode("tags").alias("tag"))
+    rows = T.facts(spark, d).select("conversation_id", "id", F.explode("tags").alias("tag"))
     return sequences.set_cover(rows, "conversation_id", "id", "tag")
 
 
