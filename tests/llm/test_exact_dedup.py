@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from turnstone.llm.exact_dedup import drop_exact_copies, exact_dedup
+from turnstone.llm.exact_dedup import drop_exact_copies, exact_dedup, rounds_for
 
 
 def brute(rows):
@@ -37,3 +37,36 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted(map(tuple, exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept").collect())) == [
         (3, 3, 1, True), (7, 7, 2, True), (7, 7, 2, True)
     ]
+
+
+def drop_brute(rows):
+    """(id, text) rows -> the rows that stay, as a multiset of (id, text without white space, code points)."""
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i is None, i or 0, i))
+    return sorted(((min(g)[3], n, -min(g)[0]) for n, g in groups.items()), key=str)
+
+
+def test_dropping_goes_by_identifier_and_text(spark):
+    rng = random.Random(5)
+    cases = [
+        [(0, "x y z"), (1, "only copy here"), (1, "x y z"), (2, "other")],
+        [(5, "same"), (5, "same"), (5, "sa me"), (None, "nn"), (None, "nn"), (7, "nn"), (None, "lone"), (None, "lone"), (None, None), (None, "")],
+        [(rng.choice([1, 2, 3, None]), rng.choice(["a", "b", "a b", None, "", "hot"])) for _ in range(300)] + [(9, "hot")] * 150,
+    ]
+    for rows in cases:
+        docs = spark.createDataFrame([(*r, k, "q") for k, r in enumerate(rows)], "doc_id long, text string, digest int, key string")
+        for few in (1000, 0):
+            kept = drop_exact_copies(docs, few=few)
+            assert kept.columns == docs.columns
+            got = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), len(r.text or "")) for r in kept.collect()]
+            assert sorted(got, key=str) == drop_brute(rows)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert drop_exact_copies(empty).count() == 0
+
+
+def test_rounds_follow_the_rows(spark):
+    assert [rounds_for(n) for n in (0, 256 * 10**6, 256 * 10**6 + 1, 10**11)] == [2, 2, 3, 5]
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(300)], "doc_id long, text string")
+    a, b = (sorted(map(tuple, exact_dedup(docs, radix=r, rounds=n).collect())) for r, n in ((16, 2), (3, 4)))
+    assert a == b

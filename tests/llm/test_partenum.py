@@ -121,3 +121,57 @@ def test_a_slice_boundary_changes_nothing():
     for k, t in enumerate(texts):
         alone = shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 4)[0]
         assert np.array_equal(together[k], alone)
+
+
+def test_dropping_near_copies_with_reused_and_null_identifiers(spark):
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(0, a), (1, "only copy of this text stays as it is"), (1, a + " end"), (2, "other words here and there of it"), (5, "same"), (5, "same"),
+            (None, b), (None, b), (7, b + " more"), (None, "alone with no identifier at all here"), (3, None), (3, None), (3, ""), (4, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, key int")
+    kept = partenum.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(0, a), rows[1], (2, rows[3][1]), (5, "same"), (7, b + " more"), (None, rows[9][1]), (3, ""), (4, "")], key=str)
+
+
+def test_dropping_near_copies_equals_brute_force_on_identifier_and_text(spark):
+    rng = random.Random(3)
+    base = [[f"t{k}w{j}" for j in range(30)] for k in range(6)]
+    rows = []
+    for _ in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            w[rng.randrange(len(w))] = "x"
+        rows.append((rng.choice([*range(25), None]), " ".join(w)))
+    places = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    by_number = dict(enumerate(places))
+    parts = {n: c for n, _, c in brute([(n, t) for n, (_, t) in by_number.items()], 5, 8, 10)}
+    least = {}
+    for n, c in parts.items():
+        i = by_number[n][0]
+        least[c] = min(least.get(c, (2, 0)), (i is None, i or 0))
+    got = partenum.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(least) and len(set(got)) == len(got)
+    stays = {parts[places.index((r.doc_id, r.text))]: (r.doc_id is None, r.doc_id or 0) for r in got}
+    assert stays == least
+
+
+def test_a_common_signature_is_dealt_to_many_tasks():
+    rng = np.random.default_rng(1)
+    common, sigs, owners = partenum._NONE, [], []
+    for task in range(4):
+        common = partenum._NONE
+        for _ in range(5):
+            own = rng.integers(0, 1 << 47, 300, dtype=np.uint64)
+            s, o = np.r_[np.full(300, 77, np.uint64), own, np.full(40, partenum._WEAK + np.uint64(1))], rng.integers(0, 1 << 40, 640)
+            dealt, common = partenum._deal(s, o, common)
+            sigs.append(dealt)
+            owners.append(o)
+    dealt, owners = np.concatenate(sigs), np.concatenate(owners)
+    values, n = np.unique(dealt, return_counts=True)
+    assert n.max() <= 20 and (dealt == 77).sum() == 8  # two of each task; the others are dealt by set
+    order = np.argsort(dealt, kind="stable")
+    batch = pa.record_batch([pa.array(dealt[order].view(np.int64)), pa.array(owners[order])], ["sig", "id"])
+    out = list(partenum._shared(iter([batch.slice(0, 3000), batch.slice(3000)])))
+    got = np.concatenate([b.column(0).to_numpy() for b in out])
+    assert (got == 77).sum() == 6000 and (got == int(partenum._WEAK) + 1).sum() == 800 and len(got) == 6800

@@ -18,12 +18,14 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is ``spark.checkpoint.dir`` of the session. Where that is unset, as in tests on one machine, a new
-    temporary folder is made and set.
+    It is ``spark.checkpoint.dir`` of the session. Where that is unset and the session runs in one process, as in
+    tests, a new temporary folder is made and set; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir() or found
@@ -59,6 +61,29 @@ def spread(id_col: str | Column, runs: int) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(runs)).cast("int")
 
 
+def hidden(df: DataFrame, *names: str) -> list[str]:
+    """The names, or where df has such a column longer ones, for helper columns beside df's own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(*names: str) -> list[Column]:
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
+def one_of_each(df: DataFrame, keys: list[str], order: Column, columns: list[str]) -> DataFrame:
+    """Of the rows with equal keys the last by order, then by a hash of the columns; aggregated before it is shuffled."""
+    kinds = dict(df.dtypes)
+    plain = [c for c in columns if not any(k in kinds[c] for k in ("map<", "variant", "interval"))]
+    row = F.max_by(F.struct(*quoted(*columns)), F.struct(order, F.xxhash64(*quoted(*plain))))
+    return df.groupBy(*quoted(*keys)).agg(row.alias("row")).select("row.*")
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (first row, bytes, offsets) of consecutive rows with about limit bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
-def _anew(c: str):
+def anew(c: str):
     """The same number as a new expression: a join on it deals both sides anew, so that a hub's partition can be split."""
     return F.shiftright(c, 0).alias(c)
 
@@ -26,10 +26,10 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(_anew("u"), F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(anew("u"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(_anew("u"), "m")
+        low = large.groupBy("u").agg(F.min("v").alias("m")).select(anew("u"), "m")
         small = large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v"))
         after = materialize(small.where("u <> v").distinct(), "edges")
         row = after.agg(

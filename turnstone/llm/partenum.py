@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, discard, in_ids, materialize, mix, not_in_ids, read, shingles, signed, spread, text_slices
-from .components import connected_components
+from .common import binary_column, discard, hidden, in_ids, materialize, mix, not_in_ids, one_of_each, quoted, read, shingles, signed, spread, text_slices
+from .components import anew, connected_components
 
 #: In groups of more than GROUP_SETS sets, larger buckets are checked by a star and then by blocks, not pair by pair.
 SMALL_BUCKET = 32
@@ -32,6 +32,8 @@ RUNS = 64
 #: A feature that so many sets of a task's window of FREQUENT_WINDOW features share is counted; of those counted so
 #: often in all, at most FREQUENT_MOST, the commonest, are left out of the signatures.
 FREQUENT_LOCAL, FREQUENT_TOTAL, FREQUENT_WINDOW, FREQUENT_MOST = 2, 3, 4_000_000, 2_000_000
+#: A signature that so many sets of a slice share is common: the task tells of it twice and deals the other rows by set.
+COMMON_LOCAL, COMMON_MOST = 16, 1 << 20
 #: Rows with an equal set of a smaller identifier that are broadcast to leave them out, at most.
 COPIES = 1_000_000
 
@@ -76,6 +78,9 @@ _NONE = np.zeros(0, np.uint64)
 _BITS = np.uint64((1 << 48) - 1)
 #: Not a signature: from here on, rows that tell a set's number of partitions with an empty projection.
 _WEAK = np.uint64(1 << 50)
+#: Above these bits is a hash of the set, not 0, in rows that need not meet the others of their signature.
+_OWN_BITS = 51
+_OWN = np.uint64((1 << _OWN_BITS) - 1)
 
 
 def signatures(features: np.ndarray, num: int, den: int, frequent: np.ndarray = _NONE) -> np.ndarray:
@@ -173,9 +178,32 @@ def frequent_features(texts: DataFrame, width: int) -> np.ndarray:
     return np.sort(top.column(0).to_numpy().view(np.uint64)) if top.num_rows else _NONE
 
 
+def _deal(sigs: np.ndarray, owners: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures, dealt by set where they are known to be shared, and the longer list of common ones.
+
+    Of each signature that a slice has often the first two rows stay as they are, once a task, so that rows of other
+    tasks meet them; the rest, and all rows that tell of empty projections, get a hash of their set in the upper bits.
+    So no task takes all rows of a signature that many sets have.
+    """
+    found, first, number, n = np.unique(sigs, return_index=True, return_inverse=True, return_counts=True)
+    known = np.isin(found, common, assume_unique=True) | (found >= _WEAK)
+    new = ~known & (n >= COMMON_LOCAL)
+    apart = (known | new)[number]
+    if new.any():
+        again = np.setdiff1d(np.arange(len(sigs)), first, assume_unique=True)  # first rows but one of each
+        second = again[np.unique(number[again], return_index=True)[1]]
+        for stays in (first[new], second[new[number[second]]]):
+            apart[stays] = False
+        if len(common) < COMMON_MOST:
+            common = np.union1d(common, found[new])
+    own = (mix(owners.view(np.uint64)) % np.uint64(4095) + np.uint64(1)) << np.uint64(_OWN_BITS)
+    return np.where(apart, sigs | own, sigs), common
+
+
 def _sign(width: int, num: int, den: int, frequent, remember: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        common = _NONE
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, data, offsets in text_slices(batch.column(1)):
@@ -191,14 +219,20 @@ def _sign(width: int, num: int, den: int, frequent, remember: int = 1 << 20):
                     sigs.append(x)
                     owners.append(np.full(len(x), ids[row + k], np.int64))
                 if sigs and sum(map(len, sigs)):
-                    yield pa.record_batch([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(owners))], ["sig", "id"])
+                    owners = np.concatenate(owners)
+                    dealt, common = _deal(np.concatenate(sigs), owners, common)
+                    yield pa.record_batch([pa.array(signed(dealt)), pa.array(owners)], ["sig", "id"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by sig those whose sig another row has."""
+    """Of rows sorted by sig those whose sig another row has, or is known to have."""
     before, held = None, None
+
+    def rows(sig: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(sig & int(_OWN)), pa.array(ids)], ["sig", "id"])
+
     for batch in batches:
         sig, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(sig):
@@ -210,10 +244,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep |= sig >= int(_WEAK)
         keep, last_before = keep[:-1], sig[-2] if len(sig) > 1 else before
         if keep.any():
-            yield pa.record_batch([pa.array(sig[:-1][keep]), pa.array(ids[:-1][keep])], ["sig", "id"])
+            yield rows(sig[:-1][keep], ids[:-1][keep])
         before, held = last_before, (sig[-1:], ids[-1:])
     if held is not None and (held[0][0] >= int(_WEAK) or before is not None and held[0][0] == before):
-        yield pa.record_batch([pa.array(held[0]), pa.array(held[1])], ["sig", "id"])
+        yield rows(*held)
 
 
 def _sets(width: int):
@@ -373,7 +407,7 @@ def _verify_groups(groups: DataFrame, texts: DataFrame, width: int, num: int, de
     The texts are joined with where they are needed, by broadcast up to COPIES places (counted first), and their
     sets worked out again; so only sets of candidates are shuffled, once.
     """
-    shape = groups.groupBy("group").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    shape = groups.groupBy("group").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks")).select(anew("group"), "blocks")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("role")).alias("i"), F.greatest(k, F.col("role")).alias("j"))))
     dealt = groups.join(shape, "group").select("group", "rep", "blocks", block.alias("role")).withColumn("pair", pair)
@@ -407,13 +441,13 @@ def _shared_enough(buckets: DataFrame, num: int, den: int, rounds: int = 2) -> D
     now = buckets.where(F.col("sig") < int(_WEAK))
     most = buckets.agg(F.max("n")).first()[0] or 1
     for _ in range(rounds):
-        meet = now.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select("sig")
+        meet = now.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1").select(anew("sig"))
         now = materialize(now.join(meet, "sig"), "meet")
         own = now.groupBy("rep", "n").agg(F.count("*").alias("c")).join(weak, "rep", "left")
         enough = own.where(F.col("c") >= _least_shared(F.col("n"), num, den, most) - F.coalesce("weak", F.lit(0))).select("rep")
         now = now.join(enough, "rep").select("sig", "rep", "n")
     now = materialize(now, "enough")
-    return now.join(now.groupBy("sig").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).where("m > 1"), "sig")
+    return now.join(now.groupBy("sig").agg(F.count("*").alias("m"), F.min("rep").alias("lead")).where("m > 1").select(anew("sig"), "m", "lead"), "sig")
 
 
 def _fetch_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -564,11 +598,56 @@ def ngram_jaccard_components(
     )
 
 
+def _apart(docs: DataFrame, id_col: str, text_col: str, again: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """docs with a key that names an identifier and text together, and (key, id) of the keys that are not identifiers.
+
+    Identifiers in again (id) have several rows, or are null. Each of their texts gets a number that is no identifier.
+    """
+    digest, other, mine = hidden(docs.withColumn(key, F.lit(0)), "digest", "other", "mine")
+    marked = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
+    many = again.select(F.col("id").alias(mine))
+    own = marked.join(many, F.col(id_col).eqNullSafe(F.col(mine)), "left_semi").select(F.col(id_col).cast("long").alias(mine), F.col(digest).alias(other))
+    own = materialize(own.distinct().withColumn("n", F.monotonically_increasing_id()), "own")
+    low, high = docs.agg(F.coalesce(F.min(id_col), F.lit(0)).cast("long"), F.coalesce(F.max(id_col), F.lit(0)).cast("long")).first()
+    most = own.agg(F.max("n")).first()[0]
+    if low - 1 - most >= -(1 << 63):
+        number = F.lit(low - 1) - F.col("n")
+    elif high + 1 + most < 1 << 63:
+        number = F.lit(high + 1) + F.col("n")
+    else:
+        raise ValueError("identifiers leave no room for those of repeated ones")
+    own = own.select(mine, other, number.alias(key))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(mine)) & (F.col(digest) == F.col(other))
+    keyed = marked.join(own, same, "left").withColumn(key, F.coalesce(F.col(key), F.col(id_col).cast("long")))
+    return keyed.select(*quoted(*docs.columns, key)), own.select(key, F.col(mine).alias("id"))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs with one document, the smallest identifier, of each component; all columns stay."""
-    parts = ngram_jaccard_components(docs, id_col, text_col, width, num, den)
-    gone = materialize(parts.where(f"`{id_col}` <> component_id").select(id_col).distinct(), "near")
-    return not_in_ids(docs, gone, id_col)
+    """docs with one document, that of the smallest identifier, of each component; all columns stay, whatever their names.
+
+    Where several rows have one identifier, or it is null, each of their texts is a document of its own; a null
+    identifier comes last. Of rows with one identifier and one text one stays (by a hash of all columns). Rows without
+    words stay, one for each identifier and text. An empty table stays empty.
+    """
+    (key,) = hidden(docs, "key")
+    again = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL")
+    again = materialize(again.select("id"), "again")
+    if not again.limit(1).count():
+        parts = ngram_jaccard_components(docs, id_col, text_col, width, num, den)
+        gone = materialize(parts.where(f"`{id_col}` <> component_id").select(id_col).distinct(), "near")
+        return not_in_ids(docs, gone, id_col)
+    keyed, own = _apart(docs, id_col, text_col, again, key)
+    keyed = materialize(keyed, "keyed")
+    parts = ngram_jaccard_components(keyed, key, text_col, width, num, den).select(F.col(key).alias("k"), "component_id").distinct()
+    parts = parts.join(own.select(F.col(key).alias("k"), "id", F.lit(True).alias("own")), "k", "left")
+    place = F.struct(((F.col("own").isNotNull()) & F.col("id").isNull()).alias("none"), F.coalesce("id", "k").alias("id"), "k")
+    parts = materialize(parts.select("k", "component_id", place.alias("place")), "parts")
+    best = parts.groupBy("component_id").agg(F.min("place").alias("best"))
+    gone = parts.join(best, "component_id").where("place.k <> best.k").select(F.col("k").alias(key))
+    rows = not_in_ids(keyed, materialize(gone, "near"), key)
+    mine = materialize(own.select(key), "mine")
+    alone = not_in_ids(rows, mine, key).select(*quoted(*docs.columns))
+    return alone.unionByName(one_of_each(in_ids(rows, mine, key), [key], F.lit(0), docs.columns))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
