@@ -69,3 +69,83 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[301].text is None and clean[100].text == rows[1][1]
     assert pii.redact_pii(docs).columns == docs.columns
     assert pii.find_pii(docs.limit(0)).count() == 0 and pii.redact_pii(docs.limit(0)).count() == 0
+
+
+def plain_bootstrap(rows):
+    """The same graph by dictionaries: (id, text) rows -> the discovered (id, start, kind, end)."""
+    occ = []
+    for i, t in rows:
+        base = pii.base_spans(t)
+        for a, k, b in base + [(a, None, b) for a, b in pii.candidates(t, base)]:
+            left, right = pii.context(t, a, b)
+            if re.search(r"\S+ \S+", left):
+                v = t[a:b].lower()
+                pats = [("l", left)] + ([("b", left.split()[-1], right)] if right else [])
+                occ.append((i, a, k, b, v, pats))
+    family = lambda v: ("address", 0) if "@" in v else (
+        "dots" if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", v) else "number" if re.fullmatch(r"[\x20()+./0-9-]+", v) else "other", sum(c in "0123456789" for c in v))
+    seeds = {(o[4], o[2]) for o in occ if o[2] is not None}
+    seeded = {v for v, _ in seeds}
+    edges = {(p, o[4]) for o in occ for p in o[5]}
+
+    def fit(v, kind):
+        own = [family(s) for s, k in seeds if k == kind]
+        f, d = family(v)
+        return sum(max(0.0, 1 - abs(d - e) / pii.DIGITS_OFF) for g, e in own if g == f) / len(own) if own else 0.0
+
+    known, before = {(v, k): 1.0 for v, k in seeds}, None
+    while True:
+        conf = {}
+        for p, v in edges:
+            for k in range(4):
+                conf[p, k] = conf.get((p, k), 0.0) + known.get((v, k), 0.0)
+        size = {p: sum(q == p for q, _ in edges) for p, _ in edges}
+        scored = {(p, k): c / size[p] for (p, k), c in conf.items() if c >= pii.LEAST_SUPPORT and c / size[p] >= pii.LEAST_PATTERN}
+        if scored == before:
+            break
+        before, known = scored, {(v, k): 1.0 for v, k in seeds}
+        for v in {v for _, v in edges} - seeded:
+            best = (0.0, 0)
+            for k in range(4):
+                doubt = 1.0
+                for p, w in edges:
+                    if w == v and (p, k) in scored:
+                        doubt *= 1 - min(scored[p, k], 0.99)
+                f = fit(v, k)
+                if doubt < 1 and f > 0:
+                    best = max(best, ((1 - doubt) * (1 - pii.SHAPE_SHARE) + f * pii.SHAPE_SHARE, -k))
+            if best[0] >= pii.LEAST_INSTANCE:
+                known[v, -best[1]] = best[0]
+    return {(i, a, k, b) for i, a, kind, b, v, pats in occ if kind is None for k in range(4) if (v, k) in known and v not in seeded and any((p, k) in scored for p in pats)}
+
+
+def test_contexts_find_planted_identifiers_of_unseen_shapes(spark):
+    rng = random.Random(8)
+    rows, planted = [], {}
+
+    def digits(n):
+        return "".join(rng.choice("123456789") for _ in range(n))
+
+    for i in range(25):
+        rows.append((i, f"please dial number +1 (4{digits(2)}) 555-{digits(4)} today or never"))
+        rows.append((100 + i, f"to reach us write to u{digits(5)}@mail.example.org for more"))
+        rows.append((200 + i, f"the order number {digits(3)}-{digits(3)}-{digits(4)} was new"))  # looks like a phone, isn't one
+        rows.append((300 + i, f"the code of part {digits(10)} was late"))
+    for i, v in enumerate(("415-555-9999", "(415) 555.8888", "415 555 7777", "1.415.555.6666")):
+        planted[400 + i] = f"phone:{len('please dial number ')}:{len('please dial number ') + len(v)}"
+        rows.append((400 + i, f"please dial number {v} today or never"))
+    rows += [(500, "please dial number 2024-1 today or never"), (501, "to reach us write to someone[at]example7 for more")]
+    rows.append((502, "never write to u77@localhost for more"))  # an address without a dot: no base span
+    planted[502] = "email:15:28"
+    docs = spark.createDataFrame([(*r, k, "x", "y") for k, r in enumerate(rows)], "doc_id long, text string, digest int, mine string, _mine string")
+    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    found = {i: r.spans for i, r in got.items() if r.n_discovered}
+    assert found == planted  # all planted ones and no other
+    assert {(i, int(s.split(":")[1]), pii.KINDS.index(s.split(":")[0]), int(s.split(":")[2])) for i, s in found.items()} == plain_bootstrap(rows)
+    for few in (10, 0):
+        clean = pii.redact_pii(docs, few=few)
+        assert clean.columns == docs.columns
+        out = {r.doc_id: r for r in clean.collect()}
+        assert len(out) == len(rows) and out[400].text == "please dial number <PHONE> today or never" and out[502].text == "never write to <EMAIL> for more"
+        assert [r.digest for r in clean.orderBy("digest").collect()] == list(range(len(rows)))
+        assert all(out[i].text == t for i, t in rows if 200 <= i < 400 or i in (500, 501))

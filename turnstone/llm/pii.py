@@ -10,14 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import hidden, materialize, quoted, read
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct instances of a kind that a context needs, and the share of its instances they must be.
+#: Distinct instances of a kind that a context needs, the share of its instances they must be, an instance's least score.
 LEAST_SUPPORT, LEAST_PATTERN, LEAST_INSTANCE = 4.0, 0.8, 0.8
-ROUNDS = 3
-#: Code points of a candidate identifier.
-LONGEST = 64
+#: The part of an instance's score that its shape has, and the difference in digits at which it says nothing for a kind.
+SHAPE_SHARE, DIGITS_OFF = 0.25, 4.0
+#: Rounds end when no pattern changes; that takes few, as confidences only pass through shared instances.
+MOST_ROUNDS = 20
+#: Code points of a candidate identifier (an address has 254 at most), and those before and after it that are its context.
+LONGEST, BEFORE, AFTER = 254, 80, 40
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -110,19 +113,14 @@ def _words(text: str) -> Iterator[tuple[int, int]]:
 
 
 def context(text: str, start: int, end: int) -> tuple[str, str]:
-    """The two words before (lower-cased, digits as 0) and the word after; each within 80 characters."""
-    left = text[max(0, start - 80) : start].lower().split()[-2:]
-    right = text[end : end + 40].lower().split()[:1]
+    """The last two words of the BEFORE code points before and the first of the AFTER ones behind; lower case, digits as 0."""
+    left = text[max(0, start - BEFORE) : start].lower().split()[-2:]
+    right = text[end : end + AFTER].lower().split()[:1]
     return _DIGIT.sub("0", " ".join(left)), _DIGIT.sub("0", " ".join(right)).strip(_TRIM)
 
 
-def shape(value: str) -> str:
-    """Runs of letters as a, of digits as 0, other characters as they are."""
-    return re.sub(r"0+", "0", re.sub(r"[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", value)))
-
-
 SPAN = "struct<start:long,kind:int,end:long>"
-OCCURRENCE = "struct<start:long,kind:int,end:long,instance:string,shape:string,left:string,right:string>"
+OCCURRENCE = "struct<start:long,kind:int,end:long,instance:string,left:string,right:string>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,49 +136,76 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for a, k, b in spans + [(a, None, b) for a, b in candidates(text, spans)]:
                     left, right = context(text, a, b)
                     value = text[a:b].lower()
-                    found.append({"start": a, "kind": k, "end": b, "instance": value, "shape": shape(value), "left": left, "right": right})
+                    found.append({"start": a, "kind": k, "end": b, "instance": value, "left": left, "right": right})
             seen.append(found)
         span = [("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]
-        more = [(x, pa.string()) for x in ("instance", "shape", "left", "right")]
+        more = [(x, pa.string()) for x in ("instance", "left", "right")]
         yield pa.record_batch(
             [batch.column(0), pa.array(keys, pa.int64()), pa.array(base, pa.list_(pa.struct(span))), pa.array(seen, pa.list_(pa.struct(span + more)))],
             ["id", "key", "base", "seen"],
         )
 
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """seen (id, key, start, kind, end, instance, shape, left, right), kind null for candidates -> (id, key, start, kind, end).
+def _shape(instance: str):
+    """(family, digits): what characters an instance has, and how many digits (those of an address don't count)."""
+    c = F.col(instance)
+    family = F.when(F.contains(c, F.lit("@")), "address").when(c.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "dots").when(c.rlike(r"^[\x20()+./0-9-]+$"), "number").otherwise("other")
+    digits = F.when(family == "address", 0).otherwise(F.length(F.regexp_replace(c, "[^0-9]", "")))
+    return family.alias("family"), digits.alias("digits")
+
 
-    Two lexical patterns stand for each occurrence: the words before it, and the word before with the word after; both
-    with the instance's shape. Pattern and instances are a bipartite graph of distinct edges. A pattern's confidence
-    in a kind is the summed confidence of its instances over their number, an instance's is one less the product of
-    its patterns' doubts; seeds stay at 1 for their kind. After the last round the candidates at patterns and with
-    instances over the thresholds are found. All scores are Spark aggregates over the whole corpus.
+def _fits(shapes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(family, digits, kind, fit): the mean nearness in digits of a kind's seeds, 0 for seeds of another family.
+
+    There are four families and at most LONGEST numbers of digits, so all tables here are small.
+    """
+    per = seeds.groupBy("kind", "family", "digits").agg(F.count("*").alias("n"))
+    total = per.groupBy("kind").agg(F.sum("n").alias("total"))
+    near = F.greatest(F.lit(0.0), 1 - F.abs(F.col("digits") - F.col("d")) / DIGITS_OFF)
+    pairs = shapes.select("family", F.col("digits").alias("d")).distinct().join(per, "family")
+    return pairs.groupBy("family", F.col("d").alias("digits"), "kind").agg(F.sum(near * F.col("n")).alias("x")).join(total, "kind").select("family", "digits", "kind", (F.col("x") / F.col("total")).alias("fit")).where("fit > 0")
+
+
+def bootstrap(seen: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """seen (id, key, start, kind, end, instance, left, right), kind null for candidates -> (id, key, start, kind, end).
+
+    Two lexical patterns of words alone stand for each occurrence: the two words before it, and the word before with
+    the word after. Pattern and instances are a bipartite graph of distinct edges. A pattern's confidence in a kind is
+    the summed confidence of its instances over their number. An instance's is one less the product of its patterns'
+    doubts; its score adds, by SHAPE_SHARE, how near its shape is to those of the kind's seeds, and it is 0 without a
+    seed anywhere near, so a context finds identifiers of other shapes than the seeds', but not of any. Seeds stay at
+    1 for their kind. Rounds go on until no pattern changes; then the candidates at patterns and with instances over
+    the thresholds are found. All scores are Spark aggregates over the whole corpus. No seeds or candidates: no rows.
     """
     full = F.col("left").rlike(r"\S+ \S+")
     patterns = F.array_compact(
         F.array(
-            F.when(full, F.concat_ws("\u0001", F.lit("l"), "shape", "left")),
-            F.when(full & (F.col("right") != ""), F.concat_ws("\u0001", F.lit("b"), "shape", F.regexp_extract("left", r"(\S+)$", 1), "right")),
+            F.when(full, F.concat_ws("\u0001", F.lit("l"), "left")),
+            F.when(full & (F.col("right") != ""), F.concat_ws("\u0001", F.lit("b"), F.regexp_extract("left", r"(\S+)$", 1), "right")),
         )
     )
     rows = seen.withColumn("pattern", F.explode(patterns)).withColumn("p", F.xxhash64("pattern")).withColumn("i", F.xxhash64("instance"))
-    rows = materialize(rows.select("id", "key", "start", "end", "kind", "p", "i"), "occurrences")
+    rows = materialize(rows.select("id", "key", "start", "end", "kind", "p", "i", *_shape("instance")), "occurrences")
     edges = materialize(rows.select("p", "i").distinct(), "edges")
-    seeds = materialize(rows.where("kind IS NOT NULL").select("i", "kind", F.lit(1.0).alias("c")).distinct(), "seeds")
+    seeds = materialize(rows.where("kind IS NOT NULL").select("i", "kind", "family", "digits").distinct(), "seeds")
+    first = seeds.select("i", "kind", F.lit(1.0).alias("c"))
+    shapes = rows.where("kind IS NULL").select("i", "family", "digits").distinct()
+    fits = materialize(_fits(shapes, seeds), "fits")
+    fitting = materialize(shapes.join(F.broadcast(fits), ["family", "digits"]).join(seeds.select("i"), "i", "left_anti").select("i", "kind", "fit"), "shapes")
     sizes = edges.groupBy("p").agg(F.count("*").alias("n"))
-    known, scored = seeds, None
-    for _ in range(rounds):
+    known, scored, state = first, None, None
+    for _ in range(most_rounds):
         support = edges.join(known, "i").groupBy("p", "kind").agg(F.sum("c").alias("support"))
         scored = support.where(F.col("support") >= LEAST_SUPPORT).join(sizes, "p").select("p", "kind", (F.col("support") / F.col("n")).alias("c"))
         scored = materialize(scored.where(F.col("c") >= LEAST_PATTERN), "patterns")
-        if not scored.limit(1).count():
+        before, state = state, tuple(scored.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("p", "kind", F.round("c", 6)), F.lit(1 << 40)))).first())
+        if not state[0] or state == before:
             break
         doubt = F.sum(F.log(1 - F.least(F.col("c"), F.lit(0.99))))
-        guessed = edges.join(scored, "p").groupBy("i", "kind").agg((1 - F.exp(doubt)).alias("c"))
-        guessed = guessed.join(seeds.select("i").distinct(), "i", "left_anti").where(F.col("c") >= LEAST_INSTANCE)
+        guessed = edges.join(scored, "p").groupBy("i", "kind").agg((1 - F.exp(doubt)).alias("c")).join(fitting, ["i", "kind"])
+        guessed = guessed.select("i", "kind", (F.col("c") * (1 - SHAPE_SHARE) + F.col("fit") * SHAPE_SHARE).alias("c")).where(F.col("c") >= LEAST_INSTANCE)
         guessed = guessed.groupBy("i").agg(F.max(F.struct("c", (-F.col("kind")).alias("k"))).alias("x")).select("i", (-F.col("x.k")).alias("kind"), F.col("x.c").alias("c"))
-        known = materialize(seeds.unionByName(guessed), "known")
+        known = materialize(first.unionByName(guessed), "known")
     good = known.join(seeds.select("i").distinct(), "i", "left_anti")
     found = rows.where("kind IS NULL").drop("kind").join(scored.select("p", "kind"), "p").join(good.select("i", "kind"), ["i", "kind"])
     return found.select("id", "key", "start", "kind", "end").distinct()
@@ -238,13 +263,14 @@ def redact(text: str | None, more: list[tuple[int, int, int]]) -> str | None:
 
 
 def redact_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = 500_000) -> DataFrame:
-    """docs with every span of find_pii() replaced in the text; all rows and columns stay, null texts are null.
+    """docs with every span of find_pii() replaced in the text; all rows and columns stay, whatever their names.
 
-    The texts with discovered spans are few or none; up to ``few`` (counted first) are broadcast, more are joined by
-    a shuffle.
+    Null texts stay null, empty ones empty; rows that repeat an identifier and a text are changed alike. The texts with
+    discovered spans are few or none; up to ``few`` spans (counted first) are broadcast, more are joined by a shuffle.
+    An empty table stays empty.
     """
     _, more = _scan(docs, id_col, text_col)
-    n = more.limit(few + 1).count()
+    n = more.agg(F.coalesce(F.sum(F.size("more")), F.lit(0))).first()[0]
 
     def apply(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array(
@@ -262,11 +288,12 @@ def redact_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.array([xxhash.xxh3_64_intdigest((t.as_py() or "").encode()) - (1 << 63) for t in texts], pa.int64())
 
     key.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    keyed = docs.withColumn("__key", F.arrow_udf(key, "long")(text_col))
-    spans = more.select(F.col("id").alias("__id"), F.col("key").alias("__k"), F.col("more").alias("__more"))
+    digest, mine, other, added = hidden(docs, "digest", "mine", "other", "added")
+    keyed = docs.withColumn(digest, F.arrow_udf(key, "long")(text_col))
+    spans = more.select(F.col("id").alias(mine), F.col("key").alias(other), F.col("more").alias(added))
     spans = F.broadcast(spans) if n <= few else spans
-    joined = keyed.join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
-    return joined.withColumn(text_col, apply(F.col(text_col), F.col("__more"))).select(*docs.columns)
+    joined = keyed.join(spans, F.col(id_col).eqNullSafe(F.col(mine)) & (F.col(digest) == F.col(other)), "left")
+    return joined.withColumn(text_col, apply(F.col(text_col), F.col(added))).select(*quoted(*docs.columns))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
