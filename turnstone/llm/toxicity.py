@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -19,22 +20,21 @@ from .common import materialize, read
 
 #: Labelled rows that the lexicon and the calibration are learned from, at most: those with the smallest id hashes.
 SAMPLE_ROWS = 10_000
-#: Terms that are considered, and kept, at most.
-CANDIDATES, TERMS = 20_000, 400
 PREFIXES = range(4, 9)
 #: Least likelihood ratio (G squared) and log odds of a term.
 LEAST_G2, LEAST_WEIGHT = 15.0, 1.0
 #: Occurrences that count in a text, at most; texts that repeat a term say more than those with it once.
 REPEATS = 3
-#: Used without labels, and beside learned terms.
+#: Plain insults, used without labels and beside learned terms.
 SEED_LEXICON = {"idiot": 3.0, "moron": 3.0, "stupid": 2.0, "scum": 3.0, "worthless": 2.0, "pathetic": 2.0, "disgusting": 1.5}
-#: A match inside one of these does not count.
+#: Everyday phrases with such words. A match inside one of these, or inside a learned phrase, does not count.
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "class clown", "clown fish", "pond scum", "soap scum", "idiot proof")
 
 _LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝкмтвαορεικντυχıɡʟ", "aeopcyxijshdqwkmtbaopeikvtuxigl", strict=True))
 _DIGITS = str.maketrans("013457@$!|", "oieastasii")
 _DROPPED = {0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD}
-_INSIDE = re.compile(r"[013457@$!|](?=[0-9@$!|]*[^\W\d_])")
+# Runs of digits and signs before a letter, and runs of digits that end a word of letters; each run is looked at once.
+_INSIDE = re.compile(r"(?<![0-9@$!|])[0-9@$!|]++(?=[^\W\d_])|(?<=[^\W\d_])[013457]++(?![^\W_]|[@$!|])")
 
 
 class _Fold(dict):
@@ -57,7 +57,10 @@ _FOLD = _Fold()
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and digits inside a word as letters, zero-width marks gone, all else a blank."""
+    """Lower case, look-alikes and digits inside a word or at its end as letters, zero-width marks gone, all else a blank.
+
+    Linear in the text, also where it is one run of digits.
+    """
     low = unicodedata.normalize("NFC", text).lower()
     return _INSIDE.sub(lambda m: m[0].translate(_DIGITS), low).translate(_FOLD)
 
@@ -98,14 +101,19 @@ class ToxicityModel:
 def match_weight(folded: str, automaton: ahocorasick.Automaton) -> float:
     if not len(automaton):
         return 0.0
-    total, excepted, found = 0.0, [], []
+    total, starts, ends, found = 0.0, [], [], []
     for end, (size, w) in automaton.iter(folded):
-        if w is None:
-            excepted.append((end - size, end))
-        else:
+        if w is not None:
             found.append((end - size, end, w))
-    for a, b, w in found:
-        if not any(x <= a and b <= y for x, y in excepted):
+            continue
+        while starts and starts[-1] >= end - size:  # matches come by their ends: one that lies in this one says no more
+            starts.pop()
+            ends.pop()
+        starts.append(end - size)
+        ends.append(end)
+    for a, b, w in found:  # starts and ends ascend: the last phrase that starts at a or before ends last
+        k = bisect_right(starts, a)
+        if not k or ends[k - 1] < b:
             total += w
     return total
 
@@ -180,8 +188,6 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
             continue
         chosen[t] = w
         taken.update(stem[:k] for k in range(1, len(stem) + 1))
-        if len(chosen) == TERMS:
-            break
     return chosen
 
 
@@ -191,8 +197,10 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learns the lexicon and its calibration from at most sample_rows labelled rows outside the held-out fifth.
 
-    Terms are words and word beginnings whose document frequency among toxic texts exceeds that among the others by
-    likelihood ratio; the weight is the log odds. Without labels of both kinds the seed lexicon is used.
+    Terms are words and word beginnings whose hits among toxic texts exceed those among the others by likelihood ratio;
+    all of the sample's that pass are taken, and the weight is the log odds. What comes to the driver is counts of the
+    bounded sample. Rows that repeat an identifier count with its highest label; null labels and rows without a text's
+    words are left out or score as empty. Without labels of both kinds, an empty table included, the seed lexicon is used.
     """
     train = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(id_col, F.col(label_col).cast("int").alias("y"))
     train = train.groupBy(id_col).agg(F.max("y").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
@@ -200,7 +208,7 @@ def fit_toxicity(
     schema = "term string, docs long, hits long"
     both = F.sum("docs").alias("docs"), F.sum("hits").alias("hits")
     counted = sample.where("y = 1").mapInArrow(_count_terms(None), schema).groupBy("term").agg(*both)
-    top = counted.where("docs >= 3").orderBy(F.desc("docs"), "term").limit(CANDIDATES).collect()
+    top = counted.where("docs >= 3").collect()
     total = {r.y: r.n * REPEATS for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     lexicon = dict()
     if total.get(0) and total.get(1):
@@ -259,7 +267,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """docs without those scored 0.5 or more; all columns stay."""
+    """docs without those scored 0.5 or more; all columns stay, null and empty texts are scored as empty, repeats alike."""
     return docs.where(toxicity_score(model)(text_col) < 0.5)
 
 
