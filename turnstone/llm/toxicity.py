@@ -21,8 +21,8 @@ from .common import materialize, read
 #: Labelled rows that the lexicon and the calibration are learned from, at most: those with the smallest id hashes.
 SAMPLE_ROWS = 10_000
 PREFIXES = range(4, 9)
-#: Least likelihood ratio (G squared) and log odds of a term.
-LEAST_G2, LEAST_WEIGHT = 15.0, 1.0
+#: Terms that would pass by chance among all that are tried, about, and the least log odds of a term.
+CHANCE, LEAST_WEIGHT = 0.05, 1.0
 #: Occurrences that count in a text, at most; texts that repeat a term say more than those with it once.
 REPEATS = 3
 #: Plain insults, used without labels and beside learned terms.
@@ -172,13 +172,14 @@ def g2(a: int, n: int, b: int, m: int) -> float:
 def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
     """counts: term to its hits among the toxic and the clean; toxic, clean: hits there could be.
 
-    Of terms that begin each other one stays.
+    A term passes by its likelihood ratio (G squared), the higher the more terms are tried. Of terms that begin each
+    other one stays.
     """
-    scored = []
+    scored, least = [], 2 * math.log(max(1, len(counts)) / CHANCE)
     for t, (a, b) in counts.items():
         w = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
         strength = g2(a, toxic, b, clean)
-        if w >= LEAST_WEIGHT and strength >= LEAST_G2:
+        if w >= LEAST_WEIGHT and strength >= least:
             scored.append((-round(strength, 6), not t.endswith(" "), -len(t), t, w))
     chosen: dict[str, float] = {}
     taken: set[str] = set()  # all beginnings of chosen terms
