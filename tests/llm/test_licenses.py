@@ -88,3 +88,31 @@ def test_wrapped_notices():
     apache = L.TEMPLATES["Apache-2.0 notice"]
     assert named(re.sub(" (?=http|Unless)", "\n\n  ", apache)) == ["Apache-2.0 notice"]
     assert named(f"{L.TEMPLATES['MIT']}\n{L.TEMPLATES['BSD']}\n\nno\n\n{L.TEMPLATES['MIT']}") == ["MIT", "BSD", "MIT"]
+
+
+def test_full_texts_and_identifiers():
+    for name in ("MIT full", "BSD-2-Clause full", "ISC full"):
+        text = L.TEMPLATES[name]
+        paragraphs = re.sub(r" (?=THE SOFTWARE|THIS SOFTWARE IS|The above|[12]\. )", "\n\n", text)
+        for t in (text, paragraphs, "\n".join(f" * {x}".rstrip() for p in paragraphs.split("\n\n") for x in [*textwrap.wrap(p, 72), ""])):
+            whole = f"prose of no import goes here\n\nCopyright (c) 2021 Somebody\n\n{t}\n\nand other prose after it"
+            assert named(whole) == [name], (name, named(whole))
+    assert named("#!/bin/sh\n# SPDX-License-Identifier: GPL-2.0-or-later\n\n// SPDX-License-Identifier: MIT\n") == ["GPL-2.0-or-later SPDX", "MIT SPDX"]
+    assert named("SPDX-License-Identifier: LicenseRef-own") == []
+
+
+def test_every_block_equals_a_plain_search():
+    """In random texts with notices: the words of each notice found are its template's, and every planted one is found."""
+    rng = random.Random(9)
+    names = [n for n, t in L.TEMPLATES.items() if len(t) < 200]
+    for _ in range(60):
+        planted = rng.choices(names, k=rng.randint(0, 4))
+        parts = []
+        for n in planted:
+            parts += [" ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "license", "copyright"]) for _ in range(rng.randint(3, 400))) + ".", L.TEMPLATES[n]]
+        text = rng.choice([" ", "\n", "\n\n"]).join([*parts, "the end"])
+        assert named(text) == planted
+        for a, b in L.blocks(text):
+            for x, y, name, reduction, missing, added in L.notices(text, a, b):
+                assert L.words(text[x:y]) == L.words(L.TEMPLATES[name]) and (missing, added) == (0, 0) and reduction > 0
+    assert L.blocks("no trigger in here at all") == [] and L.blocks("") == []

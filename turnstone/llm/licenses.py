@@ -49,6 +49,39 @@ TEMPLATES: dict[str, str] = {
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MIT full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+        "and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+        'PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+        "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-2-Clause full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        'distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+        "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT "
+        "OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "ISC full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+        'PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES '
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+        "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+        "SOFTWARE."
+    ),
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -56,10 +89,17 @@ TEMPLATES: dict[str, str] = {
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Identifiers of the same licences as one line of a source file names them.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+    "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
+TEMPLATES |= {f"{name} SPDX": f"SPDX-License-Identifier: {name}" for name in SPDX}
 #: One of these, in lower case, is in every candidate block; between two words may be a line's end and comment marks.
 TRIGGERS = ("licens", "licenc", "copyright", "redistribut", "hereby granted", "public domain", "creative commons", "cc by", "spdx")
-#: Code points that a block has on both sides of a trigger; the longest template's length fits in it.
-REACH = 600
+#: A block has as many words on both sides of a trigger as the longest template, so many times: stray words and marks fit in.
+REACH = 2
 #: The most of a template's words that may be missing.
 MOST_MISSING = 0.1
 #: In an alignment, a missing word costs as much as so many added ones: a stray word further off is not drawn in.
@@ -67,14 +107,18 @@ STRAY = 20
 #: Words of a block that are aligned at once, and those that neighbouring parts share; no alignment is longer than these.
 PART, SHARED = 1 << 14, 1 << 12
 
-_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+# After a hyphen a line may end, and the next one may begin with comment marks.
+_WORD = re.compile(r"[^\W_]+(?:(?:[.]|-(?:\r?\n\W{0,20})?)[^\W_]+)*")
 _TRIGGERS = [(t.split()[0], re.compile(t.replace(" ", r"\W+"))) for t in TRIGGERS]
-_BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)*\n")
 _CLOSING = re.compile(r"[.,;:!?)\"'”’»]*")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [_plain(w) for w in _WORD.findall(text.lower())]
+
+
+def _plain(word: str) -> str:
+    return re.sub(r"\r?\n\W*", "", word) if "\n" in word else word
 
 
 @lru_cache(maxsize=4)
@@ -87,23 +131,31 @@ def _compressors(templates: tuple[tuple[str, str], ...], level: int = 6):
     return plain, out
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks: paragraphs with a trigger, cut to REACH around triggers.
+@lru_cache(maxsize=4)
+def reach(templates: tuple[tuple[str, str], ...]) -> int:
+    """Words that a block has on both sides of a trigger."""
+    return REACH * max((len(words(t)) for _, t in templates), default=1)
+
+
+def blocks(text: str, templates: Mapping[str, str] = TEMPLATES) -> list[tuple[int, int]]:
+    """(start, end) of the candidate blocks: what is around triggers, as far as the longest template could go.
 
-    Blocks that overlap, or with nothing but white space between them, are one: a notice may have paragraphs.
+    No template is that long, with all the stray words that an alignment may have about it, so nothing of a notice is
+    cut off; blank lines don't end a block, as notices have paragraphs. Blocks that overlap are one.
     """
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer: only ASCII letters matter here
         low = "".join(c.lower() if c < "\x80" else c for c in text)
     hits = sorted(m.start() for first, t in _TRIGGERS if first in low for m in t.finditer(low))
-    out: list[list[int]] = []
-    for at in hits:
-        a, b = max(0, at - REACH), min(len(text), at + REACH)
-        for m in _BLANK.finditer(text, a, at):
-            a = m.end()
-        if m := _BLANK.search(text, at, b):
-            b = m.start()
-        if out and not text[out[-1][1] : a].strip():
+    if not hits:
+        return []
+    at, most = [m.span() for m in _WORD.finditer(text)], reach(tuple(templates.items()))
+    starts, out = [x for x, _ in at], []
+    for hit in hits:
+        k = max(0, bisect(starts, hit) - 1)
+        a, b = at[max(0, k - most)][0], at[min(len(at) - 1, k + most)][1]
+        b = _CLOSING.match(text, b).end()
+        if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
@@ -181,7 +233,7 @@ def notices(text: str, a: int = 0, b: int | None = None, templates: Mapping[str,
     # words that the block's bounds cut in two are none
     at = at[bool(at and 0 < at[0][0] == a and text[a - 1].isalnum()) :]
     at = at[: len(at) - bool(at and at[-1][1] == b < len(text) and text[b].isalnum())]
-    have, found = [text[x:y].lower() for x, y in at], []
+    have, found = [_plain(text[x:y].lower()) for x, y in at], []
     for start in range(0, max(1, len(have) - SHARED), PART - SHARED):
         part = have[start : start + PART]
         counts = Counter(part)
@@ -226,7 +278,7 @@ def _scan(templates: dict[str, str]):
             rows, out = [], []
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
-                for a, b in blocks(text):
+                for a, b in blocks(text, templates):
                     found = notices(text, a, b, templates) or [(a, b, *identify(text[a:b], templates))]
                     rows += [k] * len(found)
                     out += [(*x, x[2] is not None) for x in found]
@@ -244,8 +296,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A row for each notice in the candidate blocks of every whole text: id_col, start, end, license, reduction, missing,
     added, confirmed.
 
-    A block is the paragraph around a trigger word, within REACH, joined with its neighbours that have one too. Every template is aligned with a block's words, and each
-    notice is confirmed by its exact wording differences (words missing and added), however much other text the block has;
+    A block is the text around trigger words, on both sides as many words as twice the longest template has. Every
+    template is aligned with a block's words, and each notice is confirmed by its exact wording differences (words missing and added), however much other text the block has;
     start and end are the notice's own. Each template is a raw Zstandard dictionary, and reduction is the share of the
     notice's compressed bytes that it saves. A block without a confirmed notice has one row with the block's bounds, the
     best reduction of any template and a null license. Offsets are code points.
