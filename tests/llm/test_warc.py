@@ -58,3 +58,9 @@ def test_any_zstandard_reader_takes_a_bundle():
         assert table[frame][0] == at
         frame_data = zstandard.ZstdDecompressor().decompress(data[at : at + table[frame][1]])
         assert frame_data[offset : offset + size] == r
+
+
+def test_bundles_are_read_back_by_many_tasks(spark):
+    index = spark.createDataFrame([(f"bundle-{k % 100}",) for k in range(400)], "bundle string")
+    assert warc.read_warc(index).rdd.getNumPartitions() == 25
+    assert warc.read_warc(index.limit(0)).count() == 0

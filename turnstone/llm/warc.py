@@ -21,6 +21,8 @@ from .common import materialize, new_path, read, spread
 #: Uncompressed bytes after which a frame, and records after which a bundle ends.
 FRAME_BYTES, BUNDLE_RECORDS = 1 << 18, 20_000
 RUNS = 64
+#: Bundles for each task that reads archives back.
+BUNDLES = 4
 # The seekable format: a skippable frame at the end holds the sizes of all frames before it.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -227,8 +229,13 @@ def write_warc(
 
 
 def read_warc(index: DataFrame) -> DataFrame:
-    """(id, payload_bytes, payload_digest, record_type, refers_to) of every record in the bundles of an index."""
-    return index.select("bundle").distinct().repartition("bundle").mapInArrow(
+    """(id, payload_bytes, payload_digest, record_type, refers_to) of every record in the bundles of an index.
+
+    The bundles are counted and dealt to tasks of about BUNDLES each; by their few bytes alone they would all go to one.
+    An empty index gives an empty result.
+    """
+    bundles = materialize(index.select("bundle").distinct(), "bundles")
+    return bundles.repartition(max(1, -(-bundles.count() // BUNDLES)), F.xxhash64("bundle")).mapInArrow(
         _read, "id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
     )
 
