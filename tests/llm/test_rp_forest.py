@@ -66,3 +66,16 @@ def test_empty_table_and_alike_vectors(spark):
     assert rp_forest.near_vectors(df.limit(0)).count() == 0
     got = sorted(map(tuple, rp_forest.near_vectors(df, leaf_size=10, leaf_most=20, block=16).collect()), key=str)
     assert got == brute(rows, 0.98)
+
+
+def test_recall_with_production_parameters(spark):
+    """12,000 vectors of one label, many pairs just over the threshold, trees really split; against all pairs in blocks."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((4000, 32))
+    x = np.concatenate([base, base + rng.standard_normal(base.shape) * 0.19, base + rng.standard_normal(base.shape) * 0.2]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    n = np.concatenate([(unit[a : a + 2000] @ unit.T >= 0.98).sum(axis=1) - 1 for a in range(0, len(x), 2000)])
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(8)
+    got = {r.vec_id: r for r in rp_forest.near_vectors(df).collect()}
+    found = np.array([got[k].n_links for k in range(len(x))])
+    assert (found <= n).all() and n.sum() > 8000 and found.sum() >= 0.99 * n.sum(), (found.sum(), n.sum())

@@ -125,7 +125,7 @@ def fit_cuts(x: np.ndarray, leaf: int, levels: int, margin: float, least: float)
 
 
 def _route(threshold: float, dtype: str):
-    """Rows (leaf, n, cuts, id, vec) to their new leaves."""
+    """Rows (leaf, n, cuts, id, vec) to their new leaves, without the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,34 +141,36 @@ def _route(threshold: float, dtype: str):
                     to.append(np.full(len(members), mix(np.array([one], np.int64).view(np.uint64) + np.uint64(child + 1))[0]))
             if take:
                 take = np.concatenate(take)
-                yield pa.record_batch([pa.array(signed(np.concatenate(to))), pa.array(n[take]), batch.column(3).take(pa.array(take)), batch.column(4).take(pa.array(take))], ["leaf", "above", "id", "vec"])
+                yield pa.record_batch([pa.array(signed(np.concatenate(to))), pa.array(n[take]), batch.column(3).take(pa.array(take))], ["leaf", "above", "id"])
 
     return run
 
 
 def grow_forest(vectors: DataFrame, dtype: str, trees: int, leaf_size: int, threshold: float, leaf_most: int = LEAF_MOST, max_rounds: int = 12) -> DataFrame:
-    """vectors (id, root, vec) -> (leaf, id, vec): each vector's leaves in every tree, a table in the shared folder.
+    """vectors (id, root, vec) -> (leaf, id): each vector's leaves in every tree, a table in the shared folder.
 
     A round splits the nodes with more than leaf_most vectors by up to LEVELS levels: directions are drawn from the
     node's number, cuts are fitted to a sample of the node of about SAMPLE vectors (taken by hash), and every vector
-    is routed, to both sides where it is near a cut. A node that hardly shrinks, as of vectors that are all alike,
-    becomes a leaf as it is.
+    is routed, to both sides where it is near a cut. Only nodes and identifiers are written; a round reads the vectors
+    of the nodes that it splits from the one table of them. A node that hardly shrinks, as of vectors that are all
+    alike, becomes a leaf as it is.
     """
-    numbers = F.explode(F.sequence(F.lit(1), F.lit(trees)))
-    now = vectors.select("root", "id", "vec", numbers.alias("tree"))
-    now = materialize(now.select(F.xxhash64("root", "tree").alias("leaf"), F.lit(0).cast("long").alias("above"), "id", "vec"), "forest")
-    done = None
+    # the first nodes, one for each root and tree, need no table: each vector is in all its root's
+    roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64("root", t))).alias("leaf")
+    sizes = vectors.groupBy("root").agg(F.count("*").alias("n")).select(roots, "n")
+    sizes = materialize(sizes.withColumn("large", F.col("n") > leaf_most), "sizes")
+    now, done = vectors.select("id", "root", roots).select("leaf", "id"), None
+    first = True
     for _ in range(max_rounds):
-        sizes = now.groupBy("leaf").agg(F.count("*").alias("n"), F.max("above").alias("above"))
-        large = (F.col("n") > leaf_most) & ((F.col("above") == 0) | (F.col("n") < STUCK * F.col("above")))
-        sizes = materialize(sizes.withColumn("large", large).select("leaf", "n", "large"), "sizes")
-        rows = now.select("leaf", "id", "vec").join(sizes, "leaf")
-        small = rows.where("NOT large").select("leaf", "id", "vec")
-        if not sizes.where("large").limit(1).count():
-            return small if done is None else done.unionByName(small)
-        small = materialize(small, "leaves")
+        small = materialize(now.join(sizes.where("NOT large").select("leaf"), "leaf").select("leaf", "id"), "leaves")
         done = small if done is None else done.unionByName(small)
-        rows = rows.where("large")
+        large = sizes.where("large").select("leaf", "n")
+        if not large.limit(1).count():
+            return done
+        if first:
+            rows = vectors.select("id", "vec", roots).join(large, "leaf").select("leaf", "n", "id", "vec")
+        else:
+            rows = now.join(large, "leaf").join(vectors.select("id", "vec"), "id").select("leaf", "n", "id", "vec")
         share = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < F.lit(float(SAMPLE) * (1 << 30)) / F.col("n")
 
         def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,11 +181,12 @@ def grow_forest(vectors: DataFrame, dtype: str, trees: int, leaf_size: int, thre
             return pd.DataFrame({"leaf": [key[0]], "cuts": [fitted.tolist()]})
 
         cuts = materialize(rows.where(share).select("leaf", "n", "vec").groupBy("leaf").applyInPandas(fit, "leaf long, cuts array<double>"), "cuts")
-        routed = rows.join(cuts, "leaf").select("leaf", "n", "cuts", "id", "vec").mapInArrow(_route(threshold, dtype), "leaf long, above long, id long, vec binary")
-        after = materialize(routed, "forest")
-        discard(now)
-        now = after
-    return done.unionByName(now.select("leaf", "id", "vec"))
+        routed = rows.join(cuts, "leaf").select("leaf", "n", "cuts", "id", "vec").mapInArrow(_route(threshold, dtype), "leaf long, above long, id long")
+        now, before, first = materialize(routed, "forest"), None if first else now, False
+        discard(before)
+        sizes = now.groupBy("leaf").agg(F.count("*").alias("n"), F.max("above").alias("above"))
+        sizes = materialize(sizes.select("leaf", "n", ((F.col("n") > leaf_most) & (F.col("n") < STUCK * F.col("above"))).alias("large")), "sizes")
+    return done.unionByName(now.join(sizes, "leaf").select("leaf", "id"))
 
 
 def _compare(threshold: float, dtype: str):
@@ -273,7 +276,7 @@ def near_vectors(
     leaves = forest.groupBy("id").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
     sizes = forest.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select("leaf", F.when(F.col("n") <= leaf_most, 1).otherwise(F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
-    dealt = forest.join(sizes, "leaf").join(leaves, "id").join(reps.select("id", "weight"), "id")
+    dealt = forest.join(sizes, "leaf").join(leaves, "id").join(reps.select("id", "weight", "vec"), "id")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
     dealt = dealt.withColumn("pair", pair).select("leaf", "pair.i", "pair.j", "id", "weight", "leaves", "vec", "block")
