@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions.vectors import cosine
+from turnstone.sources.shared import materialize
 
 
 def by_tags(segments: DataFrame, tags: list[str], least: int, limit: int) -> DataFrame:
@@ -28,7 +29,8 @@ def both_ways(links: DataFrame) -> DataFrame:
 def linked_facts(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(id, hops): facts within depth links of a seed (id), seeds left out, at the fewest hops; depth is 1 to 5.
 
-    Each hop joins the frontier with the links and leaves out what was seen, so a hop's rows are those it adds.
+    Each hop joins the frontier with the links and leaves out what was seen, so a hop's rows are those it adds; they are
+    written to the shared folder, so that a later hop doesn't work out the earlier ones again.
     """
     depth = max(1, min(5, depth))
     edges = both_ways(links).select("a", "b")
@@ -36,7 +38,7 @@ def linked_facts(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     frontier = seen
     for hop in range(1, depth + 1):
         reached = frontier.join(edges, frontier["id"] == edges["a"]).select(F.col("b").alias("id")).distinct()
-        frontier = reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops"))
+        frontier = materialize(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops")), "frontier")
         seen = seen.unionByName(frontier)
     return seen.where("hops > 0")
 
@@ -80,12 +82,28 @@ def alignment(stored: DataFrame, incoming: DataFrame, widths: tuple[int, ...] =
 
 
 def similar_tags(tags: DataFrame, least: float) -> DataFrame:
-    """Pairs of tags whose edit distance is small: 1 - distance / longer length >= least. Lengths bound the pairs."""
-    a, b = tags.select(F.col("tag").alias("a")), tags.select(F.col("tag").alias("b"))
-    la, lb = F.char_length("a"), F.char_length("b")
-    near = (F.col("a") < F.col("b")) & (F.least(la, lb) >= least * F.greatest(la, lb))
-    sim = 1 - F.levenshtein("a", "b") / F.greatest(la, lb)
-    return a.join(F.broadcast(b), near).select("a", "b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") >= least)
+    """Pairs of distinct tags whose edit distance is small: 1 - distance / longer length >= least.
+
+    A tag of length n differs from a similar one, no longer than itself, in at most e = floor((1 - least) * n) edits. Cut
+    into e + 1 pieces, one piece is whole in the other tag, at most e places off. So pieces and substrings meet in an
+    equi-join on (n, piece number, text), and only what meets is measured: no pairs of all tags.
+    """
+    t = tags.select("tag").where(F.char_length("tag") > 0).distinct()
+    edits = lambda n: F.floor((1 - least) * n + 1e-9).cast("int")
+    n = F.char_length("tag")
+    pieces = t.select(F.col("tag").alias("a"), n.alias("n"), F.explode(F.sequence(F.lit(0), edits(n))).alias("i"))
+    parts = edits(F.col("n")) + 1
+    begin, end = F.floor(F.col("i") * F.col("n") / parts).cast("int"), F.floor((F.col("i") + 1) * F.col("n") / parts).cast("int")
+    pieces = pieces.select("a", "n", "i", F.substr("a", begin + 1, end - begin).alias("part"))
+    longer = t.select(F.col("tag").alias("b"), n.alias("m"), F.explode(F.sequence(n, F.floor(n / least + 1e-9).cast("int"))).alias("n"))
+    probes = longer.where(F.col("n") - F.col("m") <= edits(F.col("n"))).select("b", "m", "n", F.explode(F.sequence(F.lit(0), edits(F.col("n")))).alias("i"))
+    probes = probes.select("b", "m", "n", "i", begin.alias("at"), (end - begin).alias("size"), edits(F.col("n")).alias("e"))
+    first, last = F.greatest(F.lit(0), F.col("at") - F.col("e")), F.least(F.col("m") - F.col("size"), F.col("at") + F.col("e"))
+    probes = probes.where(first <= last).select("b", "n", "i", "size", F.explode(F.sequence(first, last)).alias("s"))
+    probes = probes.select("b", "n", "i", F.substr("b", F.col("s") + 1, F.col("size")).alias("part")).distinct()
+    pairs = pieces.join(probes, ["n", "i", "part"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sim = 1 - F.levenshtein("a", "b") / F.greatest(F.char_length("a"), F.char_length("b"))
+    return pairs.select("a", "b", F.round(sim, 6).alias("similarity")).where(sim >= least - 1e-12)
 
 
 def merge_candidates(segments: DataFrame, least: int = 2, run: int = 10_000) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstone.functions.text import query_terms
+from turnstone.functions.text import normalize_answer
 from turnstone.functions.vectors import cosine
+from turnstone.sources.shared import materialize
 
 #: Rank constant and weights of the fused signals; a missing rank counts as twice the constant.
 RRF_K = 60
@@ -29,9 +30,10 @@ def idf_candidates(segments: DataFrame, tags: list[str], related: list[str]) ->
 
 
 def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """docs (id, text) -> (id, score). Only the query's terms are exploded; lengths and counts are aggregates."""
+    """docs (id, text) -> (id, score). Texts are read once: their lengths and hits are written, statistics come from those."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]{2,})"))
     base = docs.select("id", words.alias("w")).select("id", F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(query)).alias("hits"))
+    base = materialize(base, "bm25")
     stats = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = base.select("id", "dl", F.explode("hits").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -71,8 +73,10 @@ def gravity(embedding: DataFrame, lexical: DataFrame) -> DataFrame:
 
 def hub_dampening(scores: DataFrame, usage: DataFrame, query: list[str]) -> DataFrame:
     """Lowers tags used more than the 90th percentile (the value at floor(.9 n)) that the query doesn't name."""
-    p = F.sort_array(F.collect_list("usage"))
-    stats = usage.agg(p.alias("u")).select(F.element_at("u", F.floor(0.9 * F.size("u")).cast("int") + 1).alias("p90"), F.array_max("u").alias("top"))
+    # by the distinct usages, of which there are few: the first that more than .9 n tags have at most
+    per = usage.groupBy("usage").agg(F.count("*").alias("tags"))
+    upto = per.select("usage", F.sum("tags").over(Window.orderBy("usage")).alias("upto")).crossJoin(F.broadcast(per.agg(F.sum("tags").alias("n"))))
+    stats = upto.agg(F.min(F.when(F.col("upto") > F.floor(0.9 * F.col("n")), F.col("usage"))).alias("p90"), F.max("usage").alias("top"))
     over = F.greatest(F.lit(0.2), 1 - 0.6 * (F.col("usage") - F.col("p90")) / F.greatest(F.col("top") - F.col("p90"), F.lit(1)))
     hub = (F.col("usage") > F.col("p90")) & ~F.col("tag").isin(query)
     return scores.join(usage.select("tag", "usage"), "tag", "left").crossJoin(F.broadcast(stats)).select("tag", F.when(hub, F.col("score") * over).otherwise(F.col("score")).alias("score"))
@@ -85,12 +89,31 @@ def boost(scores: DataFrame, tags: DataFrame, factor: float = 1.15) -> DataFrame
 
 
 def tokens_f1(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs (id, a, b) -> (id, f1) of their words as multisets."""
+    """pairs (id, a, b) -> (id, f1) of the words of normalised answers, as multisets; no row for pairs without words."""
     def bag(c: str, name: str) -> DataFrame:
-        return pairs.select("id", F.explode(query_terms(c)).alias("w")).groupBy("id", "w").agg(F.count("*").alias(name))
+        words = F.filter(F.split(normalize_answer(c), " "), lambda w: w != "")
+        return pairs.select("id", F.explode(words).alias("w")).groupBy("id", "w").agg(F.count("*").alias(name))
 
     both = bag(a, "na").join(bag(b, "nb"), ["id", "w"], "full").groupBy("id").agg(
         F.sum(F.least(F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0)))).alias("common"), F.sum("na").alias("na"), F.sum("nb").alias("nb")
     )
     f1 = 2.0 * F.col("common") / (F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0)))
     return both.select("id", F.round(f1, 6).alias("f1"))
+
+
+def kendall_tau_b(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, tau) of two rankings, from counts of pairs of values: no pairs of rows.
+
+    Rows are counted by (x, y); sums over the grid of a key's values give the pairs that agree. The grid has as many
+    cells as distinct x times distinct y, whatever the number of rows. No row for a key where either is constant.
+    """
+    cells = rows.groupBy(key, x, y).agg(F.count("*").alias("n"))
+    grid = cells.select(key, x).distinct().join(cells.select(key, y).distinct(), key).join(cells, [key, x, y], "left").fillna(0, ["n"])
+    column = grid.withColumn("c", F.coalesce(F.sum("n").over(Window.partitionBy(key, x).orderBy(y).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = column.withColumn("below", F.coalesce(F.sum("c").over(Window.partitionBy(key, y).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    agree = below.groupBy(key).agg(F.sum(F.col("n") * F.col("below")).alias("con"), F.sum("n").alias("all"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("txy"))
+    ties = lambda c, name: cells.groupBy(key, c).agg(F.sum("n").alias("k")).groupBy(key).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias(name))
+    j = agree.join(ties(x, "tx"), key).join(ties(y, "ty"), key).withColumn("pairs", F.col("all") * (F.col("all") - 1) / 2)
+    dis = F.col("pairs") - F.col("con") - F.col("tx") - F.col("ty") + F.col("txy")
+    under = (F.col("pairs") - F.col("tx")) * (F.col("pairs") - F.col("ty"))
+    return j.where(under > 0).select(key, F.round((F.col("con") - dis) / F.sqrt(under), 6).alias("tau"))

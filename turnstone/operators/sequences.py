@@ -99,6 +99,29 @@ def set_cover(rows: DataFrame, key: str, item: str, tag: str, skip: str = "_gene
     return rows.groupBy(key).applyInPandas(cover, f"{key} {kinds[key]}, {item} {kinds[item]}, step int")
 
 
+def top_per_key(rows: DataFrame, key: str, k: int, *order: Column, runs: int = 64) -> DataFrame:
+    """The first k rows of each key in an order, with their rank r. Each run of a key gives its first k, so no task has a hot key whole."""
+    names = rows.columns
+    run = F.pmod(F.xxhash64(*[F.col(c) for c in names if not rows.schema[c].dataType.typeName() == "map"]), F.lit(runs))
+    part = rows.withColumn("run", run).withColumn("r", F.row_number().over(Window.partitionBy(key, "run").orderBy(*order)))
+    first = part.where(F.col("r") <= k).select(*names)
+    return first.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("r") <= k)
+
+
+def global_row_number(rows: DataFrame, first: str, bucket: Column, *order: Column) -> DataFrame:
+    """rows with n, their number from 1 in the order of first, then of order; bucket ascends with order.
+
+    Only counts meet in one task: of the values of first, and of a value's buckets. Rows are numbered within a bucket.
+    """
+    named = rows.withColumn("bucket", bucket)
+    counts = named.groupBy(first, "bucket").agg(F.count("*").alias("rows"))
+    before = lambda w: F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.groupBy(first).agg(F.sum("rows").alias("rows")).withColumn("skip", before(Window.orderBy(first))).drop("rows")
+    inner = counts.withColumn("inner", before(Window.partitionBy(first).orderBy("bucket"))).join(firsts, first)
+    own = F.row_number().over(Window.partitionBy(first, "bucket").orderBy(*order))
+    return named.withColumn("own", own).join(inner.drop("rows"), [first, "bucket"]).withColumn("n", F.col("own") + F.col("inner") + F.col("skip")).drop("own", "inner", "skip", "bucket")
+
+
 def evenly(n: Column, k: int, row: Column) -> Column:
     """Whether the 0-based row is one of k evenly spaced ones of n, the first and the last among them."""
     taken = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (n - 1) / (k - 1)))

@@ -14,12 +14,12 @@ from turnstone.sources import tables as T
 from turnstone.sources.tables import sql
 
 
-@query("a14_span_union", sql(""", i AS (SELECT l_orderkey AS k, l_linenumber * 3 + l_suppkey % 5 AS s, l_linenumber * 3 + l_suppkey % 5 + l_partkey % 4 AS e FROM lineitem WHERE l_orderkey % 10 = 0),
+@query("a14_span_union", sql(""", i AS (SELECT l_orderkey AS k, l_linenumber * 3 + l_suppkey % 5 AS s, l_linenumber * 3 + l_suppkey % 5 + l_partkey % 4 AS e FROM lineitem),
 b AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
 g AS (SELECT *, sum(CASE WHEN s <= before + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY s, e) AS island FROM b)
 SELECT k, min(s) AS s, max(e) AS e FROM g GROUP BY k, island"""))
 def a14(spark, d):
-    li = T.read(spark, d, "lineitem").where("l_orderkey % 10 = 0")
+    li = T.read(spark, d, "lineitem")
     at = F.col("l_linenumber") * 3 + F.col("l_suppkey") % 5
     return sequences.interval_union(li.select(F.col("l_orderkey").alias("k"), at.alias("s"), (at + F.col("l_partkey") % 4).alias("e")), "k", "s", "e")
 
@@ -233,11 +233,14 @@ def p56(spark, d):
     return t.join(done, "hash", "left").select("conversation_id", "turn_no", F.when(F.col("hit"), "[compacted]").otherwise(F.col("user_text")).alias("shown"))
 
 
-@query("p62_tag_sections", sql("SELECT primary_tag, string_agg(CAST(ref AS VARCHAR) || ': ' || left(summary, 20), chr(10) ORDER BY ref) AS section FROM segments WHERE ref < 400 GROUP BY 1"))
+@query("p62_tag_sections", sql(""", r AS (SELECT *, row_number() OVER (PARTITION BY primary_tag ORDER BY created_at DESC, ref) AS r FROM segments)
+SELECT primary_tag, '## ' || primary_tag || chr(10) || string_agg('- [' || strftime(created_at, '%Y-%m-%d') || '] ' || summary, chr(10) ORDER BY r) AS section FROM r WHERE r <= 20 GROUP BY primary_tag"""))
 def p62(spark, d):
-    line = F.concat(F.col("ref").cast("string"), F.lit(": "), F.substring("summary", 1, 20))
-    lines = F.array_sort(F.collect_list(F.struct("ref", line.alias("line"))))
-    return T.segments(spark, d).where("ref < 400").groupBy("primary_tag").agg(F.concat_ws("\n", lines["line"]).alias("section"))
+    """A section shows a tag's newest twenty segments, as a prompt has room for no more."""
+    newest = sequences.top_per_key(T.segments(spark, d).select("primary_tag", "ref", "summary", "created_at"), "primary_tag", 20, F.desc("created_at"), F.col("ref"))
+    line = F.concat(F.lit("- ["), F.date_format("created_at", "yyyy-MM-dd"), F.lit("] "), F.col("summary"))
+    lines = F.array_sort(F.collect_list(F.struct("r", line.alias("line"))))
+    return newest.groupBy("primary_tag").agg(F.concat_ws("\n", F.concat(F.lit("## "), F.col("primary_tag")), lines["line"]).alias("section"))
 
 
 @query("p68_claim_pool", sql("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY subject, object ORDER BY when_date DESC, id DESC) AS r FROM facts) WHERE r = 1"))

@@ -11,6 +11,7 @@ from turnstone.operators import filters, joins, sequences
 from turnstone.plans.registry import query
 from turnstone.plans.sequence_queries import TURNS
 from turnstone.sources import tables as T
+from turnstone.sources.shared import materialize
 from turnstone.sources.tables import sql
 
 
@@ -105,14 +106,18 @@ def j4(spark, d):
     return T.read(spark, d, "conversations").join(want, ["conv_id", "turn"], "left_semi").select("conv_id", "turn", "role")
 
 
-@query("j13_reverse_dependents", sql(", e AS (SELECT o_orderkey AS node, o_orderkey // 3 AS parent FROM orders WHERE o_orderkey BETWEEN 1 AND 1000), r AS (SELECT node, 1 AS level FROM e WHERE parent = 2 UNION ALL SELECT e.node, r.level + 1 FROM r JOIN e ON e.parent = r.node WHERE r.level < 8) SELECT node, level FROM r", recursive=True))
+@query("j13_reverse_dependents", sql(", e AS (SELECT node, parent FROM (SELECT o_orderkey AS node, o_orderkey // 3 AS parent, row_number() OVER (PARTITION BY o_orderkey // 3 ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 256), r AS (SELECT node, 1 AS level FROM e WHERE parent = 2 UNION ALL SELECT e.node, r.level + 1 FROM r JOIN e ON e.parent = r.node WHERE r.level < 8) SELECT node, level FROM r", recursive=True))
 def j13(spark, d):
-    e = T.read(spark, d, "orders").where("o_orderkey BETWEEN 1 AND 1000").select(F.col("o_orderkey").alias("node"), F.expr("o_orderkey div 3").alias("parent"))
+    """A node's first 256 dependents count, as in the operator's own bound; eight levels."""
+    e = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.expr("o_orderkey div 3").alias("parent"))
+    e = e.withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("node"))).where("r <= 256").drop("r")
     level = e.where("parent = 2").select("node", F.lit(1).alias("level"))
     out = level
     for k in range(2, 9):
-        level = e.join(level.select(F.col("node").alias("parent")), "parent").select("node", F.lit(k).alias("level"))
+        level = materialize(e.join(level.select(F.col("node").alias("parent")), "parent").select("node", F.lit(k).alias("level")), "level")
         out = out.unionByName(level)
+        if not level.limit(1).count():
+            break
     return out
 
 
@@ -131,26 +136,16 @@ def j20(spark, d):
     return payload.withColumn("src", F.lit("payload")).unionByName(c.where("turn >= 2").select("id").join(payload, "id", "left_anti").withColumn("src", F.lit("stored")))
 
 
-@query("j24_merge_candidates", sql("SELECT ref, best FROM (SELECT a.ref, b.ref AS best, row_number() OVER (PARTITION BY a.ref ORDER BY round(len(list_intersect(a.tags, b.tags)) / 3.0 * greatest(0.5, 1 - (a.ref - b.ref) / 60.0), 6) DESC, b.ref DESC) AS r FROM segments a JOIN segments b ON a.primary_tag = b.primary_tag AND b.ref < a.ref AND a.ref - b.ref <= 60 WHERE len(list_intersect(a.tags, b.tags)) >= 2) WHERE r = 1"))
+@query("j24_merge_candidates", sql("SELECT ref, best FROM (SELECT a.ref, b.ref AS best, row_number() OVER (PARTITION BY a.ref ORDER BY round(len(list_intersect(a.tags, b.tags)) / 3.0 * greatest(0.5, 1 - (a.ref - b.ref) / 60.0), 6) DESC, b.ref DESC) AS r FROM segments a JOIN segments b ON a.primary_tag = b.primary_tag AND b.ref < a.ref WHERE len(list_intersect(a.tags, b.tags)) >= 2) WHERE r = 1"))
 def j24(spark, d):
-    s = T.segments(spark, d).select("ref", "primary_tag", "tags")
-    b = s.select(F.col("ref").alias("best"), "primary_tag", F.col("tags").alias("other"))
-    common = F.size(F.array_intersect("tags", "other"))
-    score = F.round(common / 3.0 * F.greatest(F.lit(0.5), 1 - (F.col("ref") - F.col("best")) / 60.0), 6)
-    pairs = s.join(b, "primary_tag").where((F.col("best") < F.col("ref")) & (F.col("ref") - F.col("best") <= 60) & (common >= 2))
-    return pairs.groupBy("ref").agg(F.max(F.struct(score.alias("s"), "best")).alias("x")).select("ref", "x.best")
-
-
-@query("j24_merge_candidates_any_age")
-def j24_any_age(spark, d):
     return joins.merge_candidates(T.segments(spark, d))
 
 
-@query("w10_resequence", sql(TURNS + ", g AS (SELECT conversation_id, turn_no, min(ordinal) AS first_at FROM tn GROUP BY ALL) SELECT conversation_id, turn_no, CAST((row_number() OVER (ORDER BY first_at, conversation_id, turn_no) - 1) * 1000.0 AS DOUBLE) AS sort_key FROM g WHERE conversation_id < 5"))
+@query("w10_resequence", sql(TURNS + ", g AS (SELECT conversation_id, turn_no, min(ordinal) AS first_at FROM tn GROUP BY ALL) SELECT conversation_id, turn_no, CAST((row_number() OVER (ORDER BY first_at, conversation_id, turn_no) - 1) * 1000.0 AS DOUBLE) AS sort_key FROM g"))
 def w10(spark, d):
-    t = sequences.pair_turns(T.messages(spark, d).where("conversation_id < 5")).groupBy("conversation_id", "turn_no").agg(F.min("ordinal").alias("first_at"))
-    slot = F.row_number().over(Window.orderBy("first_at", "conversation_id", "turn_no")) - 1
-    return t.select("conversation_id", "turn_no", (slot * 1000.0).alias("sort_key"))
+    t = sequences.pair_turns(T.messages(spark, d)).groupBy("conversation_id", "turn_no").agg(F.min("ordinal").alias("first_at"))
+    placed = sequences.global_row_number(t, "first_at", F.floor(F.col("conversation_id") / 10_000), F.col("conversation_id"), F.col("turn_no"))
+    return placed.select("conversation_id", "turn_no", ((F.col("n") - 1) * 1000.0).alias("sort_key"))
 
 
 @query("w11_unambiguous_mapping", sql("SELECT lower(subject) AS old, min(verb) AS new FROM facts GROUP BY 1 HAVING count(DISTINCT verb) = 1"))
@@ -238,10 +233,10 @@ def v11(spark, d):
     return e.where("before IS NOT NULL").select("vec_id", (F.round(cosine("embedding", "before"), 6) >= 0.1).alias("relevant"))
 
 
-@query("v18_embedding_tags", sql("SELECT vec_id, CASE WHEN c >= 0.3 THEN tag ELSE '_general' END AS tag FROM (SELECT vec_id, tag, c, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, tag) AS r FROM (SELECT e.vec_id, t.tag, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(t.vec AS DOUBLE[])), 6) AS c FROM embeddings e, tag_vectors t WHERE e.vec_id < 300)) WHERE r = 1"))
+@query("v18_embedding_tags", sql("SELECT vec_id, CASE WHEN c >= 0.3 THEN tag ELSE '_general' END AS tag FROM (SELECT vec_id, tag, c, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, tag) AS r FROM (SELECT e.vec_id, t.tag, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(t.vec AS DOUBLE[])), 6) AS c FROM embeddings e, tag_vectors t)) WHERE r = 1"))
 def v18(spark, d):
     tags = F.broadcast(T.tag_vectors(spark, d))
-    e = T.read(spark, d, "embeddings").where("vec_id < 300").crossJoin(tags).select("vec_id", "tag", F.round(cosine("embedding", "vec"), 6).alias("c"))
+    e = T.read(spark, d, "embeddings").crossJoin(tags).select("vec_id", "tag", F.round(cosine("embedding", "vec"), 6).alias("c"))
     best = e.groupBy("vec_id").agg(F.max("c").alias("c"), F.min_by("tag", F.struct(-F.col("c"), F.col("tag"))).alias("tag"))
     return best.select("vec_id", F.when(F.col("c") >= 0.3, F.col("tag")).otherwise("_general").alias("tag"))
 

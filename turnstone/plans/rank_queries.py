@@ -10,6 +10,7 @@ from turnstone.operators import filters, joins, ranking, sequences
 from turnstone.plans.registry import query
 from turnstone.sources import tables as T
 from turnstone.sources.tables import sql
+from turnstone.plans.sequence_queries import TURNS
 
 TAGS, RELATED = ["src0", "src3", "en"], ["long", "de"]
 WORDS = ["apache", "license", "version", "idiot"]
@@ -41,29 +42,21 @@ def a11(spark, d):
     return ranking.idf_candidates(T.segments(spark, d), TAGS, RELATED).select("tag", F.round("score", 6).alias("score"))
 
 
-@query("a32_token_f1", sql(""", p AS (SELECT doc_id AS id, left(text, 300) AS a, substr(text, 100, 300) AS b FROM documents WHERE doc_id < 400),
-sw AS (SELECT unnest(['the','and','for','with','that','this','was','are','from','to','of','in','is','it','on','as','an','at','be','by']) AS s),
-wa AS (SELECT id, w, count(*) AS n FROM (SELECT DISTINCT id, unnest(regexp_extract_all(lower(a), '[a-z0-9]{2,}')) AS w FROM p) WHERE w NOT IN (SELECT s FROM sw) GROUP BY ALL),
-wb AS (SELECT id, w, count(*) AS n FROM (SELECT DISTINCT id, unnest(regexp_extract_all(lower(b), '[a-z0-9]{2,}')) AS w FROM p) WHERE w NOT IN (SELECT s FROM sw) GROUP BY ALL)
+@query("a32_token_f1", sql(TURNS + """, p AS (SELECT conversation_id || '-' || turn_no AS id, user_text AS a, assistant_text AS b FROM turns),
+wa AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(a), '[^a-z0-9\\s]', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS w FROM p) WHERE w <> '' GROUP BY ALL),
+wb AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(b), '[^a-z0-9\\s]', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS w FROM p) WHERE w <> '' GROUP BY ALL)
 SELECT id, round(2.0 * sum(least(coalesce(wa.n, 0), coalesce(wb.n, 0))) / (coalesce(sum(wa.n), 0) + coalesce(sum(wb.n), 0)), 6) AS f1 FROM wa FULL JOIN wb USING (id, w) GROUP BY id"""))
 def a32(spark, d):
-    p = T.read(spark, d, "documents").where("doc_id < 400").select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("a"), F.substring("text", 100, 300).alias("b"))
-    return ranking.tokens_f1(p, "a", "b")
+    t = sequences.turns(T.messages(spark, d))
+    return ranking.tokens_f1(t.select(F.concat_ws("-", "conversation_id", "turn_no").alias("id"), F.col("user_text").alias("a"), F.col("assistant_text").alias("b")), "a", "b")
 
 
-@query("a33_kendall_tau", sql(""", r AS (SELECT p_brand AS g, p_partkey AS i, p_size AS x, floor(p_retailprice / 50) AS y FROM part WHERE p_partkey <= 400),
+@query("a33_kendall_tau", sql(""", r AS (SELECT p_brand AS g, p_partkey AS i, p_size AS x, floor(p_retailprice / 50) AS y FROM part),
 c AS (SELECT a.g, sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN 1 ELSE 0 END) AS con, sum(CASE WHEN (a.x - b.x) * (a.y - b.y) < 0 THEN 1 ELSE 0 END) AS dis, sum(CASE WHEN a.x = b.x AND a.y <> b.y THEN 1 ELSE 0 END) AS tx, sum(CASE WHEN a.y = b.y AND a.x <> b.x THEN 1 ELSE 0 END) AS ty FROM r a JOIN r b ON a.g = b.g AND a.i < b.i GROUP BY a.g)
 SELECT g, round((con - dis) / sqrt((con + dis + tx) * (con + dis + ty)), 6) AS tau FROM c WHERE (con + dis + tx) * (con + dis + ty) > 0"""))
 def a33(spark, d):
-    r = T.read(spark, d, "part").where("p_partkey <= 400").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("i"), F.col("p_size").alias("x"), F.floor(F.col("p_retailprice") / 50).alias("y"))
-    a, b = r.alias("a"), r.alias("b")
-    way = (F.col("a.x") - F.col("b.x")) * (F.col("a.y") - F.col("b.y"))
-    c = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.i") < F.col("b.i"))).groupBy("a.g").agg(
-        F.count_if(way > 0).alias("con"), F.count_if(way < 0).alias("dis"),
-        F.count_if((F.col("a.x") == F.col("b.x")) & (F.col("a.y") != F.col("b.y"))).alias("tx"), F.count_if((F.col("a.y") == F.col("b.y")) & (F.col("a.x") != F.col("b.x"))).alias("ty"),
-    )
-    under = (F.col("con") + F.col("dis") + F.col("tx")) * (F.col("con") + F.col("dis") + F.col("ty"))
-    return c.where(under > 0).select("g", F.round((F.col("con") - F.col("dis")) / F.sqrt(under), 6).alias("tau"))
+    r = T.read(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_size").alias("x"), F.floor(F.col("p_retailprice") / 50).alias("y"))
+    return ranking.kendall_tau_b(r, "g", "x", "y")
 
 
 @query("v1_label_cosines", sql("SELECT a.tag AS a, b.tag AS b, round(list_cosine_similarity(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])), 6) AS cosine FROM tag_vectors a JOIN tag_vectors b ON a.tag < b.tag"))
@@ -117,7 +110,7 @@ def w2(spark, d):
 
 @query("k7_segment_ranking", sql(FUSED_SQL + ", m AS (SELECT ref, max(coalesce(bo.score, 0)) AS best, sum(CASE WHEN tag IN ('src0', 'src3', 'en') THEN 1 ELSE 0 END) AS overlap FROM segment_tags LEFT JOIN bo USING (tag) GROUP BY ref) SELECT ref, round(best, 8) AS best, CAST(overlap AS BIGINT) AS overlap FROM m ORDER BY round(best, 8) DESC, overlap DESC, ref LIMIT 60"))
 def k7(spark, d):
-    rows = joins.exploded(T.segments(spark, d)).join(F.broadcast(fused(spark, d)), "tag", "left")
+    rows = joins.exploded(T.segments(spark, d)).join(fused(spark, d), "tag", "left")
     m = rows.groupBy("ref").agg(F.round(F.max(F.coalesce("score", F.lit(0.0))), 8).alias("best"), F.count_if(F.col("tag").isin(TAGS)).alias("overlap"))
     return m.orderBy(F.desc("best"), F.desc("overlap"), "ref").limit(60)
 
@@ -211,7 +204,7 @@ k AS (SELECT *, row_number() OVER (ORDER BY best DESC, ref) AS r FROM m ORDER BY
 fl AS (SELECT 0 AS r, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS took UNION ALL SELECT k.r, CASE WHEN fl.used + k.cost <= 6000 THEN fl.used + k.cost ELSE fl.used END, CASE WHEN fl.used + k.cost <= 6000 THEN k.ref END FROM fl JOIN k ON k.r = fl.r + 1)
 SELECT took AS ref FROM fl WHERE took IS NOT NULL""", recursive=True))
 def p15(spark, d):
-    rows = T.segments(spark, d).select("ref", F.col("full_tokens").alias("cost"), F.explode("tags").alias("tag")).join(F.broadcast(fused(spark, d)), "tag", "left")
+    rows = T.segments(spark, d).select("ref", F.col("full_tokens").alias("cost"), F.explode("tags").alias("tag")).join(fused(spark, d), "tag", "left")
     m = rows.groupBy("ref", "cost").agg(F.round(F.max(F.coalesce("score", F.lit(0.0))), 8).alias("best")).orderBy(F.desc("best"), "ref").limit(60)
     top = m.withColumn("r", F.row_number().over(Window.orderBy(F.desc("best"), "ref"))).withColumn("q", F.lit(1))
     return sequences.greedy_fill(top, "q", "ref", "cost", "r", 6000).select("ref")

@@ -51,13 +51,13 @@ def a8(spark, d):
     return T.facts(spark, d).select("id", F.min("id").over(w).alias("first_id")).withColumn("superseded", F.col("id") != F.col("first_id"))
 
 
-@query("a12_coverage_report", sql(""", i AS (SELECT o_custkey % 20 AS k, o_orderkey % 400 AS s, o_orderkey % 400 + o_custkey % 7 AS e FROM orders WHERE o_orderkey % 9 = 0),
+@query("a12_coverage_report", sql(""", i AS (SELECT o_custkey AS k, o_orderkey % 400 AS s, o_orderkey % 400 + o_custkey % 7 AS e FROM orders),
 b AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
 g AS (SELECT *, sum(CASE WHEN s <= before + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY s, e) AS island FROM b),
 u AS (SELECT k, island, min(s) AS s, max(e) AS e FROM g GROUP BY ALL)
 SELECT k, count(*) AS islands, CAST(sum(e - s + 1) AS BIGINT) AS distinct_turns, min(s) AS first_turn, max(e) AS last_turn FROM u GROUP BY k"""))
 def a12(spark, d):
-    o = T.read(spark, d, "orders").where("o_orderkey % 9 = 0").select((F.col("o_custkey") % 20).alias("k"), (F.col("o_orderkey") % 400).alias("s"), (F.col("o_orderkey") % 400 + F.col("o_custkey") % 7).alias("e"))
+    o = T.read(spark, d, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderkey") % 400).alias("s"), (F.col("o_orderkey") % 400 + F.col("o_custkey") % 7).alias("e"))
     u = sequences.interval_union(o, "k", "s", "e")
     return u.groupBy("k").agg(F.count("*").alias("islands"), F.sum(F.col("e") - F.col("s") + 1).alias("distinct_turns"), F.min("s").alias("first_turn"), F.max("e").alias("last_turn"))
 
@@ -224,14 +224,14 @@ def j10(spark, d):
     return joins.linked_facts(T.fact_links(spark, d), seeds, 3)
 
 
-@query("j12_alias_terminals", sql(""", al AS (SELECT o_orderkey AS alias, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey ELSE o_orderkey + o_orderkey % 5 END AS target FROM orders WHERE o_orderkey <= 600 AND o_orderkey % 5 <> 0),
+@query("j12_alias_terminals", sql(""", al AS (SELECT o_orderkey AS alias, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey ELSE o_orderkey + o_orderkey % 5 END AS target FROM orders),
 w AS (SELECT alias, target AS pos, [alias, target] AS path, 1 AS hops, CAST(NULL AS VARCHAR) AS state FROM al
   UNION ALL SELECT w.alias, CASE WHEN list_contains(w.path, al.target) THEN NULL ELSE al.target END, list_append(w.path, al.target), w.hops + CASE WHEN list_contains(w.path, al.target) THEN 0 ELSE 1 END, CASE WHEN list_contains(w.path, al.target) THEN 'cycle' END
   FROM w JOIN al ON al.alias = w.pos WHERE w.state IS NULL AND w.hops <= 8)
 SELECT alias, CASE WHEN state = 'cycle' OR hops > 8 THEN NULL ELSE pos END AS terminal, hops, CASE WHEN state = 'cycle' THEN 'cycle' WHEN hops > 8 THEN 'too_long' ELSE 'ok' END AS state
 FROM w WHERE state = 'cycle' OR hops > 8 OR pos NOT IN (SELECT alias FROM al)""", recursive=True))
 def j12(spark, d):
-    o = T.read(spark, d, "orders").where("o_orderkey <= 600 AND o_orderkey % 5 <> 0")
+    o = T.read(spark, d, "orders")
     al = o.select(F.col("o_orderkey").alias("alias"), F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + F.col("o_orderkey") % 5).alias("target"))
     return joins.alias_terminals(al)
 
@@ -248,9 +248,9 @@ def j19(spark, d):
     return docs.join(T.read(spark, d, "labels"), "doc_id", "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("j21_similar_tags", sql("SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS similarity FROM (SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey <= 150) a JOIN (SELECT DISTINCT p_name FROM part WHERE p_partkey <= 150) b ON a.p_name < b.p_name) WHERE 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.85"))
+@query("j21_similar_tags", sql("SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS similarity FROM (SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name < b.p_name) WHERE 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.85"))
 def j21(spark, d):
-    tags = T.read(spark, d, "part").where("p_partkey <= 150").select(F.col("p_name").alias("tag")).distinct()
+    tags = T.read(spark, d, "part").select(F.col("p_name").alias("tag")).distinct()
     return joins.similar_tags(tags, 0.85)
 
 
@@ -267,9 +267,9 @@ def j25(spark, d):
     return f.join(F.broadcast(w), F.col("when_date").between(F.col("a"), F.col("b"))).groupBy("name").agg(F.count("*").alias("facts"), F.countDistinct("subject").alias("subjects"))
 
 
-@query("u1_candidate_union", sql("SELECT primary_tag AS tag FROM segments WHERE ref < 50 UNION SELECT verb FROM facts UNION SELECT 'label_' || label FROM embeddings"))
+@query("u1_candidate_union", sql("SELECT primary_tag AS tag FROM segments UNION SELECT verb FROM facts UNION SELECT 'label_' || label FROM embeddings"))
 def u1(spark, d):
-    a = T.segments(spark, d).where("ref < 50").select(F.col("primary_tag").alias("tag"))
+    a = T.segments(spark, d).select(F.col("primary_tag").alias("tag"))
     return a.union(T.facts(spark, d).select("verb")).union(T.read(spark, d, "embeddings").select(F.concat(F.lit("label_"), F.col("label").cast("string")))).distinct()
 
 

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.plans.registry import query
+from turnstone.sources.shared import shared_path
 from turnstone.sources.tables import read
 from turnstone.streaming import guards
 
 
-def shared(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of their file."""
     schema = read(spark, sf_dir, "events").schema
@@ -26,7 +19,7 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def to_end(df: DataFrame, mode: str = "append") -> DataFrame:
-    spark, path = df.sparkSession, shared(df.sparkSession)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "stream")
     if mode == "append":
         q = df.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").start(f"{path}/out")
     else:
@@ -41,10 +34,10 @@ def x1(spark, d):
     return to_end(guards.repetition_guard(e, window=86400.0 * 2, trip_at=3))
 
 
-@query("x3_seen_recently", "SELECT event_type, count(*) > 0 AS seen FROM events GROUP BY 1")
+@query("x3_seen_recently", "SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR ts - before > INTERVAL 10 MINUTE")
 def x3(spark, d):
-    out = to_end(guards.drop_seen_recently(stream(spark, d).select("ts", "event_type"), "event_type", "ts", 60 * 24 * 400))
-    return out.groupBy("event_type").agg((F.count("*") > 0).alias("seen"))
+    e = stream(spark, d).select(F.concat_ws("|", "user_id", "event_type").alias("key"), F.col("ts").cast("double").alias("at"), "event_id", "user_id")
+    return to_end(guards.drop_resent(e, "event_id long, user_id long")).select("event_id", "user_id")
 
 
 @query("x4_session_windows", "SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY ALL) GROUP BY user_id")

@@ -36,9 +36,21 @@ def repetition_guard(calls: DataFrame, window: float = WINDOW_S, trip_at: int =
     return calls.groupBy("key").applyInPandasWithState(run, "key long, call_id long, tripped boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def drop_seen_recently(events: DataFrame, key: str, ts: str, minutes: int = 10) -> DataFrame:
-    """The first of the events with a key within a watermark of some minutes."""
-    return events.withWatermark(ts, f"{minutes} minutes").dropDuplicatesWithinWatermark([key])
+def drop_resent(events: DataFrame, rest: str, seconds: float = 600.0) -> DataFrame:
+    """events (key, at double, and the columns of rest, event_id first) without those whose key was seen so recently.
+
+    A dropped event counts as seen, too. State is the time of a key's last event.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        before = rows["at"].shift(1)
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        state.update((float(rows["at"].iloc[-1]),))
+        yield rows[before.isna() | (rows["at"] - before > seconds)].drop(columns=["key", "at"])
+
+    return events.groupBy("key").applyInPandasWithState(run, rest, "at double", "append", GroupStateTimeout.NoTimeout)
 
 
 def session_counts(events: DataFrame, key: str, ts: str, gap: str = "30 minutes") -> DataFrame:
