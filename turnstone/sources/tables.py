@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from turnstone.functions.text import estimate_tokens
 
+RELATIVE_PHRASES = ("yesterday", "last week", "3 days ago", "two weeks ago", "last month", "recently")
 #: Start of the derived segments' clock; one minute for each segment number.
 EPOCH = "2024-01-01 00:00:00"
 
@@ -68,6 +69,25 @@ def fact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, conversation_id, day, text): a written remark for each order, of six kinds by id % 6."""
+    o = read(spark, sf_dir, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    when = F.element_at(F.array(*map(F.lit, RELATIVE_PHRASES)), (cust % 6 + 1).cast("int"))
+    n = lambda c: c.cast("string")
+    texts = (
+        F.concat(F.lit("Did customer "), n(cust), F.lit(" pay "), n(key % 90 + 5), F.lit(".5% of v"), n(key % 4), F.lit("."), n(cust % 9), F.lit(".1 on "), day, F.lit("?")),
+        F.concat(F.lit("If the order ships, compare the cost across rail, air and ship. The rail part took "), n(key % 40 + 1), F.lit(" hours, the air part took "), n(cust % 30 + 1), F.lit(" hours and the ship part took "), n(key % 7 + 2), F.lit(" hours.")),
+        F.concat(F.lit('I think customer '), n(cust), F.lit(' should move to "Step '), n(key % 9), F.lit('" in build_report and Season '), n(cust % 5), F.lit(' Episode '), n(key % 8), F.lit('.')),
+        F.concat(F.lit("Actually I stopped using src/app/main_"), n(key % 9), F.lit(".py and ./lib/util.js, ./lib/util.js "), when, F.lit(".")),
+        F.concat(F.lit("She told him that Blue Harbor Trading paid customer "), n(cust), F.lit(" "), when, F.lit("\nand the API of QA was down for 3.5 million queries.")),
+        F.concat(F.lit("[Session from "), day, F.lit("] I am allergic to part "), n(key % 50), F.lit(". [Session from May 2, 2024] We would maybe try it again.")),
+    )
+    text = F.element_at(F.array(*texts), (key % 6 + 1).cast("int"))
+    return o.select(key.alias("id"), (cust % 50).alias("conversation_id"), F.to_date("o_orderdate").alias("day"), text.alias("text"))
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, ts, conversation_id, component, model, input_tokens, output_tokens, duration_ms)"""
     e = read(spark, sf_dir, "events")
@@ -111,6 +131,15 @@ fact_links AS (
     CASE id % 3 WHEN 0 THEN 'caused_by' WHEN 1 THEN 'part_of' ELSE 'related_to' END AS relation_type,
     round(0.5 + (id % 50) / 100.0, 2) AS confidence
   FROM facts WHERE superseded_by <> ''),
+notes AS (
+  SELECT o_orderkey AS id, o_custkey % 50 AS conversation_id, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 6
+    WHEN 0 THEN 'Did customer ' || o_custkey || ' pay ' || (o_orderkey % 90 + 5) || '.5% of v' || (o_orderkey % 4) || '.' || (o_custkey % 9) || '.1 on ' || strftime(o_orderdate, '%Y-%m-%d') || '?'
+    WHEN 1 THEN 'If the order ships, compare the cost across rail, air and ship. The rail part took ' || (o_orderkey % 40 + 1) || ' hours, the air part took ' || (o_custkey % 30 + 1) || ' hours and the ship part took ' || (o_orderkey % 7 + 2) || ' hours.'
+    WHEN 2 THEN 'I think customer ' || o_custkey || ' should move to "Step ' || (o_orderkey % 9) || '" in build_report and Season ' || (o_custkey % 5) || ' Episode ' || (o_orderkey % 8) || '.'
+    WHEN 3 THEN 'Actually I stopped using src/app/main_' || (o_orderkey % 9) || '.py and ./lib/util.js, ./lib/util.js ' || ['yesterday', 'last week', '3 days ago', 'two weeks ago', 'last month', 'recently'][o_custkey % 6 + 1] || '.'
+    WHEN 4 THEN 'She told him that Blue Harbor Trading paid customer ' || o_custkey || ' ' || ['yesterday', 'last week', '3 days ago', 'two weeks ago', 'last month', 'recently'][o_custkey % 6 + 1] || chr(10) || 'and the API of QA was down for 3.5 million queries.'
+    ELSE '[Session from ' || strftime(o_orderdate, '%Y-%m-%d') || '] I am allergic to part ' || (o_orderkey % 50) || '. [Session from May 2, 2024] We would maybe try it again.' END AS text
+  FROM orders),
 telemetry AS (
   SELECT event_id AS seq, ts, user_id AS conversation_id, event_type AS component,
     CASE event_id % 3 WHEN 0 THEN 'small-1' WHEN 1 THEN 'large-2024' ELSE 'unknown' END AS model,
