@@ -33,8 +33,16 @@ EXCEPTIONS = ("trash can", "trash bin", "trash collection", "class clown", "clow
 _LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝкмтвαορεικντυχıɡʟ", "aeopcyxijshdqwkmtbaopeikvtuxigl", strict=True))
 _DIGITS = str.maketrans("013457@$!|", "oieastasii")
 _DROPPED = {0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD}
-# Runs of digits and signs before a letter, and runs of digits that end a word of letters; each run is looked at once.
-_INSIDE = re.compile(r"(?<![0-9@$!|])[0-9@$!|]++(?=[^\W\d_])|(?<=[^\W\d_])[013457]++(?![^\W_]|[@$!|])")
+_RUN = re.compile(r"[0-9@$!|]+")
+
+
+def _run(m: re.Match) -> str:
+    """A run of digits and signs as letters: before a letter, or digits alone that end a word of letters."""
+    run, text, end = m[0], m.string, m.end()
+    if end < len(text) and text[end].isalpha():
+        return run.translate(_DIGITS)
+    ends = m.start() and text[m.start() - 1].isalpha() and not run.strip("013457")
+    return run.translate(_DIGITS) if ends and not (end < len(text) and text[end].isalnum()) else run
 
 
 class _Fold(dict):
@@ -62,7 +70,7 @@ def fold(text: str) -> str:
     Linear in the text, also where it is one run of digits.
     """
     low = unicodedata.normalize("NFC", text).lower()
-    return _INSIDE.sub(lambda m: m[0].translate(_DIGITS), low).translate(_FOLD)
+    return _RUN.sub(_run, low).translate(_FOLD)
 
 
 def terms(words: Iterable[str]) -> Counter:
