@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions.text import normalize_answer
@@ -117,3 +120,20 @@ def kendall_tau_b(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
     dis = F.col("pairs") - F.col("con") - F.col("tx") - F.col("ty") + F.col("txy")
     under = (F.col("pairs") - F.col("tx")) * (F.col("pairs") - F.col("ty"))
     return j.where(under > 0).select(key, F.round((F.col("con") - dis) / F.sqrt(under), 6).alias("tau"))
+
+
+def prefixed_ratio(response: str, answer: str, prefix: str) -> float:
+    """0 where the response lacks the prefix; else twice the characters in matching blocks over all, the prefix left out."""
+    if response is None or answer is None or not response.startswith(prefix or ""):
+        return 0.0
+    return SequenceMatcher(None, response.removeprefix(prefix or ""), answer.removeprefix(prefix or "")).ratio()
+
+
+def sequence_ratio(response: str, answer: Column, prefix: str) -> Column:
+    """prefixed_ratio() of three text columns; matching blocks have no form in Spark's functions. Nulls give 0."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([prefixed_ratio(x, y, z) for x, y, z in zip(a, b, p, strict=True)], dtype="float64")
+
+    return F.round(ratio(response, answer, prefix), 6)

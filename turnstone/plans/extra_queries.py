@@ -201,14 +201,6 @@ def p20(spark, d):
     return s.select("ref", score.cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "ref").limit(100)
 
 
-@query("p22_associative_facts", sql("SELECT f.id, count(*) AS strength FROM facts f JOIN facts s ON f.subject = s.subject AND f.id <> s.id AND s.status = 'planned' GROUP BY f.id"))
-def p22(spark, d):
-    f = T.facts(spark, d).select("id", "subject", "status")
-    per = f.groupBy("subject").agg(F.count_if(F.col("status") == "planned").alias("planned"))
-    own = F.when(F.col("status") == "planned", 1).otherwise(0)
-    return f.join(per, "subject").select("id", (F.col("planned") - own).alias("strength")).where("strength > 0")
-
-
 @query("p25_state_conflicts", sql("SELECT subject, count(DISTINCT status) AS states, CASE WHEN count(DISTINCT status) > 1 THEN 'conflict' ELSE 'agreed' END AS view FROM facts WHERE superseded_by = '' GROUP BY subject"))
 def p25(spark, d):
     n = F.countDistinct("status")
@@ -288,5 +280,3 @@ def s9(spark, d):
     parsed = F.try_parse_json(F.regexp_extract("raw", r"(?s)^\[envelope (\{.*?\})\]\n", 1))
     body = F.regexp_replace("raw", r"(?s)^\[envelope \{.*?\}\]\n", "")
     return m.select("conversation_id", "ordinal", F.try_variant_get(parsed, "$.sender", "string").alias("sender"), F.md5(body).alias("body"))
-
-

@@ -306,23 +306,6 @@ def p8(spark, d):
     return T.segments(spark, d).select("ref", F.concat_ws(",", F.array_sort(F.array_distinct(new))).alias("tags"))
 
 
-@query("p16_find_quote", sql("SELECT ref, score FROM (SELECT ref, CAST(2.0 * CASE WHEN contains(lower(full_text), 'licensed under') THEN 1 ELSE 0 END + CASE WHEN contains(lower(full_text), 'license') THEN 1 ELSE 0 END + CASE WHEN contains(lower(full_text), 'version') THEN 1 ELSE 0 END AS DOUBLE) AS score FROM segments) WHERE score > 0 ORDER BY score DESC, ref LIMIT 30"))
-def p16(spark, d):
-    def has(w: str):
-        return F.when(F.contains(F.lower("full_text"), F.lit(w)), 1.0).otherwise(0.0)
-
-    s = T.segments(spark, d).select("ref", (2.0 * has("licensed under") + has("license") + has("version")).alias("score"))
-    return s.where("score > 0").orderBy(F.desc("score"), "ref").limit(30)
-
-
-@query("p18_query_facts", sql(", hit AS (SELECT id FROM facts WHERE superseded_by = '' AND subject = 'customer 1') SELECT id, 'direct' AS how FROM hit UNION ALL SELECT DISTINCT source_id, 'link' FROM fact_links WHERE target_id IN (SELECT id FROM hit) AND source_id NOT IN (SELECT id FROM hit)"))
-def p18(spark, d):
-    hit = filters.fact_filter(T.facts(spark, d), subject="customer 1").select("id")
-    links = T.fact_links(spark, d).select(F.col("target_id").alias("id"), "source_id")
-    more = links.join(hit, "id", "left_semi").select(F.col("source_id").alias("id")).distinct().join(hit, "id", "left_anti")
-    return hit.select("id", F.lit("direct").alias("how")).unionByName(more.select("id", F.lit("link").alias("how")))
-
-
 @query("p19_remember_when", sql("SELECT when_date, count(*) AS facts, min(id) AS first_id FROM facts WHERE when_date BETWEEN DATE '1996-02-01' AND DATE '1996-02-29' AND superseded_by = '' GROUP BY when_date ORDER BY when_date LIMIT 20"))
 def p19(spark, d):
     f = filters.live(T.facts(spark, d)).where("when_date BETWEEN DATE'1996-02-01' AND DATE'1996-02-29'")

@@ -254,12 +254,6 @@ def j21(spark, d):
     return joins.similar_tags(tags, 0.85)
 
 
-@query("j22_vector_neighbours", sql("SELECT e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) >= 0.2 ORDER BY 2 DESC, 1 LIMIT 25"))
-def j22(spark, d):
-    e = T.read(spark, d, "embeddings")
-    return joins.nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), e.where("vec_id = 0").select(F.col("embedding").alias("vec")), 0.2, 25)
-
-
 @query("j25_window_join", sql(", w AS (SELECT * FROM (VALUES ('jan', DATE '1995-01-01', DATE '1995-01-31'), ('spring', DATE '1996-03-01', DATE '1996-05-31'), ('year', DATE '1997-01-01', DATE '1997-12-31')) v(name, a, b)) SELECT name, count(*) AS facts, count(DISTINCT subject) AS subjects FROM facts JOIN w ON when_date BETWEEN a AND b GROUP BY name"))
 def j25(spark, d):
     w = spark.sql("SELECT * FROM VALUES ('jan', DATE'1995-01-01', DATE'1995-01-31'), ('spring', DATE'1996-03-01', DATE'1996-05-31'), ('year', DATE'1997-01-01', DATE'1997-12-31') AS v(name, a, b)")

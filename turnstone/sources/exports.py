@@ -16,9 +16,12 @@ def normalize_role(c: Column) -> Column:
     return F.when(low.isin("human", "user"), "user").when(low.isin("assistant", "ai", "model", "bot", "grok"), "assistant").otherwise(low)
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Every *.json file of a folder, or one file; files that don't parse are left out."""
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.json").json(path)
+def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Every *.json file of a folder, or one file: a document or a list of them, or with lines one in each line.
+
+    Files, or lines, that don't parse are left out.
+    """
+    raw = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.json").json(path)
     return raw.where("_bad IS NULL").drop("_bad")
 
 
@@ -27,21 +30,21 @@ def _messages(rows: DataFrame, items: str) -> DataFrame:
     return rows.select("conversation_id", F.posexplode(items).alias("ordinal", "m"))
 
 
-def chatgpt(spark: SparkSession, path: str) -> DataFrame:
+def chatgpt(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(conversation_id, ordinal, role, content, timestamp); times are seconds."""
-    rows = _messages(_json(spark, path, CHATGPT), "messages")
+    rows = _messages(_json(spark, path, CHATGPT, lines), "messages")
     return rows.select("conversation_id", "ordinal", normalize_role(F.col("m.role")).alias("role"), F.col("m.text").alias("content"), F.timestamp_millis((F.col("m.create_time") * 1000).cast("long")).alias("timestamp"))
 
 
-def claude(spark: SparkSession, path: str) -> DataFrame:
+def claude(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """The same; times are ISO text."""
-    rows = _messages(_json(spark, path, CLAUDE).withColumnRenamed("uuid", "conversation_id"), "messages")
+    rows = _messages(_json(spark, path, CLAUDE, lines).withColumnRenamed("uuid", "conversation_id"), "messages")
     return rows.select("conversation_id", "ordinal", normalize_role(F.col("m.role")).alias("role"), F.col("m.text").alias("content"), F.to_timestamp("m.created_at").alias("timestamp"))
 
 
-def grok(spark: SparkSession, path: str) -> DataFrame:
+def grok(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """The same; times are milliseconds as text, inside two objects."""
-    rows = _json(spark, path, GROK).select(F.col("conversation.id").alias("conversation_id"), "responses")
+    rows = _json(spark, path, GROK, lines).select(F.col("conversation.id").alias("conversation_id"), "responses")
     r = F.col("m.response")
     at = F.timestamp_millis(r["create_time"]["$date"]["$numberLong"].cast("long"))
     return _messages(rows, "responses").select("conversation_id", "ordinal", normalize_role(r["sender"]).alias("role"), r["message"].alias("content"), at.alias("timestamp"))
@@ -50,8 +53,8 @@ def grok(spark: SparkSession, path: str) -> DataFrame:
 READERS = {"chatgpt": chatgpt, "claude": claude, "grok": grok}
 
 
-def load(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    return READERS[kind](spark, path)
+def load(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    return READERS[kind](spark, path, lines)
 
 
 def detect_format(body: Column | str) -> Column:
@@ -77,10 +80,10 @@ def payload_messages(rows: DataFrame, body: str = "body") -> DataFrame:
     return listed.select("id", "ordinal", normalize_role(F.col("m.role")).alias("role"), content.alias("content"))
 
 
-def longmemeval(spark: SparkSession, path: str) -> DataFrame:
+def longmemeval(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(question_id, session, session_date, ordinal, role, content) of the questions' nested sessions."""
     schema = "question_id string, question string, answer string, haystack_sessions array<array<struct<role:string,content:string>>>, haystack_dates array<string>"
-    q = spark.read.schema(schema).option("multiLine", True).json(path)
+    q = spark.read.schema(schema).option("multiLine", not lines).json(path)
     s = q.select("question_id", "haystack_dates", F.posexplode("haystack_sessions").alias("session", "turns"))
     s = s.select("question_id", "session", F.get("haystack_dates", F.col("session")).alias("session_date"), F.posexplode("turns").alias("ordinal", "t"))
     return s.select("question_id", "session", "session_date", "ordinal", "t.role", "t.content")
