@@ -33,7 +33,7 @@ def phrases(query: str, n: int) -> list[str]:
 
 
 def terms(query: str) -> list[str]:
-    return list(dict.fromkeys(w for w in tokens(query) if len(w) > 1 and w not in STOPWORDS))
+    return list(dict.fromkeys(w for w in tokens(query) if len(w) > 1 and w.isalnum() and w not in STOPWORDS))
 
 
 def matched(text: str, query: str) -> dict[str, Column]:

@@ -82,3 +82,11 @@ def pooled_fill(rows: DataFrame, key: str, caps: dict[str, int], pool: int) -> D
 def filled(column: str, derived: Column) -> Column:
     """A stored value, or where it is empty or null the derived one."""
     return F.coalesce(F.nullif(F.col(column), F.lit("")), derived)
+
+
+def upsert(stored: DataFrame | None, batch: DataFrame, key: str, *newer: str) -> DataFrame:
+    """The stored table after a batch: of each key the row that is last by newer. Written as a new version and read again."""
+    rows = batch if stored is None else stored.unionByName(batch)
+    rest = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*newer)).alias("row")).select(key, "row.*")
+    return materialize(last, "table")

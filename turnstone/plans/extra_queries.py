@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
-from turnstone.functions.vectors import cosine
+from turnstone.functions.vectors import cosine, hamming
 from turnstone.operators import filters, joins, sequences
 from turnstone.plans.registry import query
 from turnstone.plans.sequence_queries import TURNS
@@ -133,14 +133,29 @@ def v14(spark, d):
     return near.orderBy(F.desc("cosine"), "vec_id").limit(20)
 
 
-@query("v20_simhash", sql(", w AS (SELECT item_id, md5(unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')))) AS h FROM benchmark), b AS (SELECT item_id, i, sum(CASE WHEN substr(h, i + 1, 1) >= '8' THEN 1 ELSE -1 END) AS s FROM w, range(0, 32) r(i) GROUP BY ALL) SELECT item_id, CAST(sum(CASE WHEN s > 0 THEN 1 << i ELSE 0 END) AS BIGINT) AS fingerprint FROM b GROUP BY item_id"))
-def v20(spark, d):
-    """A 32-bit fingerprint: each hex digit's top bit of the words' MD5, by majority."""
+SIMHASH_SQL = ", w AS (SELECT item_id, md5(unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')))) AS h FROM benchmark), b AS (SELECT item_id, i, sum(CASE WHEN ((strpos('0123456789abcdef', substr(h, i // 4 + 1, 1)) - 1) >> (i % 4)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM w, range(0, 64) r(i) GROUP BY ALL), fp AS (SELECT item_id, CAST(sum(CASE WHEN s > 0 AND i < 32 THEN 1 << i ELSE 0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN s > 0 AND i >= 32 THEN 1 << (i - 32) ELSE 0 END) AS BIGINT) AS high FROM b GROUP BY item_id)"
+
+
+def simhashes(spark, d):
+    """64-bit fingerprints in two halves: each bit of the words' MD5, by majority over a text's distinct words."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]{3,})")))
     w = T.read(spark, d, "benchmark").select("item_id", F.explode(words).alias("w")).select("item_id", F.md5("w").alias("h"))
-    votes = [F.sum(F.when(F.substring("h", i + 1, 1) >= "8", 1).otherwise(-1)).alias(f"b{i}") for i in range(32)]
-    total = sum((F.when(F.col(f"b{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(32)), F.lit(0).cast("long"))
-    return w.groupBy("item_id").agg(*votes).select("item_id", total.alias("fingerprint"))
+    digit = lambda i: F.conv(F.substring("h", i // 4 + 1, 1), 16, 10).cast("int")
+    votes = [F.sum(F.when(F.shiftright(digit(i), i % 4).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1)).alias(f"b{i}") for i in range(64)]
+    half = lambda a: sum((F.when(F.col(f"b{a + i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(32)), F.lit(0).cast("long"))
+    return w.groupBy("item_id").agg(*votes).select("item_id", half(0).alias("low"), half(32).alias("high"))
+
+
+@query("v20_simhash", sql(SIMHASH_SQL + " SELECT * FROM fp"))
+def v20(spark, d):
+    return simhashes(spark, d)
+
+
+@query("v21_fingerprint_distances", sql(SIMHASH_SQL + " SELECT a.item_id, CAST(bit_count(xor(a.low, b.low)) + bit_count(xor(a.high, b.high)) AS INT) AS distance FROM fp a JOIN fp b ON b.item_id = a.item_id + 1"))
+def v21(spark, d):
+    f = simhashes(spark, d)
+    b = f.select((F.col("item_id") - 1).alias("item_id"), F.col("low").alias("l"), F.col("high").alias("h"))
+    return f.join(b, "item_id").select("item_id", (hamming("low", "l") + hamming("high", "h")).alias("distance"))
 
 
 @query("t9_whole_words", "SELECT item_id, regexp_matches(lower(text), '(^|[^a-z0-9])the([^a-z0-9]|$)') AS has_the, instr(lower(text), 'the') AS first_at FROM benchmark")
@@ -194,11 +209,19 @@ def p13(spark, d):
     return T.facts(spark, d).groupBy("subject", "verb").agg(standing.alias("standing"), (F.count("*") - 1).alias("superseded"))
 
 
-@query("p20_window_scores", sql("SELECT ref, CAST(sum(s) AS BIGINT) AS score FROM (SELECT ref, 2 AS s FROM segments WHERE contains(summary, 'tion') AND created_at < TIMESTAMP '2024-01-01 08:00:00' UNION ALL SELECT ref, 1 FROM segments WHERE contains(full_text, 'ing') AND created_at < TIMESTAMP '2024-01-01 08:00:00') GROUP BY ref ORDER BY score DESC, ref LIMIT 100"))
+#: The query's variants with their weights; a find in a summary counts more, and has a bonus.
+VARIANTS, SUMMARY_WEIGHT, SUMMARY_BONUS = (("than the", 3.0), ("license", 1.75), ("version", 1.75)), 1.5, 0.75
+
+
+@query("p20_window_scores", sql("SELECT ref, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT ref, " + " + ".join(f"CASE WHEN contains(lower(full_text), '{v}') THEN {w} ELSE 0 END + CASE WHEN contains(lower(summary), '{v}') THEN ({w} + 0.5 * {len(v.split())}) * {SUMMARY_WEIGHT} + {SUMMARY_BONUS} ELSE 0 END" for v, w in VARIANTS) + " AS score FROM segments WHERE created_at < TIMESTAMP '2024-01-01 08:00:00') WHERE score > 0"))
 def p20(spark, d):
+    """Segments of a window by the variants that their texts and summaries have."""
     s = T.segments(spark, d).where("created_at < TIMESTAMP_NTZ'2024-01-01 08:00:00'")
-    score = F.when(F.contains("summary", F.lit("tion")), 2).otherwise(0) + F.when(F.contains("full_text", F.lit("ing")), 1).otherwise(0)
-    return s.select("ref", score.cast("long").alias("score")).where("score > 0").orderBy(F.desc("score"), "ref").limit(100)
+    score = F.lit(0.0)
+    for v, w in VARIANTS:
+        score = score + F.when(F.contains(F.lower("full_text"), F.lit(v)), w).otherwise(0.0)
+        score = score + F.when(F.contains(F.lower("summary"), F.lit(v)), (w + 0.5 * len(v.split())) * SUMMARY_WEIGHT + SUMMARY_BONUS).otherwise(0.0)
+    return s.select("ref", F.round(score, 6).alias("score")).where("score > 0")
 
 
 @query("p25_state_conflicts", sql("SELECT subject, count(DISTINCT status) AS states, CASE WHEN count(DISTINCT status) > 1 THEN 'conflict' ELSE 'agreed' END AS view FROM facts WHERE superseded_by = '' GROUP BY subject"))

@@ -20,14 +20,6 @@ def a3(spark, d):
     return joins.exploded(T.segments(spark, d)).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query("a10_bm25_merge", sql(", c AS (SELECT primary_tag AS tag, CAST(count(*) AS DOUBLE) AS s FROM segments WHERE contains(lower(full_text), 'license') GROUP BY 1 UNION ALL SELECT DISTINCT primary_tag, 1.0 FROM segments WHERE contains(lower(summary), 'ing')) SELECT tag, max(s) AS score FROM c GROUP BY tag"))
-def a10(spark, d):
-    s = T.segments(spark, d)
-    a = s.where(F.contains(F.lower("full_text"), F.lit("license"))).groupBy(F.col("primary_tag").alias("tag")).agg(F.count("*").cast("double").alias("s"))
-    b = s.where(F.contains(F.lower("summary"), F.lit("ing"))).select(F.col("primary_tag").alias("tag"), F.lit(1.0).alias("s")).distinct()
-    return a.unionByName(b).groupBy("tag").agg(F.max("s").alias("score"))
-
-
 @query("a28_repeated_values", sql("SELECT v, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) AS v FROM documents) GROUP BY v HAVING count(DISTINCT doc_id) >= 2"))
 def a28(spark, d):
     v = T.read(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]+(?:\.[0-9]+)?)"))).alias("v"))
@@ -306,12 +298,6 @@ def p8(spark, d):
     return T.segments(spark, d).select("ref", F.concat_ws(",", F.array_sort(F.array_distinct(new))).alias("tags"))
 
 
-@query("p19_remember_when", sql("SELECT when_date, count(*) AS facts, min(id) AS first_id FROM facts WHERE when_date BETWEEN DATE '1996-02-01' AND DATE '1996-02-29' AND superseded_by = '' GROUP BY when_date ORDER BY when_date LIMIT 20"))
-def p19(spark, d):
-    f = filters.live(T.facts(spark, d)).where("when_date BETWEEN DATE'1996-02-01' AND DATE'1996-02-29'")
-    return f.groupBy("when_date").agg(F.count("*").alias("facts"), F.min("id").alias("first_id")).orderBy("when_date").limit(20)
-
-
 @query("p32_fill_if_empty", "SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, ''), 'user ' || user_id) AS sender FROM events")
 def p32(spark, d):
     stored = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type"))

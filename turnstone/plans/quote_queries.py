@@ -68,20 +68,22 @@ def top_finds(spark, d, n: int = 60):
 TOP_SQL = FINDS_SQL + f", top AS (SELECT id, text, match_type, similarity FROM finds WHERE {has_sql(TERMS)} > 0 ORDER BY {has_sql(TERMS)} DESC, id DESC LIMIT 60)"
 
 
-def rank_sql() -> str:
+def rank_sql(asked: str = ASKED, top: str = TOP_SQL, most: int = 10) -> str:
+    terms = quotes.terms(asked)
+
     def one(test: str, n: int) -> str:
         return f"CASE WHEN {test} THEN 1 ELSE 0 END AS m{n}"
 
-    tests = [f"regexp_matches(lower(text), '(^|[^a-z0-9]){t}([^a-z0-9]|$)')" for t in TERMS] + [f"contains(lower(text), '{p}')" for k in (2, 3) for p in quotes.phrases(ASKED, k)]
-    a, b = len(TERMS), len(TERMS) + len(quotes.phrases(ASKED, 2))
-    span = f"list_filter([{', '.join(map(at_sql, TERMS))}], lambda x: x > 0)"
+    tests = [f"regexp_matches(lower(text), '(^|[^a-z0-9]){t}([^a-z0-9]|$)')" for t in terms] + [f"contains(lower(text), '{p}')" for k in (2, 3) for p in quotes.phrases(asked, k)]
+    a, b = len(terms), len(terms) + len(quotes.phrases(asked, 2))
+    span = f"list_filter([{', '.join(map(at_sql, terms))}], lambda x: x > 0)"
     sums = lambda r: " + ".join(f"CASE WHEN m{k} = 1 THEN 1.0 / c{k} ELSE 0 END" for k in r)
     plain = lambda r: " + ".join(f"m{k}" for k in r)
-    return TOP_SQL + f""", mm AS (SELECT *, {', '.join(one(t, k) for k, t in enumerate(tests))}, CASE WHEN len({span}) < 2 THEN 1000000 ELSE list_max({span}) - list_min({span}) END AS span FROM top),
+    return top + f""", mm AS (SELECT *, {', '.join(one(t, k) for k, t in enumerate(tests))}, CASE WHEN len({span}) < 2 THEN 1000000 ELSE list_max({span}) - list_min({span}) END AS span FROM top),
 cc AS (SELECT {', '.join(f'sum(m{k}) AS c{k}' for k in range(len(tests)))} FROM mm),
 rr AS (SELECT id, row_number() OVER (ORDER BY round({sums(range(b, len(tests)))}, 9) DESC, {plain(range(b, len(tests)))} DESC, round({sums(range(a, b))}, 9) DESC, {plain(range(a, b))} DESC, round({sums(range(a))}, 9) DESC, {plain(range(a))} DESC, span,
- contains(lower(text), '{ASKED}') DESC, 2 * ({plain(range(a, b))}) + {plain(range(a))} DESC, {weight_sql('lookup')} DESC, {VALUES_SQL} DESC, CASE WHEN match_type = 'semantic' THEN similarity ELSE 0 END DESC, id) AS place FROM mm, cc)
-SELECT id, CAST(place AS INT) AS place FROM rr WHERE place <= 10"""
+ contains(lower(text), '{asked}') DESC, 2 * ({plain(range(a, b))}) + {plain(range(a))} DESC, {weight_sql('lookup')} DESC, {VALUES_SQL} DESC, CASE WHEN match_type = 'semantic' THEN similarity ELSE 0 END DESC, id) AS place FROM mm, cc)
+SELECT id, CAST(place AS INT) AS place FROM rr WHERE place <= {most}"""
 
 
 @query("p16_find_quote", sql(rank_sql()))
@@ -119,6 +121,18 @@ def summary_candidates(spark, d, limit: int):
     return quotes.ordered_fill([lexical, dense, described], limit)
 
 
+SUMMARY_ASKED = "apache license version 2.0"
+
+
+@query("p17_search_summaries", sql(rank_sql(SUMMARY_ASKED, ", top AS (SELECT ref AS id, full_text AS text, 'fts' AS match_type, 0.0 AS similarity FROM segments WHERE regexp_matches(lower(full_text), '(^|[^a-z0-9])(apache|license|version|2[.]0)([^a-z0-9]|$)') ORDER BY created_at DESC, ref LIMIT 60)", 15)))
+def p17(spark, d):
+    """The newest segments that have a term of the query, the best of them first by rare phrases, spans and scores."""
+    s = T.segments(spark, d).where(F.lower("full_text").rlike("(^|[^a-z0-9])(apache|license|version|2[.]0)([^a-z0-9]|$)"))
+    top = s.orderBy(F.desc("created_at"), "ref").limit(60)
+    found = top.select(F.col("ref").alias("id"), F.col("full_text").alias("text"), F.lit("fts").alias("match_type"), F.lit(0.0).alias("similarity"))
+    return quotes.ranked(found, SUMMARY_ASKED).where("place <= 15").select("id", "place")
+
+
 @query("j22_vector_neighbours", sql("SELECT query, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS r FROM (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE cosine >= 0.2) WHERE r <= 25"))
 def j22(spark, d):
     e = T.read(spark, d, "embeddings")
@@ -311,6 +325,37 @@ def k17(spark, d):
     return top.withColumn("r", r).where("r <= 2").orderBy("when_date", "id").select("id", "when_date")
 
 
+MODES_SQL = WINDOW_SQL + f""", c AS (SELECT *, {ANCHOR_SQL} AS anchor FROM scored WHERE score > 0), a AS (SELECT id, when_date, tags FROM c ORDER BY anchor DESC, score DESC, id LIMIT 1),
+lookup AS (SELECT id FROM c ORDER BY score DESC, when_date DESC, id LIMIT 10),
+state AS (SELECT c.id FROM c, a ORDER BY CASE WHEN c.id = a.id THEN 1000 ELSE round(CAST(c.anchor + 1.5 * len(list_intersect(c.tags, a.tags)) - 0.1 * abs(date_diff('day', a.when_date, c.when_date)) AS DOUBLE), 6) END DESC, anchor DESC, score DESC, c.id LIMIT 8),
+change AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY when_date ORDER BY score DESC, id) AS r FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, id LIMIT 30)) WHERE r <= 2),
+timeline AS (SELECT id FROM (SELECT id, when_date, row_number() OVER (PARTITION BY when_date ORDER BY score DESC, id) AS r FROM scored) WHERE r = 1 ORDER BY when_date, id LIMIT 20),
+recap AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY when_date ORDER BY score DESC, id) AS r FROM scored) WHERE r <= 3),
+first_ AS (SELECT id FROM c ORDER BY when_date, score DESC, id LIMIT 1)
+SELECT 'lookup' AS mode, id FROM lookup UNION ALL SELECT 'state', id FROM state UNION ALL SELECT 'change', id FROM change UNION ALL SELECT 'timeline', id FROM timeline UNION ALL SELECT 'recap', id FROM recap UNION ALL SELECT 'first_mention', id FROM first_"""
+
+
+@query("p19_remember_when", sql(MODES_SQL))
+def p19(spark, d):
+    """A window's facts in six modes: by score, state about a day, changes, a day each, a recap by day, the first mention."""
+    from pyspark.sql import Window
+
+    w = window_facts(spark, d)
+    c = w.where("score > 0")
+    day = F.row_number().over(Window.partitionBy("when_date").orderBy(F.desc("score"), "id"))
+    daily = w.withColumn("r", day)
+    modes = {
+        "lookup": c.orderBy(F.desc("score"), F.desc("when_date"), "id").limit(10), "state": k16(spark, d), "change": k17(spark, d),
+        "timeline": daily.where("r = 1").orderBy("when_date", "id").limit(20), "recap": daily.where("r <= 3"),
+        "first_mention": c.orderBy("when_date", F.desc("score"), "id").limit(1),
+    }
+    out = None
+    for mode, rows in modes.items():
+        part = rows.select(F.lit(mode).alias("mode"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("p23_fact_backed_dates", sql(WINDOW_SQL + " SELECT when_date, count(*) AS facts, max(id) AS latest FROM scored WHERE when_date NOT IN (SELECT when_date FROM scored WHERE score > 3) GROUP BY when_date HAVING count(*) >= 2"))
 def p23(spark, d):
     """Days without a strong find that two facts or more speak for."""

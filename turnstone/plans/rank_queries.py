@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from turnstone.functions.vectors import cosine, hamming
+from turnstone.functions.vectors import cosine
 from turnstone.operators import filters, joins, ranking, sequences
 from turnstone.plans.registry import query
 from turnstone.sources import tables as T
@@ -37,6 +37,20 @@ def a9(spark, d):
     return ranking.bm25(docs, WORDS).select("id", F.round("score", 6).alias("score"))
 
 
+@query("a10_bm25_merge", sql(BM25_SQL + """, t AS (SELECT primary_tag AS tag, max(score) AS score FROM bm GROUP BY 1), top AS (SELECT tag, score, 0 AS source FROM t ORDER BY score DESC, tag LIMIT 12),
+dsc AS (SELECT primary_tag AS tag, CAST(count(*) AS DOUBLE) AS score, 1 AS source FROM segments WHERE contains(lower(summary), 'version') AND primary_tag NOT IN (SELECT tag FROM top) GROUP BY 1)
+SELECT tag, round(score, 6) AS score, CAST(source AS INT) AS source FROM (SELECT * FROM top UNION ALL SELECT * FROM dsc) ORDER BY source, score DESC, tag LIMIT 15"""))
+def a10(spark, d):
+    """A tag's best BM25 score of its segments, twelve tags; what is left of fifteen places goes to tags by their summaries."""
+    s = T.segments(spark, d)
+    docs = s.select(F.struct("ref", "primary_tag").alias("id"), F.col("full_text").alias("text"))
+    top = ranking.bm25(docs, WORDS).groupBy(F.col("id.primary_tag").alias("tag")).agg(F.max("score").alias("score")).orderBy(F.desc("score"), "tag").limit(12)
+    described = s.where(F.contains(F.lower("summary"), F.lit("version"))).groupBy(F.col("primary_tag").alias("tag")).agg(F.count("*").cast("double").alias("score"))
+    rest = described.join(top.select("tag"), "tag", "left_anti")
+    both = top.withColumn("source", F.lit(0)).unionByName(rest.withColumn("source", F.lit(1)))
+    return both.orderBy("source", F.desc("score"), "tag").limit(15).select("tag", F.round("score", 6).alias("score"), "source")
+
+
 @query("a11_idf_candidates", sql(IDF_SQL + " SELECT tag, round(score, 6) AS score FROM idf_c"))
 def a11(spark, d):
     return ranking.idf_candidates(T.segments(spark, d), TAGS, RELATED).select("tag", F.round("score", 6).alias("score"))
@@ -192,13 +206,6 @@ def v16(spark, d):
     return n.join(o, ["id", "subject", "verb"]).where("new_object <> object AND new_date > when_date").select("id", "old_id")
 
 
-@query("v21_fingerprints", sql(", f AS (SELECT doc_id, CAST(doc_id * 2654435761 AS BIGINT) AS h FROM documents) SELECT a.doc_id, bit_count(xor(a.h, b.h)) AS distance FROM f a JOIN f b ON b.doc_id = a.doc_id + 1"))
-def v21(spark, d):
-    f = T.read(spark, d, "documents").select("doc_id", (F.col("doc_id") * 2654435761).alias("h"))
-    b = f.select((F.col("doc_id") - 1).alias("doc_id"), F.col("h").alias("g"))
-    return f.join(b, "doc_id").select("doc_id", hamming("h", "g").alias("distance"))
-
-
 @query("p15_retrieve", sql(FUSED_SQL + """, m AS (SELECT s.ref, s.full_tokens AS cost, round(max(coalesce(bo.score, 0)), 8) AS best FROM segments s JOIN segment_tags t USING (ref) LEFT JOIN bo USING (tag) GROUP BY s.ref, s.full_tokens),
 k AS (SELECT *, row_number() OVER (ORDER BY best DESC, ref) AS r FROM m ORDER BY best DESC, ref LIMIT 60),
 fl AS (SELECT 0 AS r, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS took UNION ALL SELECT k.r, CASE WHEN fl.used + k.cost <= 6000 THEN fl.used + k.cost ELSE fl.used END, CASE WHEN fl.used + k.cost <= 6000 THEN k.ref END FROM fl JOIN k ON k.r = fl.r + 1)
