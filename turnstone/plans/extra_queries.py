@@ -125,14 +125,6 @@ def v4(spark, d):
     return ranking.hub_dampening(one, usage, []).select("tag", F.round("score", 6).alias("factor"))
 
 
-@query("v14_semantic_facts", "SELECT b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id = 11 AND a.label = b.label AND b.vec_id <> 11 ORDER BY cosine DESC, b.vec_id LIMIT 20")
-def v14(spark, d):
-    e = T.read(spark, d, "embeddings")
-    q = e.where("vec_id = 11").select(F.col("embedding").alias("q"), "label")
-    near = e.where("vec_id <> 11").join(F.broadcast(q), "label").select("vec_id", F.round(cosine("embedding", "q"), 6).alias("cosine"))
-    return near.orderBy(F.desc("cosine"), "vec_id").limit(20)
-
-
 SIMHASH_SQL = ", w AS (SELECT item_id, md5(unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')))) AS h FROM benchmark), b AS (SELECT item_id, i, sum(CASE WHEN ((strpos('0123456789abcdef', substr(h, i // 4 + 1, 1)) - 1) >> (i % 4)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM w, range(0, 64) r(i) GROUP BY ALL), fp AS (SELECT item_id, CAST(sum(CASE WHEN s > 0 AND i < 32 THEN 1 << i ELSE 0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN s > 0 AND i >= 32 THEN 1 << (i - 32) ELSE 0 END) AS BIGINT) AS high FROM b GROUP BY item_id)"
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from turnstone.functions.vectors import cosine
 from turnstone.operators import filters, joins, quotes, ranking, sequences
 from turnstone.plans.evidence_queries import at_sql
 from turnstone.plans.registry import query
@@ -110,8 +112,6 @@ def u3(spark, d):
 
 
 def summary_candidates(spark, d, limit: int):
-    from turnstone.functions.vectors import cosine
-
     s, e = T.segments(spark, d), T.read(spark, d, "embeddings")
     q = F.broadcast(e.where("vec_id = 3").select(F.col("embedding").alias("q")))
     hits = F.size(F.regexp_extract_all(F.lower("full_text"), F.lit("(license|apache)"))).cast("double")
@@ -140,6 +140,25 @@ def j22(spark, d):
     return quotes.nearest_each(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), queries, 0.2, 25)
 
 
+@query("v8_best_chunk", sql("SELECT query, owner, vec_id, cosine FROM (SELECT q.vec_id AS query, e.label AS owner, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE r = 1"))
+def v8(spark, d):
+    """For each query the best chunk of each owner. Chunks are dealt into runs that meet all queries; maxima are combined."""
+    e = T.read(spark, d, "embeddings")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("run"))
+    both = e.withColumn("run", F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int")).join(asked, "run")
+    scored = both.select("query", F.col("label").alias("owner"), F.struct(F.round(cosine("embedding", "q"), 6).alias("cosine"), (-F.col("vec_id")).alias("v")).alias("x"))
+    return scored.groupBy("query", "owner").agg(F.max("x").alias("x")).select("query", "owner", (-F.col("x.v")).alias("vec_id"), "x.cosine")
+
+
+@query("v14_semantic_facts", sql(", c AS (SELECT q.vec_id AS query, f.id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM facts f JOIN embeddings e ON e.vec_id = f.id, embeddings q WHERE q.vec_id % 100 = 0 AND f.superseded_by = '') SELECT query, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS r FROM c WHERE cosine >= 0.35) WHERE r <= 20"))
+def v14(spark, d):
+    """For each query the live facts by the cosine of their vectors, 0.35 at least, twenty at most."""
+    e = T.read(spark, d, "embeddings")
+    rows = filters.live(T.facts(spark, d)).select("id").join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "id")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return quotes.nearest_each(rows, queries, 0.35, 20)
+
+
 SIDES_SQL = ", chunks AS (SELECT vec_id, vec_id // 4 AS turn, ['user', 'assistant', 'user', 'subject'][vec_id % 4 + 1] AS side, label AS speaker, embedding FROM embeddings)"
 
 
@@ -158,9 +177,6 @@ def v9(spark, d):
 
 def turn_search(rows, e, same_speaker: bool = False, runs: int = 16, limit: int = 10):
     """For each query the best chunk of each (turn, side); the ten best of those. Turns are dealt into runs that meet all queries."""
-    from pyspark.sql import Window
-    from turnstone.functions.vectors import cosine
-
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("asker"))
     asked = q.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     both = rows.withColumn("run", F.pmod(F.xxhash64("turn"), F.lit(runs)).cast("int")).join(asked, "run")
@@ -183,8 +199,6 @@ em AS (SELECT tag, list_cosine_similarity(CAST(vec AS DOUBLE[]), CAST((SELECT em
 
 def tag_scores(spark, d):
     """Tags by the better of their cosines with the bare and with the contextual query vector; 0.25 at least, twenty at most."""
-    from turnstone.functions.vectors import cosine
-
     e = T.read(spark, d, "embeddings")
     vec = e.groupBy(F.concat(F.lit("src"), F.col("label").cast("string")).alias("tag")).agg(F.min_by("embedding", "vec_id").alias("vec"))
     q = e.agg(F.max(F.when(F.col("vec_id") == 3, F.col("embedding"))).alias("a"), F.max(F.when(F.col("vec_id") == 7, F.col("embedding"))).alias("b"))
@@ -212,8 +226,6 @@ def v5(spark, d):
 
 @query("w1_ranks", sql(", u AS (SELECT conversation_id, tag, count(*) AS score FROM segment_tags GROUP BY ALL) SELECT conversation_id, tag, row_number() OVER (PARTITION BY conversation_id ORDER BY score DESC, tag) - 1 AS rank FROM u"))
 def w1(spark, d):
-    from pyspark.sql import Window
-
     u = joins.exploded(T.segments(spark, d)).groupBy("conversation_id", "tag").agg(F.count("*").alias("score"))
     return u.select("conversation_id", "tag", (F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.desc("score"), "tag")) - 1).cast("long").alias("rank"))
 
@@ -252,8 +264,6 @@ c AS (SELECT x.id, role, round(coalesce(list_cosine_similarity(CAST(v.embedding
 SELECT id, role, cosine FROM c ORDER BY role DESC, cosine DESC, id LIMIT 200"""))
 def p18(spark, d):
     """Verb expansion, filter, links, then a rerank by cosine: primary facts before linked ones, 200 in all."""
-    from turnstone.functions.vectors import cosine
-
     e = T.read(spark, d, "embeddings")
     q = F.broadcast(e.where("vec_id = 11").select(F.col("embedding").alias("q")))
     x = expanded_facts(spark, d).join(e.select(F.col("vec_id").alias("id"), "embedding"), "id", "left").crossJoin(q)
@@ -262,9 +272,6 @@ def p18(spark, d):
 
 @query("v15_fact_rerank", sql(", c AS (SELECT f.id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 11) AS DOUBLE[])), 6) AS cosine FROM facts f JOIN embeddings v ON v.vec_id = f.id WHERE f.superseded_by = '') SELECT id, cosine, row_number() OVER (ORDER BY cosine DESC, id) AS place FROM c ORDER BY cosine DESC, id LIMIT 100"))
 def v15(spark, d):
-    from pyspark.sql import Window
-    from turnstone.functions.vectors import cosine
-
     e = T.read(spark, d, "embeddings")
     q = F.broadcast(e.where("vec_id = 11").select(F.col("embedding").alias("q")))
     f = filters.live(T.facts(spark, d)).select("id").join(e.select(F.col("vec_id").alias("id"), "embedding"), "id").crossJoin(q)
@@ -318,8 +325,6 @@ def k16(spark, d):
 SELECT id, when_date FROM (SELECT *, row_number() OVER (PARTITION BY when_date ORDER BY score DESC, id) AS r FROM t) WHERE r <= 2 ORDER BY when_date, id"""))
 def k17(spark, d):
     """Of the best max(3 n, 24) candidates two a day, n being ten."""
-    from pyspark.sql import Window
-
     top = window_facts(spark, d).where("score > 0").orderBy(F.desc("score"), "id").limit(max(3 * 10, 24))
     r = F.row_number().over(Window.partitionBy("when_date").orderBy(F.desc("score"), "id"))
     return top.withColumn("r", r).where("r <= 2").orderBy("when_date", "id").select("id", "when_date")
@@ -338,8 +343,6 @@ SELECT 'lookup' AS mode, id FROM lookup UNION ALL SELECT 'state', id FROM state
 @query("p19_remember_when", sql(MODES_SQL))
 def p19(spark, d):
     """A window's facts in six modes: by score, state about a day, changes, a day each, a recap by day, the first mention."""
-    from pyspark.sql import Window
-
     w = window_facts(spark, d)
     c = w.where("score > 0")
     day = F.row_number().over(Window.partitionBy("when_date").orderBy(F.desc("score"), "id"))

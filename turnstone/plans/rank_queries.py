@@ -190,14 +190,6 @@ def k28(spark, d):
     return T.telemetry(spark, d).orderBy(F.desc("seq")).limit(5000).select("seq")
 
 
-@query("v8_best_chunk", sql("SELECT label AS owner, vec_id, cosine FROM (SELECT label, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 5) AS DOUBLE[])), 6) AS cosine, row_number() OVER (PARTITION BY label ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 5) AS DOUBLE[])), 6) DESC, vec_id) AS r FROM embeddings) WHERE r = 1"))
-def v8(spark, d):
-    e = T.read(spark, d, "embeddings")
-    q = F.broadcast(e.where("vec_id = 5").select(F.col("embedding").alias("q")))
-    s = e.crossJoin(q).select("label", "vec_id", F.round(cosine("embedding", "q"), 6).alias("cosine"))
-    return s.groupBy(F.col("label").alias("owner")).agg(F.max(F.struct("cosine", (-F.col("vec_id")).alias("v"))).alias("x")).select("owner", (-F.col("x.v")).alias("vec_id"), "x.cosine")
-
-
 @query("v16_supersession_candidates", sql("SELECT n.id, o.id AS old_id FROM facts n JOIN facts o ON n.subject = o.subject AND n.verb = o.verb AND n.object <> o.object AND n.when_date > o.when_date AND o.superseded_by = CAST(n.id AS VARCHAR)"))
 def v16(spark, d):
     f = T.facts(spark, d)
