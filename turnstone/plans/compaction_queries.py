@@ -169,10 +169,10 @@ def p39(spark, d):
     return e.join(known, "user_id", "left").select("event_id", upkeep.filled("actor", F.col("known")).alias("actor"))
 
 
-@query("p44_reindexed_vectors", "SELECT coalesce(d.doc_id, e.vec_id) AS id, CASE WHEN e.vec_id IS NULL THEN 'missing' ELSE 'orphan' END AS state FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.vec_id IS NULL OR d.doc_id IS NULL")
+@query("p44_reindexed_vectors", "SELECT coalesce(d.doc_id, e.vec_id) AS id, CASE WHEN e.vec_id IS NULL THEN 'missing' ELSE 'orphan' END AS state FROM (SELECT DISTINCT doc_id FROM labels) d FULL JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.vec_id IS NULL OR d.doc_id IS NULL")
 def p44(spark, d):
     """Rows without a vector, and vectors without a row."""
-    rows = T.read(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.lit(True).alias("row"))
+    rows = T.read(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct().withColumn("row", F.lit(True))
     vecs = T.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(True).alias("vec"))
     both = rows.join(vecs, "id", "full").where("row IS NULL OR vec IS NULL")
     return both.select("id", F.when(F.col("vec").isNull(), "missing").otherwise("orphan").alias("state"))
@@ -192,11 +192,11 @@ def p50(spark, d):
     return compaction.inserted(once, links, ["alias", "target"])
 
 
-@query("q6_summary_digests", sql("SELECT conversation_id, md5(string_agg(md5(summary), chr(31) ORDER BY md5(summary))) AS digest FROM segments WHERE ref % 2 = 0 GROUP BY 1"))
+@query("q6_summary_digests", sql("SELECT conversation_id, CAST(ref // 1000 AS BIGINT) AS page, md5(string_agg(md5(summary), chr(31) ORDER BY ref)) AS digest FROM segments GROUP BY 1, 2"))
 def q6(spark, d):
-    """A digest of a conversation's summaries, in the order of their own digests; of every second segment, as the others are not written."""
-    s = T.segments(spark, d).where("ref % 2 = 0").select("conversation_id", F.md5("summary").alias("m"))
-    return s.groupBy("conversation_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("m")), "\u001f")).alias("digest"))
+    """A digest of a conversation's summaries in order, for each page of a thousand numbers, so that no group is unbounded."""
+    s = T.segments(spark, d).select("conversation_id", F.expr("ref div 1000").alias("page"), F.struct("ref", F.md5("summary").alias("m")).alias("x"))
+    return s.groupBy("conversation_id", "page").agg(F.md5(F.array_join(F.array_sort(F.collect_list("x"))["m"], "\u001f")).alias("digest"))
 
 
 @query("q15_alias_ends", sql(", al AS (SELECT o_orderkey AS alias, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey + 1 + o_orderkey % 3 END AS target FROM orders), w AS (SELECT alias, target AS pos, 1 AS hops FROM al WHERE target IS NOT NULL UNION ALL SELECT w.alias, al.target, hops + 1 FROM w JOIN al ON al.alias = w.pos WHERE al.target IS NOT NULL AND hops <= 8) SELECT alias, max(hops) AS hops, CASE WHEN max(hops) > 8 THEN 'too_long' WHEN arg_max(pos, hops) IN (SELECT alias FROM al) THEN 'ok' ELSE 'missing' END AS state FROM w GROUP BY alias", recursive=True))

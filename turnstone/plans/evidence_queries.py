@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnstone.functions import dates, evidence, text
+from turnstone.functions import evidence, text
+from turnstone.operators.sequences import top_per_key
 from turnstone.plans.registry import query
 from turnstone.sources import exports
 from turnstone.sources import tables as T
@@ -166,8 +167,8 @@ def a26(spark, d):
     """A conversation's best supported total; ambiguous where another one, over 5 % off, has nearly as much support."""
     total = t17(spark, d).groupBy("id").agg(F.sum("value").alias("total")).join(T.notes(spark, d).select("id", "conversation_id"), "id")
     support = total.groupBy("conversation_id", "total").agg(F.count("*").alias("n"))
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "total"))), 1, 2)
-    best = support.groupBy("conversation_id").agg(top.alias("top"))
+    two = top_per_key(support, "conversation_id", 2, F.desc("n"), F.col("total"))
+    best = two.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "total"))).alias("top"))
     a, b = F.col("top")[0], F.get("top", F.lit(1))
     off = F.abs(a["total"] - b["total"]) > 0.05 * F.greatest(a["total"], b["total"])
     return best.select("conversation_id", a["total"].alias("total"), (-a["m"]).alias("support"), F.coalesce((-b["m"] >= -0.8 * a["m"]) & off, F.lit(False)).alias("ambiguous"))
@@ -178,8 +179,6 @@ g AS (SELECT conversation_id, v, day, min(id) AS id, count(*) AS n FROM v GROUP
 SELECT conversation_id, v AS value, day, id FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY n DESC, day DESC, v, id) AS r FROM g) WHERE r <= 5"""))
 def a27(spark, d):
     """One candidate for each value and date; the five best supported, then newest, of a conversation."""
-    from turnstone.operators.sequences import top_per_key
-
     v = T.notes(spark, d).select("id", "conversation_id", "day", F.explode(evidence.percents("text", 100)).alias("value"))
     g = v.groupBy("conversation_id", "value", "day").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     return top_per_key(g, "conversation_id", 5, F.desc("n"), F.desc("day"), F.col("value"), F.col("id")).select("conversation_id", "value", "day", "id")

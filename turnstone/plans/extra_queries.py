@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
-from turnstone.functions.vectors import cosine, hamming
+from turnstone.functions.vectors import hamming
 from turnstone.operators import filters, joins, sequences
 from turnstone.plans.registry import query
 from turnstone.plans.sequence_queries import TURNS

@@ -9,7 +9,6 @@ from turnstone.functions.vectors import cosine
 from turnstone.operators import filters, joins, quotes, ranking, sequences
 from turnstone.plans.evidence_queries import at_sql
 from turnstone.plans.registry import query
-from turnstone.plans.sequence_queries import TURNS
 from turnstone.sources import tables as T
 from turnstone.sources.tables import sql
 

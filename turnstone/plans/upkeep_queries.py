@@ -152,13 +152,13 @@ def s21(spark, d):
 # --- turns and payloads ------------------------------------------------------------------------------------------
 
 
-@query("w3_logical_turns", sql(""", r AS (SELECT conversation_id, ordinal, role, ordinal // 2 AS g FROM messages WHERE ordinal % 7 <> 3),
+@query("w3_logical_turns", sql(""", r AS (SELECT conversation_id, ordinal, role, (ordinal + ordinal // 7) // 2 AS g FROM messages),
 f AS (SELECT *, lag(role) OVER w AS before, lag(g) OVER w AS before_g FROM r WINDOW w AS (PARTITION BY conversation_id ORDER BY ordinal)),
 o AS (SELECT *, CASE WHEN role = 'assistant' AND before = 'user' AND g = before_g THEN 0 ELSE 1 END AS opens FROM f)
 SELECT conversation_id, ordinal, CAST(sum(opens) OVER (PARTITION BY conversation_id ORDER BY ordinal) - 1 AS BIGINT) AS turn FROM o"""))
 def w3(spark, d):
-    """Stored rows with gaps and group numbers: an answer closes the question before it if their groups agree."""
-    m = T.messages(spark, d).where("ordinal % 7 <> 3").select("conversation_id", "ordinal", "role", F.expr("ordinal div 2").alias("g"))
+    """Stored rows with group numbers that slip now and then: an answer closes the question before it if their groups agree."""
+    m = T.messages(spark, d).select("conversation_id", "ordinal", "role", F.expr("(ordinal + ordinal div 7) div 2").alias("g"))
     return upkeep.logical_turns(m, "conversation_id", "ordinal", "g").select("conversation_id", "ordinal", "turn")
 
 
@@ -294,10 +294,10 @@ def k4(spark, d):
     return upkeep.pooled_fill(top, "conversation_id", {"tag": 900, "fact": 200}, 1000)
 
 
-@query("k18_fitting_prefix", sql("SELECT conversation_id, count(*) AS n, CAST(max(used) AS BIGINT) AS used FROM (SELECT conversation_id, sum(summary_tokens + 3) OVER (PARTITION BY conversation_id ORDER BY ref) AS used FROM segments WHERE ref % 10 = 0) WHERE used <= 700 GROUP BY 1"))
+@query("k18_fitting_prefix", sql("SELECT conversation_id, count(*) AS n, CAST(max(used) AS BIGINT) AS used FROM (SELECT conversation_id, sum(summary_tokens + 3) OVER (PARTITION BY conversation_id ORDER BY ref) AS used FROM segments) WHERE used <= 700 GROUP BY 1"))
 def k18(spark, d):
-    """The most leading lines, each with its mark, that a hint has room for; lines are every tenth segment's."""
-    s = T.segments(spark, d).where("ref % 10 = 0").select("conversation_id", "ref", (F.col("summary_tokens") + 3).alias("cost"))
+    """The most leading lines, each with its mark, that a hint has room for."""
+    s = T.segments(spark, d).select("conversation_id", "ref", (F.col("summary_tokens") + 3).alias("cost"))
     fit = sequences.prefix_fill(s, "conversation_id", "cost", 700, F.col("ref"))
     return fit.groupBy("conversation_id").agg(F.count("*").alias("n"), F.max("used").alias("used"))
 
