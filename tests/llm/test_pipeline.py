@@ -71,3 +71,36 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_reused_and_null_identifiers_long_texts_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(21)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+
+    texts = [prose(40) for _ in range(12)]
+    rows = [(k, t) for k, t in enumerate(texts[:6])]
+    rows += [(1, texts[6]), (1, texts[0]), (None, texts[7]), (None, texts[7]), (None, texts[8]), (4, texts[4]), (None, None), (50, ""), (51, None)]
+    rows += [(60, prose(120_000)), (61, texts[9] + " call +1 (407) 555-7710"), (62, texts[10] + "\n"), (62, texts[10]), (63, texts[5] + " tail")]
+    sf = str(tmp_path)
+    extra = "key string, digest string, mine string, other string, added string, id int, run int, component_id long, sig long, n long, kept boolean, row string"
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t or ""), *(["x"] * 5), k, 1, 2, 3, 4, True, "r") for k, (i, t) in enumerate(rows)],
+        "doc_id long, text string, lang string, source string, n_chars long, " + extra,
+    )
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, now, sf)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{sf}/out{k}")
+        now = spark.read.parquet(f"{sf}/out{k}")
+    got = sorted(((r.doc_id, (r.text or "")[:60]) for r in now.collect()), key=str)
+    want = [(k, t) for k, t in enumerate(texts[:6])] + [(1, texts[6]), (None, texts[7]), (None, texts[8]), (50, ""), (60, rows[15][1]), (61, rows[16][1].split(" call")[0]), (62, texts[10] + "\n")]
+    assert [g[0] for g in got] == [w[0] for w in sorted(((i, t[:60]) for i, t in want), key=str)]
+    assert {g[1] for g in got} == {t[:60] for _, t in want}
+    assert [r for r in now.collect() if r.doc_id == 61][0].text.endswith("call <PHONE>")
+    packed = corpus_pipeline.STAGES[4][1](spark, now, sf).collect()
+    assert len({(r.doc_id, r.start, r.ids_crc32) for r in packed}) == len(packed) and sum(r.doc_id == 60 for r in packed) > 100
