@@ -14,6 +14,7 @@ from .partenum import OP6_SQL, op6_ngram_jaccard_join
 from .pii import op3_pii
 from .rp_forest import op10_rp_forest
 from .sp_sampling import op5_sp_sampling
+from .superkmers import OP12_SQL, op12_substring_dedup
 from .toxicity import op1_toxicity
 from .warc import op4_warc
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_rp_forest": op10_rp_forest,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op12_substring_dedup": OP12_SQL}
