@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP11_SQL, op11_collocations
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .licenses import op7_license_scan
 from .ordinal import op8_quality
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_rp_forest": op10_rp_forest,
+    "op11_collocations": op11_collocations,
     "op12_substring_dedup": op12_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op12_substring_dedup": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_collocations": OP11_SQL, "op12_substring_dedup": OP12_SQL}
