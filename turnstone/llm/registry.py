@@ -18,6 +18,7 @@ from .sp_sampling import op5_sp_sampling
 from .superkmers import OP12_SQL, op12_substring_dedup
 from .toxicity import op1_toxicity
 from .warc import op4_warc
+from .yinyang import OP13_SQL, op13_yinyang
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_rp_forest": op10_rp_forest,
     "op11_collocations": op11_collocations,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_yinyang": op13_yinyang,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_collocations": OP11_SQL, "op12_substring_dedup": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_ngram_jaccard_join": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_collocations": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_yinyang": OP13_SQL}
