@@ -90,3 +90,14 @@ def test_equal_texts_fall_into_all_shards(spark):
             assert o == at
             at += n
         assert at <= 2048
+
+
+def test_long_runs_of_one_character_give_the_tokenizer_files_ids(spark):
+    exact = packing._tokenizers(packing.VOCABULARY)[0]
+    texts = [c * 2_000_000 for c in (" ", "\n", "\t", "\xa0", " \n")] + ["a" * 200_000, "-" * 200_000, "x" + " " * 1_500_000 + "y"]
+    for t in texts:
+        assert packing.token_ids(t).tolist() == exact.encode(t, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, texts[0]), (2, "some words"), (3, texts[4])], "doc_id long, text string")
+    rows = packing.pack_documents(docs, shard_rows=50).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3}
+    assert sum(r.length for r in rows) == sum(len(packing.token_ids(t)) + 1 for t in (texts[0], "some words", texts[4]))

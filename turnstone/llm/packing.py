@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_slices
+from .common import materialize, read, text_slices
 
 WINDOW = 2048
 #: The id after each document.
 END_ID = 1
 VOCABULARY = "byte_bpe_50k"
-#: Rows of the input for each packing task, on average.
+#: Pieces for each packing task, on average.
 SHARD_ROWS = 40_000
 #: Strings that the tokenizer file itself treats as one id; texts with them go through it.
 SPECIAL = "<|endoftext|>"
@@ -43,10 +43,14 @@ def _tokenizers(name: str):
 
 
 def token_ids(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """The tokenizer file's ids; by the ranks where they give the same and can (long runs of white space exhaust their pattern)."""
     exact, fast = _tokenizers(vocabulary)
-    if SPECIAL in text:
-        return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
-    return np.frombuffer(fast.encode_to_numpy(text), dtype=np.uint32).astype("<u4", copy=False)
+    if SPECIAL not in text:
+        try:
+            return np.frombuffer(fast.encode_to_numpy(text), dtype=np.uint32).astype("<u4", copy=False)
+        except ValueError:
+            pass
+    return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -142,17 +146,17 @@ def pack_documents(
     Returns a row for each piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is cut
     every window tokens; its whole windows are sequences of their own and the rest is packed by minimum bin slack with
     the rests of its shard. Shards are dealt by the pieces' checksums and document ids, repeated rows by the number of the
-    run that they are counted into, so that equal texts fall into all shards; the number of shards follows the input's
-    rows, so that a task holds a bounded number of piece descriptions (no texts). sequence_id is the shard in its upper and the
+    run that they are counted into, so that equal texts fall into all shards; pieces are written and counted first and the
+    number of shards follows them, so that a task holds a bounded number of piece descriptions (no texts). sequence_id is the shard in its upper and the
     sequence in its lower 32 bits. Null text is empty (one piece, END_ID alone); repeated rows are packed each; other
     columns are not read. An empty table gives an empty result.
     """
-    rows = docs.count()
-    shards = max(1, -(-rows // shard_rows))
     kind = dict(docs.dtypes)[id_col]
     pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _cut(window, vocabulary), PIECES.format(id=kind)
     )
+    pieces = materialize(pieces, "pieces")
+    shards = max(1, -(-pieces.count() // shard_rows))
     # repeated rows are counted first, and dealt in runs
     most = max(1, shard_rows // COPIES)
     runs = pieces.groupBy(pieces.columns).agg(F.count(F.lit(1)).alias("copies"))
