@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import text
-from turnstone.operators import compaction, joins, sequences, upkeep
+from turnstone.operators import compaction, joins, segmentation, sequences, upkeep
 from turnstone.plans.registry import query
 from turnstone.plans.sequence_queries import TURNS
 from turnstone.sources import tables as T
@@ -40,11 +40,50 @@ SEGMENTS_SQL = TAGGED_SQL + """, pt AS (SELECT *, coalesce(carried[1], '_general
 i AS (SELECT *, sum(opens) OVER (PARTITION BY conversation_id ORDER BY turn_no) AS island FROM f), c AS (SELECT *, (row_number() OVER (PARTITION BY conversation_id, island ORDER BY turn_no) - 1) // 3 AS piece FROM i)"""
 
 
-@query("p6_topic_segments", sql(SEGMENTS_SQL + " SELECT conversation_id, primary_tag, min(turn_no) AS first_turn, max(turn_no) AS last_turn, count(*) AS turns FROM c GROUP BY conversation_id, island, piece, primary_tag"))
+# The rows of a conversation's turns with tags of their own, a guest now and then, session headers and breaks.
+SPOKEN_SQL = TAGGED_SQL + """, said AS (SELECT conversation_id, turn_no, user_text || ' ' || assistant_text AS body, CASE WHEN (conversation_id + turn_no) % 13 = 5 THEN ['_stub'] WHEN len(own) > 0 THEN own ELSE ['_general'] END AS tags,
+CASE WHEN turn_no % 7 = 6 THEN 'day ' || turn_no ELSE '' END AS header, CASE WHEN (conversation_id * 7 + turn_no) % 11 = 0 THEN 'guest' WHEN (conversation_id + turn_no) % 17 <> 3 THEN 'user' END AS ident, turn_no * 600 + 2400 * ((conversation_id + turn_no) // 5) AS ts FROM tagged WHERE trim(user_text || assistant_text) <> ''),
+spoken AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_no) AS i, len(body) // 4 AS tokens, list_filter(tags, lambda t: t <> '_general') AS topics, list_distinct(regexp_extract_all(lower(left(body, 2000)), '[^ \\t\\n\\r\\f\\v]+')) AS words FROM said),
+fold AS (
+  SELECT conversation_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(n INT, session VARCHAR, prime VARCHAR, anchor VARCHAR[], ident VARCHAR, turns INT, tokens BIGINT, ended BIGINT, started BIGINT, tags VARCHAR[], one VARCHAR, two VARCHAR)[]) AS lib, '' AS session, -1 AS last FROM (SELECT DISTINCT conversation_id FROM spoken)
+  UNION ALL
+  SELECT conversation_id, i, CASE WHEN best IS NULL THEN list_append(lib, {'n': len(lib)::INT, 'session': session, 'prime': tags[1], 'anchor': topics, 'ident': ident, 'turns': 1, 'tokens': tokens, 'ended': ts + 300, 'started': ts, 'tags': tags, 'one': NULL, 'two': body})
+    ELSE list_transform(lib, lambda g: CASE WHEN g.n = best THEN {'n': g.n, 'session': g.session, 'prime': g.prime, 'anchor': g.anchor, 'ident': g.ident, 'turns': g.turns + 1, 'tokens': g.tokens + tokens, 'ended': ts + 300, 'started': g.started, 'tags': list_distinct(list_concat(g.tags, tags)), 'one': g.two, 'two': body} ELSE g END) END, session, coalesce(best, len(lib))::INT
+  FROM (
+    SELECT *, list_filter(list_transform(range(len(lib)), lambda k: k::INT), lambda k: score[k + 1] >= 0.5 AND score[k + 1] = list_max(score))[1] AS best
+    FROM (
+      SELECT f.conversation_id, s.i, f.lib, f.last, CASE WHEN s.header <> '' THEN s.header ELSE f.session END AS session, s.body, s.tags, s.topics, s.ident, s.ts, s.tokens,
+        list_transform(f.lib, lambda g: CASE WHEN g.tokens + s.tokens > 4 * 200 OR g.turns >= 4 OR g.ident IS NULL OR s.ident IS NULL OR g.ident <> s.ident OR (s.header <> '' AND s.header <> g.session) OR s.ts - g.ended > 1800 THEN -1.0
+          WHEN len(s.topics) = 0 THEN CASE WHEN g.n = f.last THEN 1.0 ELSE -1.0 END WHEN len(g.anchor) = 0 THEN -1.0 WHEN g.prime = s.tags[1] THEN 1.0
+          ELSE greatest(len(list_intersect(g.anchor, s.topics))::DOUBLE / least(len(g.anchor), len(s.topics)), 0.8 * len(list_intersect(list_distinct(regexp_extract_all(lower(left(concat_ws(' ', g.one, g.two), 2000)), '[^ \\t\\n\\r\\f\\v]+')), s.words)) / greatest(1, len(list_distinct(list_concat(regexp_extract_all(lower(left(concat_ws(' ', g.one, g.two), 2000)), '[^ \\t\\n\\r\\f\\v]+'), s.words))))) END::DOUBLE) AS score
+      FROM fold f JOIN spoken s ON s.conversation_id = f.conversation_id AND s.i = f.i + 1))),
+placed AS (SELECT f.conversation_id, s.turn_no, f.last AS segment FROM fold f JOIN spoken s USING (conversation_id, i))"""
+
+
+def spoken(spark, d):
+    """Turns as topic segments take them: tags of their own, now and then a guest, a session header, a break."""
+    c, n = F.col("conversation_id"), F.col("turn_no")
+    own = F.when((c + n) % 13 == 5, F.array(F.lit("_stub"))).when(F.size("own") > 0, F.col("own")).otherwise(F.array(F.lit("_general")))
+    ident = F.when((c * 7 + n) % 11 == 0, "guest").when((c + n) % 17 != 3, "user")
+    ts = n * 600 + F.floor((c + n) / 5) * 2400
+    return tagged(spark, d).select("conversation_id", "turn_no", F.concat("user_text", F.lit(" "), "assistant_text").alias("text"), own[0].alias("primary_tag"), own.alias("tags"), F.when(n % 7 == 6, F.concat(F.lit("day "), n.cast("string"))).otherwise("").alias("session"), ident.alias("identity"), ts.alias("started"), (ts + 300).alias("ended"))
+
+
+@query("p6_turn_segments", sql(SPOKEN_SQL + " SELECT conversation_id, turn_no, segment FROM placed", recursive=True))
+def p6_turns(spark, d):
+    """The topic segment that each turn joins: related tags or words, with caps, sessions, breaks and identities."""
+    return segmentation.topic_segments(spoken(spark, d), most=4).select("conversation_id", "turn_no", "segment")
+
+
+@query("p6_topic_segments", sql(SPOKEN_SQL + """, e AS (SELECT conversation_id, lib FROM fold QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY i DESC) = 1), g AS (SELECT conversation_id, unnest(lib) AS g FROM e)
+SELECT conversation_id, g.n AS segment, g.turns::BIGINT AS turns, g.prime AS primary_tag FROM g WHERE g.prime <> '_stub'""", recursive=True))
 def p6(spark, d):
-    """Runs of turns with one primary tag, of at most three turns."""
-    s = compaction.topic_segments(tagged(spark, d), most=3)
-    return s.groupBy("conversation_id", "island", "piece", "primary_tag").agg(F.min("turn_no").alias("first_turn"), F.max("turn_no").alias("last_turn"), F.count("*").alias("turns")).drop("island", "piece")
+    """Segments with their turns and primary tag. (Stubs take their neighbours' tags; the statement leaves them out, as the result does.)"""
+    s = spoken(spark, d)
+    t = segmentation.topic_segments(s, most=4)
+    first = t.join(s.select("conversation_id", "turn_no", F.col("primary_tag").alias("own")), ["conversation_id", "turn_no"])
+    g = first.groupBy("conversation_id", "segment").agg(F.count("*").alias("turns"), F.min_by("own", "turn_no").alias("own"), F.first("primary_tag").alias("primary_tag"))
+    return g.where("own <> '_stub'").drop("own")
 
 
 SENTENCES_SQL = """, u AS (SELECT ref, full_tokens, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT ref, full_tokens, regexp_extract_all(full_text, '[^.!?]+[.!?]+') AS l FROM segments)),
