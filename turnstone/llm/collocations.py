@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _LOWER, discard, materialize, mix, read, spread
-from .exchange import begin_of, byte_set, pack, ragged, slices, unpack, words_in_steps
+from .exchange import begin_of, byte_set, gather, pack, slices, unpack, words_in_steps
 
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: Bytes of text that become chunks (one for each language in them), and of text that a bucket stands for, about.
@@ -65,7 +65,7 @@ def _start(chunk_bytes: int, buckets: int):
                     order, codes = _dealt(bucket, codes)
                     at = mine[first[order]]
                     size = ends[at] - starts[at]
-                    keys = pack(bucket[order], n[order], size, data[ragged(starts[at], size)])
+                    keys = pack(bucket[order], n[order], size, gather(data, starts[at], size))
                     yield pa.record_batch([[name], [keys], [pack(codes)]], ["lang", "keys", "codes"])
 
     return run

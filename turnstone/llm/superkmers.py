@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, mix, read, signed
-from .exchange import Segments, begin_of, byte_set, pack, ragged, slices, unpack, words_in_steps
+from .exchange import Segments, begin_of, byte_set, gather, pack, ragged, slices, unpack, words_in_steps
 
 WIDTH, PAIR = 13, 2
 #: Bytes of text of a run (documents that are packed and answered together), and of packed strings of a bucket, about.
@@ -92,7 +92,8 @@ def _runs(run_bytes: int, pair: int):
                 order = _pairs(words_in_steps(data, offsets, SPACE)[3], pair) >> np.uint64(1)
                 values, n = np.unique(order, return_counts=True)
                 common = n >= max(8, len(order) * HOT_SHARE)
-                held = pack(keys, known, np.diff(offsets), data)
+                # a space after each document, so that the byte after a word is always its own
+                held = pack(keys, known, np.diff(offsets) + 1, np.insert(data, offsets[1:], np.uint8(0x20)))
                 yield pa.record_batch([[held], [pack(values[common], n[common])]], ["docs", "common"])
 
     return run
@@ -129,7 +130,7 @@ class _Run:
         self.string = np.empty(len(order), np.int64)  # each super-k-mer's distinct string
         self.string[order] = np.repeat(place, np.diff(np.r_[firsts, len(order)]))
         one = order[firsts][rank]
-        self.one, self.bucket, self.value = one, bucket[one], value[one]
+        self.one, self.bucket = one, bucket[one]
         owners = self.ids[self.doc][order]
         self.low = np.minimum.reduceat(owners, firsts)[rank] if len(firsts) else owners
         self.high = np.maximum.reduceat(owners, firsts)[rank] if len(firsts) else owners
@@ -141,7 +142,7 @@ class _Run:
         size = self.ends[self.first[self.one] + self.n[self.one] + self.width - 2] - begin
         for k, bucket in enumerate(self.found.tolist()):
             s = slice(self.at[k], self.at[k + 1])
-            yield bucket, pack(size[s], self.value[s], self.low[s], self.high[s], self.data[ragged(begin[s], size[s])])
+            yield bucket, pack(size[s], self.low[s], self.high[s] - self.low[s], gather(self.data, begin[s], size[s]))
 
     def covered(self, answers: list[tuple[int, bytes]]) -> np.ndarray:
         """Of each word whether a window that an answer names an earlier document of covers it."""
@@ -158,10 +159,13 @@ class _Run:
     def rows(self, gone: np.ndarray) -> pa.RecordBatch:
         kept = np.flatnonzero(~gone)
         size = self.ends[kept] - self.starts[kept] + 1  # each with the byte after it, which becomes the space
-        data = np.append(self.data, np.uint8(0x20))[ragged(self.starts[kept], size)]
-        data[np.cumsum(size) - 1] = 0x20
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[self.starts[kept]] += 1
+        inside[self.ends[kept] + 1] -= 1
+        text = self.data.copy()
+        text[self.ends[kept]] = 0x20
+        raw = text[np.cumsum(inside[:-1], dtype=np.int8) > 0].tobytes()
         ends = begin_of(size)[np.searchsorted(kept, self.docs)]
-        raw = data.tobytes()
         sha = [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         n = np.diff(self.docs)
         removed = np.diff(begin_of(gone)[self.docs])
@@ -188,7 +192,7 @@ def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray
     a, b = at, at[first[code]] if len(at) else at
     a, b = a[a != b], b[a != b]
     size = ends[a] - starts[a]
-    if (size == ends[b] - starts[b]).all() and (data[ragged(starts[a], size)] == data[ragged(starts[b], size)]).all():
+    if (size == ends[b] - starts[b]).all() and (gather(data, starts[a], size) == gather(data, starts[b], size)).all():
         return h
     raw = data.tobytes()
     return mix(pd.factorize(np.array([raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], object))[0].astype(np.uint64) + np.uint64(1))
@@ -227,29 +231,33 @@ def _count(strings: list[tuple[np.ndarray, ...]], width: int) -> list[tuple[np.n
     return out
 
 
-def _bucket(width: int, part_bytes: int):
+def _of_part(size: np.ndarray, data: np.ndarray, hot: np.ndarray, width: int, pair: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of a part of the minimisers, and the ordinals of their windows among those of all strings."""
+    _, _, rows, h = words_in_steps(data, begin_of(size), SPACE)
+    _, _, n, value = _super_kmers(h, np.searchsorted(rows, np.arange(len(size) + 1)), hot, width, pair)
+    mine = np.flatnonzero(mix(value ^ _TAG) % np.uint64(parts) == part)
+    return mine, ragged(begin_of(n)[mine], n[mine])
+
+
+def _bucket(hot, width: int, pair: int, part_bytes: int):
     def run(key, table):
         runs, blobs = table.column("run").to_pylist(), table.column("blob")
         whole = [(i, unpack(b.as_py())) for i, b in enumerate(blobs)]
-        parts = -(-sum(len(x[4]) for _, x in whole) // part_bytes)
+        parts = max(1, -(-sum(len(x[3]) for _, x in whole) // part_bytes))
         told: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in runs]
         for part in range(parts):
-            strings, ordinals = [], []
-            for i, (size, value, low, high, data) in whole:
-                mine = np.flatnonzero(mix(value ^ _TAG) % np.uint64(parts) == part)
-                if not len(mine):
-                    continue
-                text = data if len(mine) == len(size) else data[ragged(begin_of(size)[mine], size[mine])]
-                strings.append((size[mine], low[mine], high[mine], text))
-                ordinals.append((i, mine, size, data))
-            for (i, mine, size, data), (ordinal, low) in zip(ordinals, _count(strings, width), strict=True) if strings else []:
-                if not len(ordinal):
-                    continue
-                if len(mine) < len(size):  # ordinals among the part's strings, not the blob's
-                    rows = words_in_steps(data, begin_of(size), SPACE)[2]
-                    n = np.bincount(rows, minlength=len(size)) - width + 1
-                    ordinal = ragged(begin_of(n)[mine], n[mine])[ordinal]
-                told[i].append((ordinal, low))
+            strings, chosen = [], []
+            for i, (size, low, more, data) in whole:
+                mine, first = np.arange(len(size)), None
+                if parts > 1:
+                    mine, first = _of_part(size, data, hot.value, width, pair, part, parts)
+                if len(mine):
+                    text = data if first is None else gather(data, begin_of(size)[mine], size[mine])
+                    strings.append((size[mine], low[mine], low[mine] + more[mine], text))
+                    chosen.append((i, first))
+            for (i, first), (ordinal, low) in zip(chosen, _count(strings, width) if strings else [], strict=True):
+                if len(ordinal):
+                    told[i].append((ordinal if first is None else first[ordinal], low))
         rows = [(r, pack(*(np.concatenate([t[k] for t in x]) for k in range(2)))) for r, x in zip(runs, told, strict=True) if x]
         bucket = key[0].as_py()
         return pa.table({"run": pa.array([x[0] for x in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int64()), "blob": pa.array([x[1] for x in rows], pa.binary())})
@@ -309,7 +317,7 @@ def repeated_passages(
     hot = counted.orderBy(F.desc("n"), "pair").limit(HOT_MOST).select("pair").toArrow().column(0).to_numpy()
     hot = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)) if len(hot) else np.zeros(0, np.uint64))
     sent = runs.select("run", "docs").mapInArrow(_cut(hot, buckets, width, pair), "bucket long, run long, blob binary")
-    answers = sent.groupBy("bucket").applyInArrow(_bucket(width, part_bytes), "run long, bucket long, blob binary")
+    answers = sent.groupBy("bucket").applyInArrow(_bucket(hot, width, pair, part_bytes), "run long, bucket long, blob binary")
     answers = materialize(answers, "answers")
     kind = dict(docs.dtypes)[id_col]
     out = (
