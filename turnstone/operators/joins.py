@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstone.functions.overlap import longest_run
 from turnstone.functions.vectors import cosine
 from turnstone.sources.shared import materialize
 
@@ -57,28 +59,24 @@ def alias_terminals(aliases: DataFrame, most: int = 8) -> DataFrame:
     return done.unionByName(walk.select("alias", F.lit(None).cast("long").alias("terminal"), "hops", F.lit("too_long").alias("state")))
 
 
-def alignment(stored: DataFrame, incoming: DataFrame, widths: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
+def alignment(stored: DataFrame, incoming: DataFrame, least: int = 3) -> DataFrame:
     """Longest run of equal turn hashes of two sequences (key, pos, hash): (key, shift, start, matched).
 
-    Equal windows of the widest width that matches lie on a diagonal, incoming minus stored position; runs on it are
-    islands of positions.
+    Positions are consecutive. shift is the incoming minus the stored position; of equally long runs the one with the
+    least shift counts, then the first. A key's hashes meet in one task; the time is near to linear, however often a
+    sequence repeats itself.
     """
-    w = Window.partitionBy("key").orderBy("pos")
-    out = None
-    for width in widths:
-        def grams(df: DataFrame) -> DataFrame:
-            parts = [F.lead("hash", k).over(w) for k in range(width)]
-            return df.select("key", "pos", F.when(parts[-1].isNotNull(), F.sha2(F.concat_ws("|", *parts), 256)).alias("gram")).where("gram IS NOT NULL")
-
-        a, b = grams(stored).alias("a"), grams(incoming).alias("b")
-        hits = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.gram") == F.col("b.gram"))).select(
-            F.col("a.key").alias("key"), (F.col("b.pos") - F.col("a.pos")).alias("shift"), F.col("b.pos").alias("pos")
-        )
-        d = Window.partitionBy("key", "shift").orderBy("pos")
-        islands = hits.withColumn("island", F.col("pos") - F.row_number().over(d)).groupBy("key", "shift", "island").agg(F.min("pos").alias("start"), (F.count("*") + width - 1).alias("matched"))
-        out = islands if out is None else out.unionByName(islands)
-    best = Window.partitionBy("key").orderBy(F.desc("matched"), "shift", "start")
-    return out.withColumn("r", F.row_number().over(best)).where("r = 1").select("key", "shift", "start", "matched")
+    kind = dict(incoming.dtypes)["key"]
+
+    def longest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("pos"), b.sort_values("pos")
+        run = longest_run(a["hash"].tolist(), b["hash"].tolist(), least, by_shift=True) if len(a) and len(b) else None
+        rows = [(b["key"].iloc[0], int(b["pos"].iloc[run[1]] - a["pos"].iloc[run[0]]), int(b["pos"].iloc[run[1]]), run[2])] if run else []
+        return pd.DataFrame(rows, columns=["key", "shift", "start", "matched"])
+
+    # columns of their own, as both may come from one table
+    both = (df.select("key", "pos", "hash").toDF("key", "pos", "hash").groupBy("key") for df in (stored, incoming))
+    return next(both).cogroup(next(both)).applyInPandas(longest, f"key {kind}, shift long, start long, matched long")
 
 
 def similar_tags(tags: DataFrame, least: float) -> DataFrame:

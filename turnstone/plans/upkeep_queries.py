@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from turnstone.operators import joins, sequences, upkeep
+from turnstone.operators import ingest, joins, sequences, upkeep
 from turnstone.plans.registry import query
 from turnstone.plans.sequence_queries import TURNS
 from turnstone.sources import exports
@@ -246,24 +246,62 @@ def p31(spark, d):
     return upkeep.merged(into, other, "conversation_id")
 
 
-@query("p1_ingest_batch", sql(TURNS + """, stored AS (SELECT conversation_id, turn_no, hash FROM h WHERE turn_no < 4), batch AS (SELECT conversation_id, turn_no, hash FROM h WHERE turn_no >= 2),
-m AS (SELECT conversation_id, max(turn_no) AS last, count(*) AS n FROM stored GROUP BY 1), new AS (SELECT b.conversation_id, b.hash, b.turn_no FROM batch b WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.conversation_id = b.conversation_id AND s.hash = b.hash))
-SELECT new.conversation_id, hash, (last + row_number() OVER (PARTITION BY new.conversation_id ORDER BY turn_no)) * 1000.0::DOUBLE AS sort_key FROM new JOIN m USING (conversation_id)"""))
+# Of each conversation some turns are stored and a batch comes, of five kinds by its id: the next turns, turns that are all there,
+# earlier turns, nothing in common, a batch that says the first turn again in the middle of known ones.
+KINDS_SQL = TURNS + """, said AS (SELECT conversation_id, conversation_id % 5 AS kind, turn_no, hash, trim(user_text) <> '' AS u, trim(assistant_text) <> '' AS a FROM h),
+stored AS (SELECT conversation_id, kind, hash, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_no) - 1 AS p, (turn_no + 1) * 1000.0::DOUBLE AS sort_key FROM said WHERE CASE kind WHEN 2 THEN turn_no >= 2 WHEN 3 THEN turn_no < 2 ELSE turn_no < 4 END),
+batch AS (SELECT conversation_id, hash, u, a, row_number() OVER (PARTITION BY conversation_id ORDER BY k) - 1 AS p FROM (
+  SELECT conversation_id, hash, u, a, turn_no::DOUBLE AS k FROM said WHERE CASE kind WHEN 0 THEN turn_no >= 1 WHEN 1 THEN turn_no BETWEEN 1 AND 3 WHEN 2 THEN turn_no < 5 WHEN 3 THEN turn_no >= 2 ELSE turn_no < 4 END
+  UNION ALL SELECT conversation_id, hash, u, a, 3.5 FROM said WHERE kind = 4 AND turn_no = 0)),
+ns AS (SELECT conversation_id, count(*) AS n, max(sort_key) AS top FROM stored GROUP BY 1), nb AS (SELECT conversation_id, count(*) AS m, bool_or(u) AND bool_or(a) AS complete FROM batch GROUP BY 1),
+hits AS (SELECT s.conversation_id, b.p - s.p AS d, s.p AS sp, b.p AS bp FROM stored s JOIN batch b ON b.conversation_id = s.conversation_id AND b.hash = s.hash),
+runs AS (SELECT conversation_id, min(sp) AS ap, min(bp) AS bs, count(*) AS len FROM (SELECT *, bp - row_number() OVER (PARTITION BY conversation_id, d ORDER BY bp) AS i FROM hits) GROUP BY conversation_id, d, i),
+best AS (SELECT r.* FROM runs r JOIN ns USING (conversation_id) JOIN nb USING (conversation_id) WHERE len >= CASE WHEN least(n, m) < 3 THEN 1 ELSE 3 END OR (bs = 0 AND ap = 0 AND len = n) QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY len DESC, bs, ap) = 1),
+x AS (SELECT b.conversation_id, b.p, coalesce(n, 0) AS n, m, complete, top, r.ap, r.bs, r.len, CASE WHEN n IS NULL THEN 'no_overlap_append' WHEN r.len IS NULL THEN CASE WHEN complete THEN 'no_overlap_append' ELSE 'fragment_rejected' END WHEN len = m THEN 'exact_resend' WHEN ap = 0 AND bs = 0 THEN 'tail_append' WHEN ap = 0 AND bs + len = m THEN 'prefix_widening' ELSE 'interior_overlap' END AS merge_mode FROM batch b JOIN nb USING (conversation_id) LEFT JOIN ns USING (conversation_id) LEFT JOIN best r USING (conversation_id)),
+y AS (SELECT x.*, CASE WHEN merge_mode = 'fragment_rejected' THEN 'rejected' WHEN len IS NULL THEN 'appended' WHEN p BETWEEN bs AND bs + len - 1 THEN 'matched' WHEN p < bs AND merge_mode = 'prefix_widening' THEN 'prepended' WHEN p > bs AND merge_mode = 'tail_append' THEN 'appended' ELSE 'inserted' END AS action FROM x),
+z AS (SELECT y.conversation_id, y.p AS pos, action, merge_mode, CASE WHEN action = 'rejected' THEN NULL WHEN len IS NULL THEN coalesce(top, 0) + 1000.0 * (y.p + 1) WHEN action = 'matched' THEN own.sort_key
+  WHEN y.p < bs THEN CASE WHEN lo.sort_key IS NULL THEN hi.sort_key - 1000.0 * (bs - y.p) ELSE lo.sort_key + (hi.sort_key - lo.sort_key) / (bs + 1) * (y.p + 1) END
+  WHEN nx.sort_key IS NULL THEN la.sort_key + 1000.0 * (y.p - bs - len + 1) ELSE la.sort_key + (nx.sort_key - la.sort_key) / (m - bs - len + 1) * (y.p - bs - len + 1) END::DOUBLE AS sort_key
+ FROM y LEFT JOIN stored own ON own.conversation_id = y.conversation_id AND own.p = y.ap + y.p - y.bs LEFT JOIN stored lo ON lo.conversation_id = y.conversation_id AND lo.p = y.ap - 1 LEFT JOIN stored hi ON hi.conversation_id = y.conversation_id AND hi.p = y.ap
+ LEFT JOIN stored la ON la.conversation_id = y.conversation_id AND la.p = y.ap + y.len - 1 LEFT JOIN stored nx ON nx.conversation_id = y.conversation_id AND nx.p = y.ap + y.len)"""
+
+
+def kinds(spark, d):
+    """(stored, batch) of the five kinds."""
+    t = sequences.turns(T.messages(spark, d)).withColumn("kind", F.col("conversation_id") % 5)
+    k, n = F.col("kind"), F.col("turn_no")
+    stored = t.where(F.when(k == 2, n >= 2).when(k == 3, n < 2).otherwise(n < 4))
+    batch = t.where(F.when(k == 0, n >= 1).when(k == 1, n.between(1, 3)).when(k == 2, n < 5).when(k == 3, n >= 2).otherwise(n < 4)).withColumn("k", n.cast("double"))
+    batch = batch.unionByName(t.where((k == 4) & (n == 0)).withColumn("k", F.lit(3.5)))
+    pos = F.row_number().over(Window.partitionBy("conversation_id").orderBy("k")) - 1
+    said = {"has_user": F.trim("user_text") != "", "has_assistant": F.trim("assistant_text") != ""}
+    return stored.withColumn("sort_key", (n + 1) * 1000.0), batch.withColumn("pos", pos.cast("long")).withColumns(said)
+
+
+@query("p1_ingest_batch", sql(KINDS_SQL + " SELECT conversation_id, pos, action, sort_key FROM z"))
 def p1(spark, d):
-    """A batch that overlaps what is stored: known turns are left out, new ones are appended behind the last."""
-    t = sequences.turns(T.messages(spark, d)).select("conversation_id", "turn_no", "hash")
-    return upkeep.appended(t.where("turn_no < 4"), t.where("turn_no >= 2"))
+    """What becomes of each turn of a batch: known ones are matched by position, new ones get keys between their neighbours."""
+    plan = ingest.plan_batch(*kinds(spark, d))
+    return plan.where("pos IS NOT NULL").select("conversation_id", "pos", "action", "sort_key")
 
 
-@query("p2_batch_ledger", sql(TURNS + """, stored AS (SELECT conversation_id, hash FROM h WHERE turn_no < 4), batch AS (SELECT conversation_id, turn_no, hash FROM h WHERE turn_no >= 2)
-SELECT conversation_id, count(*) AS received, count(*) FILTER (known) AS matched, count(*) FILTER (NOT known) AS appended, CASE WHEN count(*) FILTER (NOT known) = 0 THEN 'resend' WHEN count(*) FILTER (known) = 0 THEN 'append' ELSE 'overlap' END AS mode
-FROM (SELECT b.*, EXISTS (SELECT 1 FROM stored s WHERE s.conversation_id = b.conversation_id AND s.hash = b.hash) AS known FROM batch b) GROUP BY conversation_id"""))
+@query("p2_batch_ledger", sql(KINDS_SQL + " SELECT conversation_id, any_value(merge_mode) AS merge_mode, count(*) AS received, count(*) FILTER (action = 'matched') AS matched, count(*) FILTER (action = 'appended') AS appended, count(*) FILTER (action = 'prepended') AS prepended, count(*) FILTER (action = 'inserted') AS inserted, count(*) FILTER (action = 'rejected') AS rejected FROM z GROUP BY conversation_id"))
 def p2(spark, d):
-    t = sequences.turns(T.messages(spark, d)).select("conversation_id", "turn_no", "hash")
-    known = t.where("turn_no < 4").select("conversation_id", "hash").distinct().withColumn("known", F.lit(True))
-    b = t.where("turn_no >= 2").join(known, ["conversation_id", "hash"], "left").groupBy("conversation_id")
-    n, hit = F.count("*"), F.count("known")
-    return b.agg(n.alias("received"), hit.alias("matched"), (n - hit).alias("appended"), F.when(n == hit, "resend").when(hit == 0, "append").otherwise("overlap").alias("mode"))
+    """A row for each conversation of a batch: how it was merged, and the turns matched, appended, prepended, inserted, rejected."""
+    return ingest.ledger(ingest.plan_batch(*kinds(spark, d)))
+
+
+@query("p48_synced_turns", sql(TURNS + " SELECT conversation_id, hash, CAST((turn_no + 1) * 1000 AS DOUBLE) AS sort_key FROM (SELECT conversation_id, hash, row_number() OVER (PARTITION BY conversation_id ORDER BY turn_no) - 1 AS turn_no FROM (SELECT conversation_id, turn_no, sha256(chr(1) || coalesce(string_agg(content, chr(10) ORDER BY ordinal) FILTER (role = 'user'), '') || chr(10) || '---' || chr(10) || coalesce(string_agg(content, chr(10) ORDER BY ordinal) FILTER (role = 'assistant'), '')) AS hash FROM (SELECT *, CAST(sum(opens) OVER (PARTITION BY conversation_id ORDER BY ordinal) - 1 AS BIGINT) AS turn_no FROM (SELECT *, CASE WHEN role = 'user' OR lag(role) OVER w = 'assistant' OR lag(role) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM messages WHERE role <> 'system' WINDOW w AS (PARTITION BY conversation_id ORDER BY ordinal))) GROUP BY ALL))"))
+def p48(spark, d):
+    """Turns as stored after a stream of payloads: each has its conversation's messages so far, so most of them are known."""
+    m = sequences.pair_turns(T.messages(spark, d).where("role <> 'system'"))
+    log = ingest.TurnLog(spark, shared_path(spark, "turns"))
+    for number, most in enumerate((2, 4, None, None)):
+        seen = m if most is None else m.where(F.col("turn_no") < most)
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+        payloads = seen.groupBy("conversation_id").agg(F.to_json(F.struct(lines.alias("messages"))).alias("body"))
+        log.sink(ingest.payload_turns)(payloads, number)
+    return log.turns().select("conversation_id", "hash", "sort_key")
 
 
 # --- sets, budgets and selections --------------------------------------------------------------------------------
