@@ -149,3 +149,34 @@ def test_contexts_find_planted_identifiers_of_unseen_shapes(spark):
         assert len(out) == len(rows) and out[400].text == "please dial number <PHONE> today or never" and out[502].text == "never write to <EMAIL> for more"
         assert [r.digest for r in clean.orderBy("digest").collect()] == list(range(len(rows)))
         assert all(out[i].text == t for i, t in rows if 200 <= i < 400 or i in (500, 501))
+
+
+def test_contexts_that_repeat_in_many_documents(spark):
+    """5,000 planted texts: the numbers of an unseen shape in known contexts are found (recall), and nothing else (precision)."""
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    fill = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(n))
+    calls = [("please dial number", "today"), ("my mobile is", "until"), ("the office line", "at")]
+    rows, planted = [], set()
+    for i in range(5000):
+        left, right = calls[0] if i % 3 == 0 else rng.choice(calls)  # one context has a third of the rows and more
+        a, b = fill(rng.randint(0, 6)), fill(rng.randint(1, 6))
+        kind = rng.random()
+        if kind < 0.55:
+            value = f"+1 {digits(3)} {digits(3)} {digits(4)}"
+        elif kind < 0.6:
+            value = f"{digits(3)}.{digits(3)}.{digits(4)}"
+            planted.add(i)
+        else:
+            left, right, value = rng.choice([("the part code", "was"), ("see order no", "from")]) + (digits(10),)
+        rows.append((i, f"{a} {left} {value} {right} {b}".strip()))
+    got = {r.doc_id for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).where("n_discovered > 0").collect()}
+    assert len(planted) > 150 and got == planted  # recall and precision 1
+
+
+def test_all_taken_spans_are_looked_at_and_reach_is_a_parameter():
+    text = "x " + "1.2.3.4 " * 3 + "12345678 end"
+    taken = [(2, 1, 9), (2, 3, 30), (3, 0, 4), (4, 0, 5), (5, 0, 6), (6, 0, 7), (26, 2, 28)]
+    assert pii.candidates(text, taken) == []
+    assert pii.candidates("code " + "a1" * 20, []) and not pii.candidates("code " + "a1" * 20, [], pii.Reach(longest=10))
+    assert pii.context("a long way to 12345", 14, 19, pii.Reach(before=4)) == ("to", "") and pii.context("a long way to 12345", 14, 19) == ("way to", "")
