@@ -116,3 +116,62 @@ def test_every_block_equals_a_plain_search():
             for x, y, name, reduction, missing, added in L.notices(text, a, b):
                 assert L.words(text[x:y]) == L.words(L.TEMPLATES[name]) and (missing, added) == (0, 0) and reduction > 0
     assert L.blocks("no trigger in here at all") == [] and L.blocks("") == []
+
+
+def test_usual_variants():
+    for text, name in (
+        ("Licensed under the MIT license", "MIT name"),
+        ("This project is licensed under the MIT License - see LICENSE.md", "MIT project"),
+        ("Licensed under the Apache License 2.0", "Apache-2.0 name"),
+        ("licensed under Creative Commons Attribution 4.0", "CC-BY-4.0 name"),
+        ("Licensed under the GNU GPL v3.", "GPL-3.0 name"),
+        ("BSD 3-Clause License", "BSD-3-Clause name"),
+        ("the code is licensed under GPLv3 and so on", "GPL-3.0 short"),
+    ):
+        assert named(text) == [name], (text, named(text))
+    assert named("licensed under Creative Commons Attribution 3.0") == [] and L.blocks("as GPLv3 says") != []
+
+
+def plain_notices(text):
+    """Ranking and confirmation by the book: every template on every window, nothing passed over, no least share."""
+    import zstandard
+
+    def size(data, dictionary=None):
+        d = zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+        return len(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False).compress(data.encode()) if d else zstandard.ZstdCompressor(level=6, write_content_size=False).compress(data.encode()))
+
+    have, ranked = L.words(text), []
+    longest = max((len(L.words(t)) for t in L.TEMPLATES.values() if set(L.words(t)) & set(have)), default=1)
+    for name, template in L.TEMPLATES.items():
+        w = L.words(template)
+        n = next((c for c in L.CLASSES if len(w) <= c), max(longest, len(w)))
+        own = " ".join(w)
+        for k in range(0, len(have), n):
+            data = " ".join(have[k : k + 3 * n])
+            saved = size(data) - size(data, own)
+            ranked.append((-saved, -saved / max(1, size(own) - size(own, own)), name, k, have[k : k + 3 * n], w))
+    taken, out = [False] * len(have), []
+    for _, _, name, k, window, w in sorted(ranked, key=lambda x: x[:4]):
+        for x, y, lost, added in L.placements(window, w):
+            forgiven = len(lost) <= L.MOST_MISSING * len(w) and not any(v in L._TELLING or re.search(r"\d", v) for v in lost) and not L._TELLING & set(added) - set(w)
+            if forgiven and not any(taken[k + x : k + y]):
+                taken[k + x : k + y] = [True] * (y - x)
+                out.append((k + x, name, len(lost), len(added)))
+    return [x[1:] for x in sorted(out)]
+
+
+def test_ranking_and_confirmation_equal_a_plain_version():
+    rng = random.Random(13)
+    short = [n for n, t in L.TEMPLATES.items() if len(L.words(t)) < 40]
+    filler = ["lorem", "license", "the", "under", "by", "version", "software", "mit", "and", "public", "gnu"]
+    for _ in range(25):
+        parts = []
+        for n in rng.choices(short, k=rng.randint(1, 3)):
+            w = L.TEMPLATES[n].split()
+            if rng.random() < 0.5:
+                w.insert(rng.randrange(len(w)), rng.choice(filler))
+            if rng.random() < 0.3:
+                w.pop(rng.randrange(len(w)))
+            parts += [*rng.choices(filler, k=rng.randint(2, 40)), *w]
+        text = " ".join(parts)
+        assert [x[2:3] + x[4:] for x in L.notices(text)] == plain_notices(text), text

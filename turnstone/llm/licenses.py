@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
-from collections import Counter
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -88,6 +88,24 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    # usual short forms
+    "MIT name": "Licensed under the MIT License.",
+    "MIT project": "This project is licensed under the MIT License.",
+    "MIT plain": "The MIT License (MIT)",
+    "Apache-2.0 name": "Licensed under the Apache License 2.0.",
+    "Apache-2.0 project": "This project is licensed under the Apache License 2.0.",
+    "BSD-3-Clause name": "BSD 3-Clause License",
+    "BSD-2-Clause name": "BSD 2-Clause License",
+    "GPL-2.0 name": "Licensed under the GNU GPL v2.",
+    "GPL-3.0 name": "Licensed under the GNU GPL v3.",
+    "GPL-2.0 short": "Licensed under GPLv2.",
+    "GPL-3.0 short": "Licensed under GPLv3.",
+    "GPL-2.0 label": "License: GPLv2",
+    "GPL-3.0 label": "License: GPLv3",
+    "CC-BY-4.0 name": "Licensed under Creative Commons Attribution 4.0.",
+    "CC-BY-SA-4.0 name": "Licensed under Creative Commons Attribution-ShareAlike 4.0.",
+    "CC-BY-NC-4.0 name": "Licensed under Creative Commons Attribution-NonCommercial 4.0.",
+    "CC-BY-4.0 full name": "Creative Commons Attribution 4.0 International License",
 }
 # Identifiers of the same licences as one line of a source file names them.
 SPDX = (
@@ -97,15 +115,18 @@ SPDX = (
 )
 TEMPLATES |= {f"{name} SPDX": f"SPDX-License-Identifier: {name}" for name in SPDX}
 #: One of these, in lower case, is in every candidate block; between two words may be a line's end and comment marks.
-TRIGGERS = ("licens", "licenc", "copyright", "redistribut", "hereby granted", "public domain", "creative commons", "cc by", "spdx")
+TRIGGERS = ("licens", "licenc", "copyright", "redistribut", "hereby granted", "public domain", "creative commons", "cc by", "spdx", "gplv")
 #: A block has as many words on both sides of a trigger as the longest template, so many times: stray words and marks fit in.
 REACH = 2
 #: The most of a template's words that may be missing.
 MOST_MISSING = 0.1
 #: In an alignment, a missing word costs as much as so many added ones: a stray word further off is not drawn in.
 STRAY = 20
-#: Words of a block that are aligned at once, and those that neighbouring parts share; no alignment is longer than these.
-PART, SHARED = 1 << 14, 1 << 12
+#: Templates are looked for in windows that fit the longest of their class; the classes' numbers of words.
+CLASSES = (12, 60)
+#: A candidate saves at least this share of the bytes that the template saves of its own text. A template that saves fewer
+#: bytes of itself than LEAST_TELLING is a candidate wherever its words are.
+LEAST_SAVED, LEAST_TELLING = 0.25, 12
 
 # After a hyphen a line may end, and the next one may begin with comment marks.
 _WORD = re.compile(r"[^\W_]+(?:(?:[.]|-(?:\r?\n\W{0,20})?)[^\W_]+)*")
@@ -113,6 +134,14 @@ _TRIGGERS = [(t.split()[0], re.compile(t.replace(" ", r"\W+"))) for t in TRIGGER
 _CLOSING = re.compile(r"[.,;:!?)\"'”’»]*")
 
 
+# Words that tell one licence from another.
+_TELLING = frozenset("by-nc by-sa by-nd by by-nc-sa by-nc-nd lesser affero mit apache bsd gnu gpl cc0 attribution-sharealike attribution-noncommercial not".split())
+
+
+def _never_missing(word: str) -> bool:
+    return word in _TELLING or any(c.isdigit() for c in word)
+
+
 def words(text: str) -> list[str]:
     return [_plain(w) for w in _WORD.findall(text.lower())]
 
@@ -121,13 +150,36 @@ def _plain(word: str) -> str:
     return re.sub(r"\r?\n\W*", "", word) if "\n" in word else word
 
 
+@dataclass(frozen=True)
+class _Template:
+    name: str
+    words: tuple[str, ...]
+    #: With the template's text and with its words as a raw dictionary.
+    text: zstandard.ZstdCompressor
+    plain: zstandard.ZstdCompressor
+    #: Words without which it is never confirmed, all of them, and the bytes that it saves of its own words.
+    needed: frozenset[str]
+    all: frozenset[str]
+    saves: int
+
+
+def _compressor(dictionary: str | None, level: int) -> zstandard.ZstdCompressor:
+    if not dictionary:
+        return zstandard.ZstdCompressor(level=level, write_content_size=False)
+    raw = zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False)
+
+
 @lru_cache(maxsize=4)
-def _compressors(templates: tuple[tuple[str, str], ...], level: int = 6):
-    plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-    out = {}
+def _compressors(templates: tuple[tuple[str, str], ...], level: int = 6) -> tuple[zstandard.ZstdCompressor, list[_Template]]:
+    plain, out = _compressor(None, level), []
     for name, text in templates:
-        raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out[name] = (zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False), words(text))
+        w = tuple(words(text))
+        own = " ".join(w)
+        c = _compressor(own, level)
+        needed = frozenset(w) if int(MOST_MISSING * len(w)) == 0 else frozenset(filter(_never_missing, w))
+        saves = len(plain.compress(own.encode())) - len(c.compress(own.encode()))
+        out.append(_Template(name, w, _compressor(text.lower(), level), c, needed, frozenset(w), saves))
     return plain, out
 
 
@@ -212,51 +264,79 @@ def rank(block: str, templates: Mapping[str, str] = TEMPLATES) -> list[tuple[flo
     plain, each = _compressors(tuple(templates.items()))
     data = block.lower().encode()
     size = len(plain.compress(data))
-    return sorted(((1 - len(c.compress(data)) / size, name) for name, (c, _) in each.items()), key=lambda x: (-x[0], x[1]))
+    return sorted(((1 - len(t.text.compress(data)) / size, t.name) for t in each), key=lambda x: (-x[0], x[1]))
 
 
-def _never_missing(word: str) -> bool:
-    return word in _TELLING or any(c.isdigit() for c in word)
+def _windows(n: int, size: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of windows of n words such that any stretch of REACH * size words lies in one."""
+    start = 0
+    while True:
+        yield start, min(n, start + (REACH + 1) * size)
+        start += size
+        if start >= n or start + REACH * size >= n:
+            return
 
 
-def notices(text: str, a: int = 0, b: int | None = None, templates: Mapping[str, str] = TEMPLATES) -> list[tuple[int, int, str, float, int, int]]:
+def winners(have: list[str], templates: Mapping[str, str] = TEMPLATES, least: float = LEAST_SAVED) -> list[tuple[int, float, str, tuple[int, int]]]:
+    """(bytes saved, share of the most it can save, template, window of words) of the candidates, best first.
+
+    Each window's words are compressed without and with each template as a raw dictionary; templates rank by the bytes
+    they save, then by what share of their own that is. Templates with a needed word that the window doesn't have, or too
+    few of its words, could never be confirmed and are passed over.
+    """
+    plain, each = _compressors(tuple(templates.items()))
+    present, out = frozenset(have), []
+    each = [t for t in each if t.needed <= present and len(t.all - present) <= MOST_MISSING * len(t.words)]
+    classes = sorted({*CLASSES, max((len(t.words) for t in each), default=1)})
+    for low, size in zip([0, *classes], classes, strict=False):
+        mine = [t for t in each if low < len(t.words) <= size]
+        for a, b in _windows(len(have), size) if mine else ():
+            near = frozenset(have[a:b])
+            fit = [t for t in mine if t.needed <= near and len(t.all - near) <= MOST_MISSING * len(t.words)]
+            if not fit:
+                continue
+            data = " ".join(have[a:b]).encode(errors="replace")
+            whole = len(plain.compress(data))
+            for t in fit:
+                saved = whole - len(t.plain.compress(data))
+                share = saved / t.saves if t.saves >= LEAST_TELLING else 1.0
+                if share >= least:
+                    out.append((saved, share, t.name, (a, b)))
+    return sorted(out, key=lambda x: (-x[0], -x[1], x[2], x[3]))
+
+
+def notices(text: str, a: int = 0, b: int | None = None, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST_SAVED) -> list[tuple[int, int, str, float, int, int]]:
     """(start, end, template, reduction, words missing, words added) of every confirmed notice in text[a:b], in order.
 
-    Every template is aligned by its words, wherever in the block it may be and whatever share of it; only those too many of
-    whose words the block doesn't have at all are passed over. Where alignments overlap, that with the fewest wording
-    differences wins, then the longer template, then the one that saves most of the notice's compressed bytes. A missing
-    number or a missing word that tells it from another template (a version, NC, Lesser) is never forgiven.
+    Templates are ranked by what they save of the compressed words, see winners(), and confirmed in that order by their
+    exact wording differences; what is confirmed takes its words. A missing number, and a missing or added word that tells
+    it from another template (a version, NC, Lesser), is never forgiven. reduction is the share of the notice's own bytes saved.
     """
     b = len(text) if b is None else b
     plain, each = _compressors(tuple(templates.items()))
+    by_name = {t.name: t for t in each}
     at = [x.span() for x in _WORD.finditer(text, a, b)]
     # words that the block's bounds cut in two are none
     at = at[bool(at and 0 < at[0][0] == a and text[a - 1].isalnum()) :]
     at = at[: len(at) - bool(at and at[-1][1] == b < len(text) and text[b].isalnum())]
-    have, found = [_plain(text[x:y].lower()) for x, y in at], []
-    for start in range(0, max(1, len(have) - SHARED), PART - SHARED):
-        part = have[start : start + PART]
-        counts = Counter(part)
-        for name, (c, template) in each.items():
-            lost = list((Counter(template) - counts).elements())
-            if len(lost) > MOST_MISSING * len(template) or any(map(_never_missing, lost)):
-                continue
-            for x, y, lost, added in placements(part, template):
-                if len(lost) > MOST_MISSING * len(template) or any(map(_never_missing, lost)):
-                    continue
-                x, y = at[start + x][0], _CLOSING.match(text, at[start + y - 1][1], b).end()
-                data = text[x:y].lower().encode(errors="replace")
-                reduction = 1 - len(c.compress(data)) / len(plain.compress(data))
-                strange = len(_TELLING & set(added) - set(template))
-                found.append((len(lost) + len(added) + 5 * strange, -len(template), -reduction, name, x, y, len(lost), len(added)))
+    have = [_plain(text[x:y].lower()) for x, y in at]
     out, starts = [], []
-    for *_, less, name, x, y, missing, added in sorted(found):
-        k = bisect(starts, x)
-        if (k and out[k - 1][1] > x) or (k < len(out) and out[k][0] < y):
-            continue
-        starts.insert(k, x)
-        out.insert(k, (x, y, name, -less, missing, added))
-    return out
+    for _, _, name, (low, high) in winners(have, templates, least):
+        t = by_name[name]
+        for x, y, lost, added in placements(have[low:high], list(t.words)):
+            if len(lost) > MOST_MISSING * len(t.words) or any(map(_never_missing, lost)) or _TELLING & set(added) - t.all:
+                continue
+            k = bisect(starts, low + x)
+            if (k and out[k - 1][1] > low + x) or (k < len(out) and out[k][0] < low + y):
+                continue
+            starts.insert(k, low + x)
+            out.insert(k, (low + x, low + y, name, len(lost), len(added)))
+    rows = []
+    for x, y, name, missing, added in out:
+        start, end = at[x][0], _CLOSING.match(text, at[y - 1][1], b).end()
+        data = text[start:end].lower().encode(errors="replace")
+        rows.append((start, end, name, 1 - len(by_name[name].text.compress(data)) / len(plain.compress(data)), missing, added))
+    return rows
 
 
 def identify(block: str, templates: Mapping[str, str] = TEMPLATES) -> tuple[str | None, float, int, int]:
@@ -267,8 +347,6 @@ def identify(block: str, templates: Mapping[str, str] = TEMPLATES) -> tuple[str
     return min(found, key=lambda x: (x[4] + x[5], x[0] - x[1]))[2:]
 
 
-_TELLING = frozenset("by-nc by-sa by-nd by by-nc-sa by-nc-nd lesser affero mit apache bsd gnu cc0 not".split())
-
 FOUND = "start long, end long, license string, reduction double, missing int, added int, confirmed boolean"
 
 
@@ -297,9 +375,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     added, confirmed.
 
     A block is the text around trigger words, on both sides as many words as twice the longest template has. Every
-    template is aligned with a block's words, and each notice is confirmed by its exact wording differences (words missing and added), however much other text the block has;
-    start and end are the notice's own. Each template is a raw Zstandard dictionary, and reduction is the share of the
-    notice's compressed bytes that it saves. A block without a confirmed notice has one row with the block's bounds, the
+    template is a raw Zstandard dictionary: windows of a block's words are compressed with each, the templates rank by the
+    bytes they save, and in that order each notice is confirmed by its exact wording differences (words missing and
+    added); start and end are the notice's own. reduction is the share of the notice's compressed bytes that is saved. A block without a confirmed notice has one row with the block's bounds, the
     best reduction of any template and a null license. Offsets are code points.
     Null and empty texts have no block; repeated rows are scanned each; other columns are not read. An empty table
     gives an empty result.
