@@ -304,12 +304,6 @@ def p32(spark, d):
     return T.read(spark, d, "events").select("event_id", F.coalesce(F.nullif(stored, F.lit("")), F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("sender"))
 
 
-@query("p34_chain_collapse", "SELECT l_orderkey AS chain, count(*) AS calls, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS tools FROM lineitem GROUP BY 1 HAVING count(*) >= 2")
-def p34(spark, d):
-    g = T.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("chain")).agg(F.count("*").alias("calls"), F.concat_ws(",", F.array_sort(F.collect_set("l_returnflag"))).alias("tools"))
-    return g.where("calls >= 2")
-
-
 @query("p37_thread_state", "SELECT a.event_id, CASE WHEN min(b.ts) IS NULL THEN 'open' WHEN min(b.ts) - a.ts < INTERVAL 12 HOUR THEN 'reopened' ELSE 'resolved' END AS state FROM (SELECT * FROM events WHERE event_type = 'error') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') b ON a.user_id = b.user_id AND b.ts > a.ts GROUP BY a.event_id, a.ts")
 def p37(spark, d):
     e = T.read(spark, d, "events").where(F.col("event_type").isin("error", "signup")).select("event_id", "user_id", "ts", "event_type")
