@@ -79,16 +79,19 @@ def rarity(finds: DataFrame, query: str) -> DataFrame:
     return rows.select(*finds.columns, *every, "span", *(weight(n) for n in every))
 
 
-def ranked(finds: DataFrame, query: str, mode: str = "lookup") -> DataFrame:
+def ranked(finds: DataFrame, query: str, mode: str = "lookup", most: int | None = None) -> DataFrame:
     """finds (id, text, match_type, similarity) with place, from 1: rare phrases first, then the mode's score, then id.
 
-    Finds are the bounded lists that searches return, so one window holds them.
+    Finds are the bounded lists that searches return, so one window holds them. With ``most`` there may be any number: only
+    the first so many are numbered, a top-k over all of them.
     """
     rows = rarity(finds, query).select("*", F.struct(*base_score("text", "match_type", "similarity", query, mode)).alias("base"))
     keys = [F.round(f"{n}_rarity", 9) for n in ("triples", "pairs", "terms")]
     sizes = [F.size(n) for n in ("triples", "pairs", "terms")]
     order = [F.desc(k) for pair in zip(keys, sizes, strict=True) for k in pair]
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order, "span", F.desc("base"), "id")))
+    order += ["span", F.desc("base"), "id"]
+    rows = rows if most is None else rows.orderBy(*order).limit(most)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
 def covering(places: DataFrame, most: int) -> DataFrame:

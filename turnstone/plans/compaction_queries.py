@@ -108,11 +108,13 @@ def p10(spark, d):
     return g.select("conversation_id", "primary_tag", F.md5("body").alias("digest"), "turns", text.estimate_tokens("body").alias("tokens"))
 
 
-@query("p9_canonical_tags", sql(", g AS (SELECT 'src' || i AS tag, 'src' || (i - i % 4) AS canonical FROM range(20) t(i)) SELECT s.ref, array_to_string(list_sort(list_distinct(list_concat(s.tags, [g.canonical]))), ',') AS tags FROM segments s JOIN g ON g.tag = s.primary_tag WHERE g.canonical <> g.tag"))
+@query("p9_canonical_tags", sql(", g AS (SELECT DISTINCT primary_tag AS tag, 'src' || (CAST(regexp_extract(primary_tag, '[0-9]+') AS BIGINT) // 4 * 4) AS canonical FROM segments WHERE regexp_matches(primary_tag, '^src[0-9]+$')) SELECT s.ref, array_to_string(list_sort(list_distinct(list_concat(s.tags, [g.canonical]))), ',') AS tags FROM segments s JOIN g ON g.tag = s.primary_tag WHERE g.canonical <> g.tag"))
 def p9(spark, d):
     """Segments whose tag is merged into another get that one beside their own."""
-    g = spark.range(20).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("primary_tag"), F.concat(F.lit("src"), (F.col("id") - F.col("id") % 4).cast("string")).alias("canonical"))
-    s = T.segments(spark, d).select("ref", "primary_tag", "tags").join(g.where("canonical <> primary_tag"), "primary_tag")
+    n = F.floor(F.regexp_extract("primary_tag", "[0-9]+", 0).cast("long") / 4) * 4
+    s = T.segments(spark, d).select("ref", "primary_tag", "tags")
+    g = s.select("primary_tag").distinct().where(F.col("primary_tag").rlike("^src[0-9]+$")).withColumn("canonical", F.concat(F.lit("src"), n.cast("string")))
+    s = s.join(g.where("canonical <> primary_tag"), "primary_tag")
     return s.select("ref", F.array_join(F.array_sort(F.array_union("tags", F.array("canonical"))), ",").alias("tags"))
 
 
@@ -261,9 +263,9 @@ def f12(spark, d):
     return m.withColumn("stays", F.col("keep") | F.coalesce(chain, F.lit(False))).where("stays").select("conversation_id", "ordinal")
 
 
-@query("f15_admitted_rows", sql(TURNS + " SELECT conversation_id, turn_no FROM turns WHERE user_text <> '' AND assistant_text <> '' AND length(user_text) + length(assistant_text) BETWEEN 40 AND 4000 AND conversation_id % 11 <> 3"))
+@query("f15_admitted_rows", sql(TURNS + " SELECT conversation_id, turn_no FROM turns WHERE user_text <> '' AND assistant_text <> '' AND length(user_text) + length(assistant_text) BETWEEN 40 AND 4000"))
 def f15(spark, d):
-    """Whole turns of a bearable size in conversations that may be summarised."""
+    """Whole turns of a bearable size."""
     n = F.char_length("user_text") + F.char_length("assistant_text")
-    t = sequences.turns(T.messages(spark, d)).where("user_text <> '' AND assistant_text <> '' AND conversation_id % 11 <> 3")
+    t = sequences.turns(T.messages(spark, d)).where("user_text <> '' AND assistant_text <> ''")
     return t.where(n.between(40, 4000)).select("conversation_id", "turn_no")

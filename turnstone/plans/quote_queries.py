@@ -123,13 +123,12 @@ def summary_candidates(spark, d, limit: int):
 SUMMARY_ASKED = "apache license version 2.0"
 
 
-@query("p17_search_summaries", sql(rank_sql(SUMMARY_ASKED, ", top AS (SELECT ref AS id, full_text AS text, 'fts' AS match_type, 0.0 AS similarity FROM segments WHERE regexp_matches(lower(full_text), '(^|[^a-z0-9])(apache|license|version|2[.]0)([^a-z0-9]|$)') ORDER BY created_at DESC, ref LIMIT 60)", 15)))
+@query("p17_search_summaries", sql(rank_sql(SUMMARY_ASKED, ", top AS (SELECT ref AS id, full_text AS text, 'fts' AS match_type, 0.0 AS similarity FROM segments WHERE regexp_matches(lower(full_text), '(^|[^a-z0-9])(apache|license|version|2[.]0)([^a-z0-9]|$)'))", 15)))
 def p17(spark, d):
-    """The newest segments that have a term of the query, the best of them first by rare phrases, spans and scores."""
+    """Of all segments that have a term of the query the best, by rare phrases, spans and scores."""
     s = T.segments(spark, d).where(F.lower("full_text").rlike("(^|[^a-z0-9])(apache|license|version|2[.]0)([^a-z0-9]|$)"))
-    top = s.orderBy(F.desc("created_at"), "ref").limit(60)
-    found = top.select(F.col("ref").alias("id"), F.col("full_text").alias("text"), F.lit("fts").alias("match_type"), F.lit(0.0).alias("similarity"))
-    return quotes.ranked(found, SUMMARY_ASKED).where("place <= 15").select("id", "place")
+    found = s.select(F.col("ref").alias("id"), F.col("full_text").alias("text"), F.lit("fts").alias("match_type"), F.lit(0.0).alias("similarity"))
+    return quotes.ranked(found, SUMMARY_ASKED, most=15).select("id", "place")
 
 
 @query("j22_vector_neighbours", sql("SELECT query, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS r FROM (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE cosine >= 0.2) WHERE r <= 25"))

@@ -149,12 +149,6 @@ def p7(spark, d):
     return n.crossJoin(total).where("n >= 15 AND n / total >= 0.15").select("tag", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-@query("p12_stale_rollups", sql("SELECT tag, max(ref) AS newest, CASE WHEN max(ref) % 3 = 0 THEN 'missing' WHEN max(ref) > 500 THEN 'behind' ELSE 'fresh' END AS state FROM segment_tags GROUP BY tag"))
-def p12(spark, d):
-    t = joins.exploded(T.segments(spark, d)).groupBy("tag").agg(F.max("ref").alias("newest"))
-    return t.withColumn("state", F.when(F.col("newest") % 3 == 0, "missing").when(F.col("newest") > 500, "behind").otherwise("fresh"))
-
-
 @query("p77_run_comparison", sql("SELECT CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'gone' WHEN a.quality > b.toxic THEN 'better' WHEN a.quality < b.toxic THEN 'worse' ELSE 'same' END AS change, count(*) AS n FROM (SELECT * FROM labels WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT * FROM labels WHERE doc_id % 3 <> 1) b USING (doc_id) GROUP BY 1"))
 def p77(spark, d):
     x = T.read(spark, d, "labels")

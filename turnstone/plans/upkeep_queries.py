@@ -307,11 +307,11 @@ def p48(spark, d):
 # --- sets, budgets and selections --------------------------------------------------------------------------------
 
 
-@query("u7_merged_groups", ", ".join(["WITH RECURSIVE pairs AS (SELECT DISTINCT least(p_name, p_type) AS a, greatest(p_name, p_type) AS b FROM (SELECT split_part(p_name, ' ', 1) AS p_name, split_part(p_name, ' ', 2) AS p_type FROM part WHERE p_size < 4) WHERE p_name <> p_type)",
+@query("u7_merged_groups", ", ".join(["WITH RECURSIVE pairs AS (SELECT DISTINCT least(p_name, p_type) AS a, greatest(p_name, p_type) AS b FROM (SELECT split_part(p_name, ' ', 1) AS p_name, split_part(p_name, ' ', 2) AS p_type FROM part) WHERE p_name <> p_type)",
     "both_ AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs)", "r AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT r.node, e.b FROM r JOIN both_ e ON e.a = r.seen)"]) + " SELECT node AS tag, min(seen) AS canonical FROM r GROUP BY node")
 def u7(spark, d):
-    """Words that stand together in a small part's name are one group; its first word by the alphabet names it."""
-    p = T.read(spark, d, "part").where("p_size < 4")
+    """Words that stand together in a part's name are one group; its first word by the alphabet names it."""
+    p = T.read(spark, d, "part")
     w = F.split("p_name", " ")
     pairs = p.select(F.get(w, F.lit(0)).alias("a"), F.get(w, F.lit(1)).alias("b")).where("a <> b").distinct()
     return upkeep.merged_groups(pairs)
