@@ -233,14 +233,6 @@ def v18(spark, d):
     return best.select("vec_id", F.when(F.col("c") >= 0.3, F.col("tag")).otherwise("_general").alias("tag"))
 
 
-@query("v22_repetition_reasons", "SELECT event_id, CASE WHEN b.ts IS NOT NULL AND e.ts - b.ts <= INTERVAL 1 DAY THEN 'thread' WHEN b.ts IS NOT NULL AND e.ts - b.ts <= INTERVAL 14 DAY THEN 'member' ELSE 'ok' END AS reason FROM (SELECT event_id, ts, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) e LEFT JOIN (SELECT event_id AS id, ts FROM events) b ON b.id = e.p")
-def v22(spark, d):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    e = T.read(spark, d, "events").select("event_id", "ts", F.lag("ts").over(w).alias("before"))
-    age = F.col("ts") - F.col("before")
-    return e.select("event_id", filters.first_reason((age <= F.expr("INTERVAL 1 DAY"), "thread"), (age <= F.expr("INTERVAL 14 DAYS"), "member")).alias("reason"))
-
-
 @query("t5_folded_tags", "SELECT t.tag, coalesce(k.tag, t.tag) AS canonical FROM (SELECT DISTINCT lower(p_type) || CASE WHEN p_partkey % 2 = 0 THEN 's' ELSE '' END AS tag FROM part) t LEFT JOIN (SELECT DISTINCT lower(p_type) AS tag FROM part) k ON k.tag || 's' = t.tag")
 def t5(spark, d):
     p = T.read(spark, d, "part")
