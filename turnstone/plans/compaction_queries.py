@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import text
-from turnstone.operators import compaction, joins, segmentation, sequences, upkeep
+from turnstone.operators import compaction, joins, linking, segmentation, sequences, upkeep
 from turnstone.plans.registry import query
 from turnstone.plans.sequence_queries import TURNS
 from turnstone.sources import tables as T
@@ -118,12 +118,13 @@ def p9(spark, d):
     return s.select("ref", F.array_join(F.array_sort(F.array_union("tags", F.array("canonical"))), ",").alias("tags"))
 
 
-@query("p14_fact_links", sql("SELECT a, b, CASE WHEN gap = 0 THEN 'same_day' WHEN verb = next_verb THEN 'continues' ELSE 'follows' END AS relation FROM (SELECT id AS a, verb, lead(id) OVER w AS b, lead(verb) OVER w AS next_verb, date_diff('day', when_date, lead(when_date) OVER w) AS gap FROM facts WINDOW w AS (PARTITION BY subject ORDER BY when_date, id)) WHERE gap <= 90"))
+@query("p14_fact_links", sql(""", f AS (SELECT id, conversation_id, subject, verb, list_distinct(regexp_extract_all(lower(object), '[\\p{L}\\p{N}]+')) AS ws, status, when_date, tags, row_number() OVER (PARTITION BY conversation_id, subject ORDER BY when_date, id) AS n FROM facts),
+p AS (SELECT a.id, b.id AS other, a.verb = b.verb AS same, round(len(list_intersect(a.ws, b.ws)) / greatest(len(a.ws), len(b.ws))::DOUBLE, 6) AS overlap, a.status, b.status AS was FROM f a JOIN f b ON a.conversation_id = b.conversation_id AND a.subject = b.subject AND b.n BETWEEN a.n - 10 AND a.n - 1 AND list_has_any(a.tags, b.tags)),
+r AS (SELECT *, CASE WHEN same AND overlap = 1 THEN 'same_as' WHEN same AND overlap >= 0.5 AND status = 'completed' AND was = 'planned' THEN 'supersedes' WHEN same AND overlap >= 0.5 AND status <> was THEN 'contradicts' WHEN overlap >= 0.5 THEN 'related_to' END AS relation FROM p)
+SELECT id AS source_id, other AS target_id, relation, overlap AS confidence FROM r WHERE relation IS NOT NULL"""))
 def p14(spark, d):
-    """Each fact to the subject's next one within ninety days, and how it relates."""
-    w = Window.partitionBy("subject").orderBy("when_date", "id")
-    f = T.facts(spark, d).select(F.col("id").alias("a"), "verb", F.lead("id").over(w).alias("b"), F.lead("verb").over(w).alias("next"), F.datediff(F.lead("when_date").over(w), "when_date").alias("gap"))
-    return f.where("gap <= 90").select("a", "b", F.when(F.col("gap") == 0, "same_day").when(F.col("verb") == F.col("next"), "continues").otherwise("follows").alias("relation"))
+    """Each fact against the latest ten of its subject before it: the same, superseded, contradicted or related."""
+    return linking.fact_links(T.facts(spark, d))
 
 
 @query("p74_broad_tag_summaries", sql(", r AS (SELECT *, row_number() OVER (PARTITION BY primary_tag ORDER BY created_at DESC, ref) AS r FROM segments) SELECT primary_tag, left(string_agg(summary, ' / ' ORDER BY r), 400) AS summary FROM r WHERE r <= 5 GROUP BY 1"))
