@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import text
-from turnstone.operators import compaction, joins, linking, segmentation, sequences, upkeep
+from turnstone.operators import assembly, compaction, joins, linking, segmentation, sequences, upkeep
 from turnstone.plans.registry import query
 from turnstone.plans.sequence_queries import TURNS
 from turnstone.sources import tables as T
@@ -144,17 +144,43 @@ def p27(spark, d):
     return fit.groupBy("conversation_id").agg(F.concat_ws(", ", F.array_sort(F.collect_list(F.struct("r", entry.alias("e"))))["e"]).alias("hint"))
 
 
-@query("p26_assembled_context", sql(""", u AS (SELECT conversation_id, 0 AS part, -n AS k, tag AS id, 2 AS cost FROM (SELECT conversation_id, tag, count(*) AS n FROM segment_tags GROUP BY ALL)),
-s AS (SELECT conversation_id, 1 AS part, -full_tokens AS k, CAST(ref AS VARCHAR) AS id, summary_tokens AS cost FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY full_tokens DESC, ref) AS r FROM segments) WHERE r <= 40),
-a AS (SELECT *, sum(cost) OVER (PARTITION BY conversation_id, part ORDER BY k, id) AS used FROM (SELECT * FROM u UNION ALL SELECT * FROM s)),
-b AS (SELECT *, sum(cost) OVER (PARTITION BY conversation_id ORDER BY part, k, id) AS whole FROM a WHERE used <= CASE part WHEN 0 THEN 20 ELSE 800 END) SELECT conversation_id, CAST(part AS INT) AS part, id FROM b WHERE whole <= 700"""))
+# Parts of a customer's context, from his orders: eight kinds, their costs in tokens of four characters.
+PARTS_SQL = """WITH RECURSIVE q AS (SELECT o_custkey AS request, ['core', 'hint', 'card', 'roster', 'tag', 'fact', 'dense', 'message', 'tag', 'fact', 'message'][o_orderkey % 11 + 1] AS kind, o_orderkey AS id, o_orderkey % 100 AS k, (o_orderkey % 37)::DOUBLE / 4 AS score, 5 + CAST(floor(o_totalprice / 4000) AS BIGINT) AS cost FROM orders),
+c AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY phase, CASE WHEN phase = 4 THEN -score WHEN kind = 'message' THEN -k ELSE k END, CASE WHEN phase = 4 THEN kind ELSE '' END, id) AS i FROM (SELECT *, CASE kind WHEN 'core' THEN 0 WHEN 'hint' THEN 1 WHEN 'card' THEN 2 WHEN 'roster' THEN 3 WHEN 'dense' THEN 5 WHEN 'message' THEN 6 ELSE 4 END AS phase FROM q)),
+f AS (SELECT request, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS core, CAST(0 AS BIGINT) AS hint, CAST(0 AS BIGINT) AS card, CAST(0 AS BIGINT) AS roster, CAST(0 AS BIGINT) AS tags, CAST(0 AS BIGINT) AS facts, CAST(0 AS BIGINT) AS said, false AS stopped, CAST(NULL AS BIGINT) AS cost, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS id FROM (SELECT DISTINCT request FROM q)
+  UNION ALL SELECT request, i, core + CASE WHEN kind = 'core' THEN take ELSE 0 END, hint + CASE WHEN kind = 'hint' THEN take ELSE 0 END, card + CASE WHEN kind = 'card' THEN take ELSE 0 END, roster + CASE WHEN kind = 'roster' THEN take ELSE 0 END, tags + CASE WHEN kind = 'tag' THEN take ELSE 0 END,
+    facts + CASE WHEN kind IN ('fact', 'dense') THEN take ELSE 0 END, said + CASE WHEN kind = 'message' THEN take ELSE 0 END, stopped OR (kind = 'message' AND take = 0), take, CASE kind WHEN 'dense' THEN 'fact' ELSE kind END, id
+  FROM (SELECT f.request, c.i, c.id, c.kind, core, hint, card, roster, tags, facts, said, stopped, CASE c.kind WHEN 'core' THEN least(c.cost, greatest(0, 30 - core)) WHEN 'hint' THEN c.cost
+      WHEN 'card' THEN CASE WHEN card + c.cost <= 60 AND card + roster + c.cost <= least(150, greatest(0, 400 - core - hint)) THEN c.cost ELSE 0 END
+      WHEN 'roster' THEN CASE WHEN roster + c.cost <= 40 AND card + roster + c.cost <= least(150, greatest(0, 400 - core - hint)) THEN c.cost ELSE 0 END
+      WHEN 'tag' THEN CASE WHEN tags + c.cost <= 80 AND tags + facts + c.cost <= least(150, greatest(0, 400 - core - hint)) - card - roster THEN c.cost ELSE 0 END
+      WHEN 'message' THEN CASE WHEN NOT stopped AND c.cost <= 400 - core - hint - card - roster - tags - facts - said THEN c.cost ELSE 0 END
+      ELSE CASE WHEN facts + c.cost <= 70 AND tags + facts + c.cost <= least(150, greatest(0, 400 - core - hint)) - card - roster THEN c.cost ELSE 0 END END AS take
+    FROM f JOIN c ON c.request = f.request AND c.i = f.i + 1))"""
+LIMITS = assembly.Limits(whole=400, core=30, pool=150, card=60, roster=40, tags=80, facts=70)
+
+
+@query("p26_assembled_context", PARTS_SQL + " SELECT request, kind, id, cost AS tokens FROM f WHERE cost > 0")
 def p26(spark, d):
-    """Hint and summaries, each within its own budget and all within 700 tokens; the least relevant go first."""
-    s = T.segments(spark, d)
-    hint = joins.exploded(s).groupBy("conversation_id", "tag").agg(F.count("*").alias("n")).select("conversation_id", F.lit(0).alias("part"), (-F.col("n")).alias("k"), F.col("tag").alias("id"), F.lit(2).cast("long").alias("cost"))
-    top = sequences.top_per_key(s.select("conversation_id", "ref", "full_tokens", "summary_tokens"), "conversation_id", 40, F.desc("full_tokens"), F.col("ref"))
-    body = top.select("conversation_id", F.lit(1).alias("part"), (-F.col("full_tokens")).alias("k"), F.col("ref").cast("string").alias("id"), F.col("summary_tokens").alias("cost"))
-    return compaction.assembled(hint.unionByName(body), {0: 20, 1: 800}, 700).select("conversation_id", "part", "id")
+    """A context for each customer: core and hint, card and roster from a pool, tags and facts by score from what is left, messages from the rest."""
+    return assembly.assembled_context(context_parts(spark, d), LIMITS).select("request", "kind", "id", "tokens")
+
+
+@query("p26_context_totals", PARTS_SQL + ", m AS (SELECT request, max(i) AS i FROM f GROUP BY 1) SELECT request, core + hint + card + roster + tags + facts + said AS tokens, card + roster + tags + facts AS injected FROM f JOIN m USING (request, i)")
+def p26_totals(spark, d):
+    """What the contexts cost in all, and beside core, hint and messages."""
+    a = assembly.assembled_context(context_parts(spark, d), LIMITS)
+    own = F.when(F.col("kind").isin("card", "roster", "tag", "fact"), F.col("tokens")).otherwise(0)
+    total = a.groupBy("request").agg(F.sum("tokens").alias("tokens"), F.sum(own).alias("injected"))
+    every = T.read(spark, d, "orders").select(F.col("o_custkey").alias("request")).distinct()
+    return every.join(total, "request", "left").select("request", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("injected", F.lit(0)).alias("injected"))
+
+
+def context_parts(spark, d):
+    n = F.col("o_orderkey")
+    kinds = F.array(*map(F.lit, ("core", "hint", "card", "roster", "tag", "fact", "dense", "message", "tag", "fact", "message")))
+    cost = (5 + F.floor(F.col("o_totalprice") / 4000)).cast("int")
+    return T.read(spark, d, "orders").select(F.col("o_custkey").alias("request"), F.element_at(kinds, (n % 11 + 1).cast("int")).alias("kind"), n.alias("id"), (n % 100).alias("k"), ((n % 37) / 4.0).alias("score"), F.repeat(F.lit("wxyz"), cost).alias("text"))
 
 
 @query("p58_without_stubs", sql("SELECT conversation_id, ordinal FROM messages WHERE NOT (length(content) < 60 OR ordinal % 9 = 8) OR role = 'user'"))
