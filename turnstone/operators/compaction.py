@@ -1,4 +1,4 @@
-"""Tagging and segmentation of turns, extractive summaries, assembly of parts under budgets."""
+"""Tagging and segmentation of turns, extractive summaries."""
 
 from __future__ import annotations
 
@@ -43,15 +43,6 @@ def lead_sentences(c: str, room: Column) -> Column:
     return F.when(F.size(sentences) == 0, F.col(c)).otherwise(F.trim(F.array_join(F.slice(sentences, F.lit(1), n), "")))
 
 
-def assembled(parts: DataFrame, budgets: dict[int, int], whole: int) -> DataFrame:
-    """Rows (conversation_id, part, k, id, cost) in the order of k that fit their part's budget, and then, part by part, the whole."""
-    each = Window.partitionBy("conversation_id", "part").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("conversation_id").orderBy("part", "k", "id").rowsBetween(Window.unboundedPreceding, 0)
-    budget = F.coalesce(*(F.when(F.col("part") == p, b) for p, b in budgets.items()))
-    fit = parts.withColumn("used", F.sum("cost").over(each)).where(F.col("used") <= budget)
-    return fit.withColumn("whole", F.sum("cost").over(every)).where(F.col("whole") <= whole)
-
-
 def inserted(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The stored rows with those of rows whose keys are not there."""
     return stored.unionByName(rows.join(stored.select(*keys), keys, "left_anti"))

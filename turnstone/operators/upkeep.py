@@ -1,4 +1,4 @@
-"""Upkeep of stored rows: logical turns, appends, merges, tool blocks, groups, pooled budgets, fills."""
+"""Upkeep of stored rows: logical turns, merges, tool blocks, groups, pooled budgets, fills."""
 
 from __future__ import annotations
 
@@ -21,14 +21,6 @@ def logical_turns(rows: DataFrame, key: str, order: str, group: str) -> DataFram
     return rows.withColumn("opens", F.when(closes, 0).otherwise(1)).withColumn("turn", F.sum("opens").over(w) - 1).drop("opens")
 
 
-def appended(stored: DataFrame, batch: DataFrame, step: float = 1000.0) -> DataFrame:
-    """(conversation_id, hash, sort_key) of a batch's turns that are not stored, behind the last stored one in their order."""
-    new = batch.join(stored.select("conversation_id", "hash").distinct(), ["conversation_id", "hash"], "left_anti")
-    last = stored.groupBy("conversation_id").agg(F.max("turn_no").alias("last"))
-    k = F.row_number().over(Window.partitionBy("conversation_id").orderBy("turn_no"))
-    return new.withColumn("k", k).join(last, "conversation_id").select("conversation_id", "hash", ((F.col("last") + F.col("k")) * step).alias("sort_key"))
-
-
 def merged(into: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows of both (ordinal, sort_key and others): those of other follow, their numbers and sort keys shifted by the last ones."""
     last = into.groupBy(key).agg(F.max("ordinal").alias("o"), F.max("sort_key").alias("k"))
