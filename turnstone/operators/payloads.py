@@ -240,3 +240,82 @@ def filled(candidates: DataFrame, headrooms: DataFrame, ratio: float = 0.6, leas
 
     c = candidates.join(headrooms.select("payload", F.col("headroom").cast("long").alias("headroom")), "payload")
     return c.select("payload", "phase", "k", "id", "cost", "tag", "tags", "refs", "tools", "headroom").groupBy("payload").applyInPandas(fold, f"payload {kind}, phase int, k long, id {other}")
+
+
+def tool_messages(blocks: DataFrame) -> DataFrame:
+    """(payload, message, tools, tool_only): the tool blocks of each message, and whether it has such and no text."""
+    tool = F.col("type").isin("tool_use", "tool_result")
+    said = F.coalesce(F.bool_or((F.col("type") == "text") & (F.trim("text") != "")), F.lit(False))
+    return blocks.groupBy("payload", "message").agg(F.count_if(tool).alias("tools"), (F.coalesce(F.bool_or(tool), F.lit(False)) & ~said).alias("tool_only"))
+
+
+def _recent_from(blocks: DataFrame, turns: int) -> DataFrame:
+    """(payload, recent): the message that opens the last ``turns`` turns; -1 if there are no more than so many."""
+    starts = numbered_turns(blocks).where("turn >= 0").groupBy("payload", "turn").agg(F.min("message").alias("message"))
+    ranked = starts.withColumn("back", F.row_number().over(Window.partitionBy("payload").orderBy(F.desc("turn"))))
+    return ranked.groupBy("payload").agg(F.when(F.max("back") > turns, F.max(F.when(F.col("back") == turns, F.col("message")))).otherwise(-1).alias("recent"))
+
+
+def reducible(blocks: DataFrame) -> DataFrame:
+    """blocks with category and size: how each could be made smaller, see fit_to_budget(); null where it can't."""
+    n, kind, text = F.char_length("text"), F.col("type"), F.col("text")
+    b = blocks.withColumn("text", F.coalesce("text", F.lit(""))).join(_recent_from(blocks, 2), "payload", "left")
+    plain = ~F.contains(text, F.lit(RESTORE_MARK)) & (n >= LEAST_TEXT)
+    category = (
+        F.when(kind == "thinking", F.when(n > 0, "thinking")).when(kind == "context", "context").when(kind == "image", F.when(n > LEAST_IMAGE, "image"))
+        .when(plain & (kind == "tool_result"), F.when(F.col("message") >= F.coalesce("recent", F.lit(-1)), "recent_result").otherwise("result"))
+        .when(plain & (kind == "text") & (n > LEAST_TEXT) & ~F.contains(text, F.lit("[Compacted turn")), "text")
+    )
+    return b.withColumn("category", category).withColumn("size", n.cast("long")).drop("recent")
+
+
+def reductions(blocks: DataFrame) -> DataFrame:
+    """reducible() with reduced, each block's text after its reduction; never longer than before."""
+    n, text = F.char_length("text"), F.col("text")
+    ref = F.substring(F.sha2("text", 256), 1, 12)
+    stub = F.concat(F.lit("[reduced tool output ref=tool_"), ref, F.lit(f" | call {RESTORE_MARK}(ref=tool_"), ref, F.lit(")]"))
+    middle = F.concat(F.lit("\n\n[... "), (n - 2 * KEPT).cast("string"), F.lit(" chars truncated ...]\n\n"))
+    cut = F.concat(F.left("text", F.lit(KEPT)), middle, F.right("text", F.lit(KEPT)))
+    half = F.concat(F.left("text", F.floor(n / 2).cast("int")), F.lit("\n[... context truncated to fit budget ...]"))
+    c = F.col("category")
+    after = F.when(c.isin("thinking", "image"), "").when(c == "result", stub).when(n <= SHORT, text).when(c == "context", half).when(c.isNotNull(), cut).otherwise(text)
+    return reducible(blocks).withColumn("reduced", F.when(F.char_length(after) < n, after).otherwise(text))
+
+
+def positional_stubs(blocks: DataFrame, keep: int = 3) -> DataFrame:
+    """blocks whose outputs before the last ``keep`` ones of their payload are stubs that can be restored, where that is shorter."""
+    newest = Window.partitionBy("payload", F.col("type") == "tool_result").orderBy(F.desc("message"), F.desc("block"))
+    b = blocks.withColumn("old", (F.col("type") == "tool_result") & (F.row_number().over(newest) > keep))
+    ref = F.substring(F.sha2("text", 256), 1, 12)
+    stub = F.concat(F.lit("[output of "), F.char_length("text").cast("string"), F.lit(f" characters | {RESTORE_MARK}(ref=tool_"), ref, F.lit(")]"))
+    shorter = F.col("old") & (F.char_length(stub) < F.char_length("text")) & ~F.contains("text", F.lit(RESTORE_MARK))
+    return b.withColumn("text", F.when(shorter, stub).otherwise(F.col("text"))).drop("old")
+
+
+def without_compacted(blocks: DataFrame, compacted: DataFrame, protected: int = 2) -> DataFrame:
+    """blocks without the turns up to compacted (payload, through), but for those with tools and the last ``protected`` ones."""
+    b = numbered_turns(blocks)
+    facts = b.groupBy("payload", "turn").agg(F.bool_or(F.col("type").isin("tool_use", "tool_result")).alias("active"))
+    last = facts.groupBy("payload").agg(F.max("turn").alias("last"))
+    gone = facts.join(last, "payload").join(compacted.select("payload", "through"), "payload")
+    gone = gone.where("turn >= 0 AND NOT active AND turn <= through AND turn <= last - " + str(int(protected))).select("payload", "turn")
+    return b.join(gone, ["payload", "turn"], "left_anti").select(*blocks.columns)
+
+
+def filtered_by_tags(blocks: DataFrame, turn_tags: DataFrame, wanted: DataFrame, protected: int = 2) -> DataFrame:
+    """blocks of the turns that share a tag with wanted (payload, tags), and of what must stay with them.
+
+    turn_tags is (payload, turn, tags). What stands before the first turn and the last ``protected`` turns stay, too, and a turn
+    whose call a turn that stays answers, or whose result answers one of its calls, so that no call or result stands alone.
+    """
+    b = numbered_turns(blocks)
+    turns = b.groupBy("payload", "turn").agg(F.lit(1).alias("one"))
+    last = turns.groupBy("payload").agg(F.max("turn").alias("last"))
+    hit = turn_tags.join(wanted.select("payload", F.col("tags").alias("want")), "payload").where(F.arrays_overlap("tags", "want")).select("payload", "turn")
+    always = turns.join(last, "payload").where(f"turn < 0 OR turn > last - {int(protected)}").select("payload", "turn")
+    keep = hit.unionByName(always).distinct()
+    ids = b.where("type IN ('tool_use', 'tool_result') AND call_id IS NOT NULL").select("payload", "turn", "call_id").distinct()
+    held = ids.join(keep, ["payload", "turn"], "left_semi").select("payload", "call_id").distinct()
+    partners = ids.join(held, ["payload", "call_id"], "left_semi").select("payload", "turn")
+    stays = keep.unionByName(partners).distinct()
+    return b.join(stays, ["payload", "turn"], "left_semi").select(*blocks.columns)

@@ -278,18 +278,6 @@ def q15(spark, d):
     return j.select("alias", "hops", state.alias("state"))
 
 
-@query("f12_filtered_payloads", sql(", m AS (SELECT *, max(ordinal) OVER (PARTITION BY conversation_id) AS last, contains(lower(content), 'tion') AS hit FROM messages), k AS (SELECT *, hit OR ordinal > last - 4 OR role = 'system' AS keep FROM m) SELECT conversation_id, ordinal FROM (SELECT *, keep OR (role = 'assistant' AND lead(keep) OVER w) OR (role = 'tool' AND lag(keep) OVER w) AS stays FROM k WINDOW w AS (PARTITION BY conversation_id ORDER BY ordinal)) WHERE stays"))
-def f12(spark, d):
-    """Messages on the tags, the last four and the system's; an answer stays with the message that follows it if that one stays."""
-    w = Window.partitionBy("conversation_id")
-    m = T.messages(spark, d).withColumn("last", F.max("ordinal").over(w))
-    keep = F.contains(F.lower("content"), F.lit("tion")) | (F.col("ordinal") > F.col("last") - 4) | (F.col("role") == "system")
-    m = m.withColumn("keep", keep)
-    o = w.orderBy("ordinal")
-    chain = ((F.col("role") == "assistant") & F.lead("keep").over(o)) | ((F.col("role") == "tool") & F.lag("keep").over(o))
-    return m.withColumn("stays", F.col("keep") | F.coalesce(chain, F.lit(False))).where("stays").select("conversation_id", "ordinal")
-
-
 @query("f15_admitted_rows", sql(TURNS + " SELECT conversation_id, turn_no FROM turns WHERE user_text <> '' AND assistant_text <> '' AND length(user_text) + length(assistant_text) BETWEEN 40 AND 4000"))
 def f15(spark, d):
     """Whole turns of a bearable size."""

@@ -222,12 +222,6 @@ def p25(spark, d):
     return filters.live(T.facts(spark, d)).groupBy("subject").agg(n.alias("states"), F.when(n > 1, "conflict").otherwise("agreed").alias("view"))
 
 
-@query("p35_drop_compacted", sql("SELECT conversation_id, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ordinal DESC) AS back FROM messages) WHERE back <= 4 OR role = 'system'"))
-def p35(spark, d):
-    back = F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.desc("ordinal")))
-    return T.messages(spark, d).withColumn("back", back).where("back <= 4 OR role = 'system'").select("conversation_id", "ordinal")
-
-
 @query("p46_actor_ids", "SELECT DISTINCT concat_ws(':', lower(event_type), CAST(user_id AS VARCHAR)) AS actor FROM events")
 def p46(spark, d):
     return T.read(spark, d, "events").select(F.concat_ws(":", F.lower("event_type"), F.col("user_id").cast("string")).alias("actor")).distinct()

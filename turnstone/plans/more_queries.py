@@ -322,13 +322,6 @@ def p55(spark, d):
     return a.unionByName(b)
 
 
-@query("p59_reducible_items", sql("SELECT CASE WHEN role = 'system' THEN 'system' WHEN octet_length(encode(content)) > 400 THEN 'large' ELSE 'text' END AS category, count(*) AS n, CAST(sum(octet_length(encode(content))) AS BIGINT) AS bytes FROM messages GROUP BY 1"))
-def p59(spark, d):
-    size = F.octet_length("content")
-    category = F.when(F.col("role") == "system", "system").when(size > 400, "large").otherwise("text")
-    return T.messages(spark, d).groupBy(category.alias("category")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
-
-
 @query("p75_upstream_limits", sql(", l AS (SELECT * FROM (VALUES (0, 'large-2024', 200000), (1, 'large', 100000), (2, 'small', 32000)) v(o, prefix, cap)) SELECT model, coalesce(arg_min(cap, o), 8000) AS cap FROM (SELECT DISTINCT model FROM telemetry) LEFT JOIN l ON starts_with(model, prefix) GROUP BY model"))
 def p75(spark, d):
     limits = spark.createDataFrame([(0, "large-2024", 200000), (1, "large", 100000), (2, "small", 32000)], "o int, prefix string, cap int")

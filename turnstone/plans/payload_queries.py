@@ -117,3 +117,57 @@ def k24(spark, d):
     )
     rooms = c.select("payload").distinct().withColumn("headroom", 260 + F.col("payload") % 5 * 60)
     return payloads.filled(c, rooms, least=100).select("payload", "phase", "id")
+
+
+CATEGORY_SQL = """, starts AS (SELECT payload, list_sort(list(DISTINCT message)) AS begun FROM blocks WHERE role = 'user' AND type = 'text' AND trim(text) <> '' GROUP BY payload),
+sized AS (SELECT b.*, length(text) AS n, CASE WHEN len(begun) > 2 THEN begun[len(begun) - 1] ELSE -1 END AS recent FROM blocks b LEFT JOIN starts USING (payload)),
+kinds AS (SELECT *, CASE WHEN type = 'thinking' THEN CASE WHEN n > 0 THEN 'thinking' END WHEN type = 'context' THEN 'context' WHEN contains(text, 'restore_tool') OR n < 100 THEN NULL WHEN type = 'tool_result' THEN CASE WHEN message >= coalesce(recent, -1) THEN 'recent_result' ELSE 'result' END WHEN type = 'text' AND n > 100 AND NOT contains(text, '[Compacted turn') THEN 'text' END AS category FROM sized)"""
+
+
+@query("p59_reducible_items", sql(BLOCKS_SQL + CATEGORY_SQL + " SELECT payload, message, block, category, n AS size FROM kinds WHERE category IS NOT NULL"))
+def p59(spark, d):
+    """Blocks that could be made smaller, how, and what they have."""
+    return payloads.reducible(blocks(spark, d)).where("category IS NOT NULL").select("payload", "message", "block", "category", "size")
+
+
+@query("p60_reduced_items", sql(BLOCKS_SQL + CATEGORY_SQL + """, cut AS (SELECT *, CASE WHEN category = 'thinking' THEN '' WHEN category = 'result' THEN '[reduced tool output ref=tool_' || left(sha256(text), 12) || ' | call restore_tool(ref=tool_' || left(sha256(text), 12) || ')]' WHEN n <= 500 OR category IS NULL THEN text
+  WHEN category = 'context' THEN left(text, n // 2) || chr(10) || '[... context truncated to fit budget ...]' ELSE left(text, 200) || chr(10) || chr(10) || '[... ' || (n - 400) || ' chars truncated ...]' || chr(10) || chr(10) || right(text, 200) END AS after FROM kinds)
+SELECT payload, message, block, md5(CASE WHEN length(after) < n THEN after ELSE text END) AS digest FROM cut"""))
+def p60(spark, d):
+    """Every block after the reduction of its category."""
+    return payloads.reductions(blocks(spark, d)).select("payload", "message", "block", F.md5("reduced").alias("digest"))
+
+
+@query("p57_positional_stubs", sql(BLOCKS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY payload, type = 'tool_result' ORDER BY message DESC, block DESC) AS back, '[output of ' || length(text) || ' characters | restore_tool(ref=tool_' || left(sha256(text), 12) || ')]' AS stub FROM blocks)
+SELECT payload, message, block, md5(CASE WHEN type = 'tool_result' AND back > 1 AND length(stub) < length(text) AND NOT contains(text, 'restore_tool') THEN stub ELSE text END) AS digest FROM r"""))
+def p57(spark, d):
+    """Outputs before a payload's last one are stubs with a reference, where those are shorter."""
+    return payloads.positional_stubs(blocks(spark, d), keep=1).select("payload", "message", "block", F.md5("text").alias("digest"))
+
+
+@query("f24_tool_turns", sql(BLOCKS_SQL + " SELECT payload, message, count(*) FILTER (type IN ('tool_use', 'tool_result')) AS tools, bool_or(type IN ('tool_use', 'tool_result')) AND NOT bool_or(type = 'text' AND trim(text) <> '') AS tool_only FROM blocks GROUP BY ALL"))
+def f24(spark, d):
+    """Messages with their tool blocks, and whether they have nothing else to say."""
+    return payloads.tool_messages(blocks(spark, d))
+
+
+@query("p35_drop_compacted", sql(CHAINS_SQL + """, marks AS (SELECT payload, CAST(payload % 4 AS INT) AS through FROM (SELECT DISTINCT payload FROM blocks) WHERE payload % 5 <> 0), facts_ AS (SELECT payload, turn, bool_or(type IN ('tool_use', 'tool_result')) AS active FROM b GROUP BY ALL), tops AS (SELECT payload, max(turn) AS top FROM b GROUP BY 1),
+gone AS (SELECT payload, turn FROM facts_ JOIN tops USING (payload) JOIN marks USING (payload) WHERE turn >= 0 AND NOT active AND turn <= through AND turn <= top - 1) SELECT payload, message, block FROM b ANTI JOIN gone USING (payload, turn)"""))
+def p35(spark, d):
+    """Payloads without the turns that compaction has reached, but for tool turns and the last one."""
+    b = blocks(spark, d)
+    marks = b.select("payload").distinct().where("payload % 5 <> 0").withColumn("through", (F.col("payload") % 4).cast("int"))
+    return payloads.without_compacted(b, marks, protected=1).select("payload", "message", "block")
+
+
+@query("f12_filtered_payloads", sql(CHAINS_SQL + """, tagged AS (SELECT payload, turn, 'g' || (payload + turn) % 5 AS tag FROM (SELECT DISTINCT payload, turn FROM b WHERE turn >= 0)), tops AS (SELECT payload, max(turn) AS top FROM b GROUP BY 1),
+keep AS (SELECT payload, turn FROM tagged WHERE tag IN ('g' || payload % 5, 'g' || (payload + 3) % 5) UNION SELECT payload, turn FROM b JOIN tops USING (payload) WHERE turn < 0 OR turn > top - 1), ids AS (SELECT DISTINCT payload, turn, call_id FROM b WHERE type IN ('tool_use', 'tool_result')),
+held AS (SELECT DISTINCT payload, call_id FROM ids SEMI JOIN keep USING (payload, turn)), stays AS (SELECT payload, turn FROM keep UNION SELECT payload, turn FROM ids SEMI JOIN held USING (payload, call_id)) SELECT payload, message, block FROM b SEMI JOIN stays USING (payload, turn)"""))
+def f12(spark, d):
+    """Payloads' turns on the wanted tags, with the last one and what calls and results hold together."""
+    b = blocks(spark, d)
+    turns = payloads.numbered_turns(b).where("turn >= 0").select("payload", "turn").distinct()
+    tag = lambda x: F.concat(F.lit("g"), (x % 5).cast("string"))
+    tags = turns.withColumn("tags", F.array(tag(F.col("payload") + F.col("turn"))))
+    wanted = b.select("payload").distinct().withColumn("tags", F.array(tag(F.col("payload")), tag(F.col("payload") + 3)))
+    return payloads.filtered_by_tags(b, tags, wanted, protected=1).select("payload", "message", "block")

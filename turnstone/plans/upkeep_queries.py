@@ -193,29 +193,6 @@ def p54(spark, d):
     return upkeep.tool_blocks(tool_payloads(spark, d)).where("type = 'tool_result'").select("id", F.col("tool_use_id").alias("call_id"), F.col("content").alias("output"))
 
 
-@query("f24_tool_turns", sql(CALLS_SQL + " SELECT event_id AS id, CAST(0 AS INT) AS message, FALSE AS tool_only FROM calls UNION ALL SELECT event_id, 1, TRUE FROM calls"))
-def f24(spark, d):
-    """Messages that are tool blocks alone, without a text."""
-    b = upkeep.tool_blocks(tool_payloads(spark, d))
-    return b.groupBy("id", "message").agg(F.bool_and(F.col("type") != "text").alias("tool_only"))
-
-
-@query("p57_positional_stubs", sql("SELECT conversation_id, ordinal, CASE WHEN back > 4 AND length(content) > 120 THEN '[output ' || ordinal || ': ' || length(content) || ' characters]' ELSE md5(content) END AS shown FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ordinal DESC) AS back FROM messages)"))
-def p57(spark, d):
-    """Outputs before the last four messages that are long give way to stubs."""
-    back = F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.desc("ordinal")))
-    m = T.messages(spark, d).withColumn("back", back)
-    stub = F.format_string("[output %d: %d characters]", F.col("ordinal"), F.char_length("content"))
-    return m.select("conversation_id", "ordinal", F.when((F.col("back") > 4) & (F.char_length("content") > 120), stub).otherwise(F.md5("content")).alias("shown"))
-
-
-@query("p60_reduced_items", sql("SELECT conversation_id, ordinal, md5(CASE WHEN role = 'assistant' AND length(content) > 200 THEN left(content, 200) || '...' WHEN role = 'system' THEN '' ELSE content END) AS digest FROM messages"))
-def p60(spark, d):
-    """A reduction by category: long answers are cut, system texts go."""
-    cut = F.when((F.col("role") == "assistant") & (F.char_length("content") > 200), F.concat(F.left("content", F.lit(200)), F.lit("..."))).when(F.col("role") == "system", "").otherwise(F.col("content"))
-    return T.messages(spark, d).select("conversation_id", "ordinal", F.md5(cut).alias("digest"))
-
-
 @query("p64_trimmed_conversations", sql("SELECT conversation_id, ordinal FROM (SELECT *, sum(greatest(1, length(content) // 4)) OVER (PARTITION BY conversation_id ORDER BY ordinal DESC) AS used FROM messages) WHERE used <= 400"))
 def p64(spark, d):
     cost = F.greatest(F.lit(1), F.floor(F.char_length("content") / 4)).alias("cost")
