@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import evidence
 from turnstone.functions.text import STOPWORDS, value_tokens
-from turnstone.functions.vectors import cosine
+from turnstone.operators.blocks import search_each
 
 #: What a source of a find counts, by mode.
 SOURCE_WEIGHTS = {
@@ -135,15 +135,7 @@ def ordered_fill(sources: list[DataFrame], limit: int) -> DataFrame:
     return first.orderBy("source", F.desc("score"), "id").limit(limit)
 
 
-def nearest_each(rows: DataFrame, queries: DataFrame, least: float, limit: int, run_rows: int = 100_000) -> DataFrame:
-    """(query, id, cosine): for each of queries (query, q) its nearest rows (id, vec) over least, the best ``limit``.
-
-    Rows are dealt into runs, and each run meets all queries; a run's best go on, so no task has a query's finds whole.
-    """
-    runs = max(8, -(-rows.count() // run_rows))
-    dealt = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(runs)).alias("run"))
-    asked = queries.select("query", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))).alias("run"))
-    found = dealt.join(asked, "run").select("query", "id", "run", F.round(cosine("vec", "q"), 6).alias("cosine")).where(F.col("cosine") >= least)
-    order = (F.desc("cosine"), F.col("id"))
-    first = found.withColumn("r", F.row_number().over(Window.partitionBy("query", "run").orderBy(*order))).where(F.col("r") <= limit)
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("r") <= limit).select("query", "id", "cosine")
+def nearest_each(rows: DataFrame, queries: DataFrame, least: float, limit: int) -> DataFrame:
+    """(query, id, cosine): for each of queries (query, q) its nearest rows (id, vec) over least, the best ``limit``."""
+    found = search_each(rows.select("id", F.col("id").alias("owner"), "vec"), queries, least, limit)
+    return found.select("query", "id", "cosine")

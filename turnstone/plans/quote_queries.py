@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstone.functions.vectors import cosine
 from turnstone.operators import filters, joins, quotes, ranking, sequences
+from turnstone.operators.blocks import search_each
 from turnstone.plans.evidence_queries import at_sql
 from turnstone.plans.registry import query
 from turnstone.sources import tables as T
@@ -140,12 +141,14 @@ def j22(spark, d):
 
 @query("v8_best_chunk", sql("SELECT query, owner, vec_id, cosine FROM (SELECT q.vec_id AS query, e.label AS owner, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, e.vec_id) AS r FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE r = 1"))
 def v8(spark, d):
-    """For each query the best chunk of each owner. Chunks are dealt into runs that meet all queries; maxima are combined."""
+    """For each query the best chunk of each owner: an owner's chunks are dealt to parts, whose best are combined."""
     e = T.read(spark, d, "embeddings")
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("run"))
-    both = e.withColumn("run", F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int")).join(asked, "run")
-    scored = both.select("query", F.col("label").alias("owner"), F.struct(F.round(cosine("embedding", "q"), 6).alias("cosine"), (-F.col("vec_id")).alias("v")).alias("x"))
-    return scored.groupBy("query", "owner").agg(F.max("x").alias("x")).select("query", "owner", (-F.col("x.v")).alias("vec_id"), "x.cosine")
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    part = F.format_string("%d/%d", "label", F.expr("vec_id div 1000"))
+    found = search_each(e.select(F.col("vec_id").alias("id"), part.alias("owner"), F.col("embedding").alias("vec")), asked, -1.0, None)
+    owner = F.split("owner", "/")[0].cast("int")
+    best = found.groupBy("query", owner.alias("owner")).agg(F.max(F.struct("cosine", (-F.col("id")).alias("v"))).alias("x"))
+    return best.select("query", "owner", (-F.col("x.v")).alias("vec_id"), "x.cosine")
 
 
 @query("v14_semantic_facts", sql(", c AS (SELECT q.vec_id AS query, f.id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM facts f JOIN embeddings e ON e.vec_id = f.id, embeddings q WHERE q.vec_id % 100 = 0 AND f.superseded_by = '') SELECT query, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS r FROM c WHERE cosine >= 0.35) WHERE r <= 20"))
@@ -173,16 +176,14 @@ def v9(spark, d):
     return turn_search(chunks(spark, d).where("side <> 'subject'"), T.read(spark, d, "embeddings"))
 
 
-def turn_search(rows, e, same_speaker: bool = False, runs: int = 16, limit: int = 10):
-    """For each query the best chunk of each (turn, side); the ten best of those. Turns are dealt into runs that meet all queries."""
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("asker"))
-    asked = q.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    both = rows.withColumn("run", F.pmod(F.xxhash64("turn"), F.lit(runs)).cast("int")).join(asked, "run")
-    both = both.where("asker = speaker") if same_speaker else both
-    best = both.groupBy("query", "run", "turn", "side").agg(F.max(F.round(cosine("embedding", "q"), 6)).alias("cosine")).where("cosine >= 0.25")
-    order = (F.desc("cosine"), F.col("turn"), F.col("side"))
-    first = best.withColumn("r", F.row_number().over(Window.partitionBy("query", "run").orderBy(*order))).where(F.col("r") <= limit)
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("r") <= limit).select("query", "turn", "side", "cosine")
+def turn_search(rows, e, same_speaker: bool = False, limit: int = 10):
+    """For each query the best chunk of each (turn, side); the ten best of those."""
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("asker"))
+    owner = F.format_string("%019d/%s", F.col("turn"), F.col("side"))  # sorts as (turn, side)
+    held = rows.select(F.col("vec_id").alias("id"), owner.alias("owner"), F.col("embedding").alias("vec"), F.col("speaker").alias("group"))
+    found = search_each(held if same_speaker else held.drop("group"), asked, 0.25, limit)
+    part = F.split("owner", "/")
+    return found.select("query", part[0].cast("long").alias("turn"), part[1].alias("side"), "cosine")
 
 
 @query("v10_speaker_turn_search", sql(SIDES_SQL + """, s AS (SELECT q.vec_id AS query, c.turn, c.side, max(round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)) AS cosine FROM chunks c JOIN embeddings q ON q.vec_id % 100 = 0 AND c.speaker = q.label GROUP BY ALL)
