@@ -56,3 +56,26 @@ def test_milestones(spark):
         df = spark.createDataFrame(rng.sample(rows, len(rows)), SCHEMA).repartition(3)
         assert sorted(map(tuple, milestones(df, most).collect())) == sorted(want)
     assert milestones(spark.createDataFrame([], SCHEMA), 3).count() == 0
+
+
+def test_scores_of_many_windows(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from turnstone.operators.timeline import window_scores
+
+    rng = random.Random(8)
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [(i, None if i % 17 == 0 else day(rng.randint(-40, 200)), rng.choice(["Ann Lee", "bob", None]), rng.choice(["reads a book", "sells", ""])) for i in range(200)]
+    asked = [(q, *sorted((day(rng.randint(-60, 220)), day(rng.randint(-60, 220)))), rng.choice([[], [("who", "ann", 2.0), ("what", "book", 0.5), ("what", "sell", 1.25), ("other", "a", 9.0)]])) for q in range(15)] + [(99, day(5), day(1), [("who", "a", 1.0)])]
+    w = spark.createDataFrame(asked, "query long, start date, end date, terms array<struct<field: string, text: string, weight: double>>")
+    r = spark.createDataFrame(rows, "id long, day date, who string, what string")
+    want = {}
+    for q, s, e, terms in asked:
+        for i, at, who, what in rows:
+            if at is not None and s <= at <= e:
+                want[q, i] = sum(x for f, t, x in terms if t in {"who": (who or "").lower(), "what": what.lower()}.get(f, ""))
+    for slot in (1, 7, 400):
+        assert {(x.query, x.id): x.score for x in window_scores(r, w, ("who", "what"), slot).collect()} == want
+    assert window_scores(r, w.withColumn("terms", F.lit(None).cast(dict(w.dtypes)["terms"])), ("who", "what")).where("score <> 0").count() == 0

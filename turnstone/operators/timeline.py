@@ -88,3 +88,23 @@ def milestones(finds: DataFrame, most: int) -> DataFrame:
 
     said = finds.where("trim(point) <> ''").select("query", "id", "source", F.coalesce("date", F.lit("")).alias("date"), "point", "theme", "tokens", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("tags", F.lit(0)).alias("tags"))
     return said.groupBy("query").applyInPandas(fold, f"query {kinds['query']}, date string, id {kinds['id']}, source string, theme string, point string, support string")
+
+
+def window_scores(rows: DataFrame, windows: DataFrame, fields: tuple[str, ...], slot_days: int = 30) -> DataFrame:
+    """rows (id, day, fields...) in windows (query, start, end, terms) -> the rows' columns with query, start, end and score.
+
+    terms is array<struct<field, text, weight>> in lower case; a row's score is the sum of the weights of those that its field
+    has, 0 if it has none. Days are dates, both ends count. Rows and windows meet by slots of days, so that many windows
+    are scored at once and each reads its own days only; null days are in no window, null fields have no term.
+    """
+    slot = lambda c: F.floor(F.unix_date(c) / slot_days)
+    asked = windows.where("start <= end").withColumn("slot", F.explode(F.sequence(slot(F.col("start")), slot(F.col("end")))))
+    held = rows.withColumn("slot", slot(F.col("day")))
+    both = held.join(asked, "slot").where("day BETWEEN start AND end").drop("slot")
+
+    def weight(t):
+        text = F.coalesce(*(F.when(t["field"] == f, F.lower(F.col(f))) for f in fields), F.lit(""))
+        return F.when(F.contains(text, t["text"]), t["weight"].cast("double")).otherwise(0.0)
+
+    score = F.aggregate(F.transform("terms", weight), F.lit(0.0), lambda s, x: s + x)
+    return both.withColumn("score", F.round(F.coalesce(score, F.lit(0.0)), 6)).drop("terms")

@@ -205,15 +205,22 @@ def p13(spark, d):
 VARIANTS, SUMMARY_WEIGHT, SUMMARY_BONUS = (("than the", 3.0), ("license", 1.75), ("version", 1.75)), 1.5, 0.75
 
 
-@query("p20_window_scores", sql("SELECT ref, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT ref, " + " + ".join(f"CASE WHEN contains(lower(full_text), '{v}') THEN {w} ELSE 0 END + CASE WHEN contains(lower(summary), '{v}') THEN ({w} + 0.5 * {len(v.split())}) * {SUMMARY_WEIGHT} + {SUMMARY_BONUS} ELSE 0 END" for v, w in VARIANTS) + " AS score FROM segments WHERE created_at < TIMESTAMP '2024-01-01 08:00:00') WHERE score > 0"))
+P20_SQL = " + ".join(f"CASE WHEN contains(lower(full_text), '{v}') THEN {w} ELSE 0 END + CASE WHEN contains(lower(summary), '{v}') THEN ({w} + 0.5 * {len(v.split())}) * {SUMMARY_WEIGHT} + {SUMMARY_BONUS} ELSE 0 END" for v, w in VARIANTS)
+
+
+@query("p20_window_scores", sql(f", w AS (SELECT DISTINCT date_trunc('hour', created_at) AS h FROM segments) SELECT h AS query, ref, round(CAST({P20_SQL} AS DOUBLE), 6) AS score FROM segments JOIN w ON created_at >= h - INTERVAL 30 MINUTE AND created_at < h + INTERVAL 90 MINUTE WHERE {P20_SQL} > 0"))
 def p20(spark, d):
-    """Segments of a window by the variants that their texts and summaries have."""
-    s = T.segments(spark, d).where("created_at < TIMESTAMP_NTZ'2024-01-01 08:00:00'")
+    """Segments of every hour's window, with half an hour around it, by the variants that their texts and summaries have."""
+    s = T.segments(spark, d)
     score = F.lit(0.0)
     for v, w in VARIANTS:
         score = score + F.when(F.contains(F.lower("full_text"), F.lit(v)), w).otherwise(0.0)
         score = score + F.when(F.contains(F.lower("summary"), F.lit(v)), (w + 0.5 * len(v.split())) * SUMMARY_WEIGHT + SUMMARY_BONUS).otherwise(0.0)
-    return s.select("ref", F.round(score, 6).alias("score")).where("score > 0")
+    hour = F.expr("cast(date_trunc('hour', created_at) as timestamp_ntz)")
+    hours = s.select(hour.alias("query")).distinct()
+    near = F.explode(F.array(*(hour + F.expr(f"INTERVAL {k} HOUR") for k in (-1, 0, 1)))).alias("query")
+    found = s.select("ref", "created_at", near, F.round(score, 6).alias("score")).where("score > 0").join(hours, "query")
+    return found.where("created_at >= query - INTERVAL 30 MINUTE AND created_at < query + INTERVAL 90 MINUTE").select("query", "ref", "score")
 
 
 @query("p25_state_conflicts", sql("SELECT subject, count(DISTINCT status) AS states, CASE WHEN count(DISTINCT status) > 1 THEN 'conflict' ELSE 'agreed' END AS view FROM facts WHERE superseded_by = '' GROUP BY subject"))

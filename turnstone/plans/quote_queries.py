@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnstone.functions.vectors import cosine
-from turnstone.operators import filters, joins, quotes, ranking, sequences
+from turnstone.operators import filters, joins, quotes, ranking, sequences, timeline
 from turnstone.operators.blocks import search_each
 from turnstone.plans.evidence_queries import at_sql
 from turnstone.plans.registry import query
@@ -287,98 +287,114 @@ def a13(spark, d):
     return sequences.interval_union(i, "conversation_id", "s", "e")
 
 
-WINDOW_SQL = ", scored AS (SELECT id, subject, when_date, status, tags, CASE WHEN contains(subject, '1') THEN 1.75 ELSE 0 END + CASE WHEN verb = 'urgent' THEN 1.75 ELSE 0 END + CASE WHEN contains(object, '10') THEN 3.0 ELSE 0 END AS score FROM facts WHERE when_date BETWEEN DATE '1996-06-01' AND DATE '1996-06-30')"
+# A window for every month with five days around it, asked with a subject's digit, a verb and a worth of its own.
+WINDOW_SQL = """, months AS (SELECT DISTINCT date_trunc('month', when_date)::DATE AS m FROM facts), asked AS (SELECT strftime(m, '%Y-%m') AS query, m - 5 AS start, (m + INTERVAL 1 MONTH)::DATE + 4 AS end_, m + 14 AS target, CAST(month(m) % 10 AS VARCHAR) AS s, ['urgent', 'high', 'medium', 'low', 'not specified'][month(m) % 5 + 1] AS v, CAST(10 + (year(m) * 12 + month(m)) % 40 AS VARCHAR) AS o FROM months),
+scored AS (SELECT query, target, id, subject, when_date, status, tags, CASE WHEN contains(subject, s) THEN 1.75 ELSE 0.0 END + CASE WHEN contains(verb, v) THEN 1.75 ELSE 0.0 END + CASE WHEN contains(object, o) THEN 3.0 ELSE 0.0 END::DOUBLE AS score FROM facts JOIN asked ON when_date BETWEEN start AND end_)"""
+
+
+def windows(spark, d):
+    """(query, start, end, target, terms): a window for every month."""
+    m = F.trunc("when_date", "MM")
+    months = T.facts(spark, d).select(m.alias("m")).distinct()
+    number = F.year("m") * 12 + F.month("m")
+    verb = F.element_at(F.array(*map(F.lit, ("urgent", "high", "medium", "low", "not specified"))), F.month("m") % 5 + 1)
+    term = lambda field, text, weight: F.struct(F.lit(field).alias("field"), text.alias("text"), F.lit(weight).alias("weight"))
+    terms = F.array(term("subject", (F.month("m") % 10).cast("string"), 1.75), term("verb", verb, 1.75), term("object", (10 + number % 40).cast("string"), 3.0))
+    return months.select(F.date_format("m", "yyyy-MM").alias("query"), F.date_sub("m", 5).alias("start"), F.date_add(F.add_months("m", 1), 4).alias("end"), F.date_add("m", 14).alias("target"), terms.alias("terms"))
 
 
 def window_facts(spark, d):
-    """Facts of June 1996 by the weights of the query's variants that they have."""
-    f = T.facts(spark, d).where("when_date BETWEEN DATE'1996-06-01' AND DATE'1996-06-30'")
-    score = F.when(F.contains("subject", F.lit("1")), 1.75).otherwise(0.0) + F.when(F.col("verb") == "urgent", 1.75).otherwise(0.0) + F.when(F.contains("object", F.lit("10")), 3.0).otherwise(0.0)
-    return f.select("id", "subject", "when_date", "status", "tags", score.alias("score"))
+    """Facts of all windows, each by the weights of its window's terms that it has."""
+    f = T.facts(spark, d).withColumn("day", F.col("when_date"))
+    w = timeline.window_scores(f, windows(spark, d), ("subject", "verb", "object"))
+    return w.select("query", "target", "id", "subject", "when_date", "status", "tags", "score")
+
 
+def per_query(rows, k: int, *order):
+    """The first k rows of each query."""
+    return sequences.top_per_key(rows, "query", k, *order)
 
-@query("p21_window_fact_scores", sql(WINDOW_SQL + " SELECT id, CAST(score AS DOUBLE) AS score FROM scored WHERE score > 0"))
+
+@query("p21_window_fact_scores", sql(WINDOW_SQL + " SELECT query, id, score FROM scored WHERE score > 0"))
 def p21(spark, d):
-    return window_facts(spark, d).where("score > 0").select("id", "score")
+    return window_facts(spark, d).where("score > 0").select("query", "id", "score")
 
 
-ANCHOR_SQL = "round(CAST(score + greatest(0.0, 2.5 - 0.35 * abs(date_diff('day', DATE '1996-06-15', when_date))) + CASE WHEN when_date = DATE '1996-06-15' THEN 3.0 ELSE 0.0 END + CASE WHEN status = 'active' THEN 1.25 ELSE 0.25 END AS DOUBLE), 6)"
+ANCHOR_SQL = "round(CAST(score + greatest(0.0, 2.5 - 0.35 * abs(date_diff('day', target, when_date))) + CASE WHEN when_date = target THEN 3.0 ELSE 0.0 END + CASE WHEN status = 'active' THEN 1.25 ELSE 0.25 END AS DOUBLE), 6)"
+STATE_SQL = WINDOW_SQL + f""", c AS (SELECT *, {ANCHOR_SQL} AS anchor FROM scored WHERE score > 0), a AS (SELECT query, id AS aid, when_date AS adate, tags AS atags FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY anchor DESC, score DESC, id) = 1),
+s AS (SELECT query, id, anchor, score, CASE WHEN id = aid THEN 1000 ELSE round(CAST(anchor + 1.5 * len(list_intersect(tags, atags)) - 0.1 * abs(date_diff('day', adate, when_date)) AS DOUBLE), 6) END::DOUBLE AS support FROM c JOIN a USING (query)),
+state AS (SELECT query, id, support FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY support DESC, anchor DESC, score DESC, id) <= 8)"""
 
 
-@query("k16_state_candidates", sql(WINDOW_SQL + f""", c AS (SELECT *, {ANCHOR_SQL} AS anchor FROM scored WHERE score > 0), a AS (SELECT id, when_date, tags FROM c ORDER BY anchor DESC, score DESC, id LIMIT 1),
-s AS (SELECT c.id, c.anchor, c.score, CASE WHEN c.id = a.id THEN 1000 ELSE round(CAST(c.anchor + 1.5 * len(list_intersect(c.tags, a.tags)) - 0.1 * abs(date_diff('day', a.when_date, c.when_date)) AS DOUBLE), 6) END AS support FROM c, a)
-SELECT id, CAST(support AS DOUBLE) AS support FROM s ORDER BY support DESC, anchor DESC, score DESC, id LIMIT 8"""))
+@query("k16_state_candidates", sql(STATE_SQL + " SELECT query, id, support FROM state"))
 def k16(spark, d):
-    """The anchor is the best candidate near the target day; the others support it by common tags and nearness to its day."""
+    """For each window the candidate nearest to the target day as anchor; the others support it by common tags and nearness to its day."""
     from turnstone.functions import dates
 
-    target = F.lit("1996-06-15").cast("date")
-    c = window_facts(spark, d).where("score > 0").withColumn("anchor", F.round(F.col("score") + dates.temporal_bonus(F.col("when_date"), target, F.col("status") == "active"), 6))
-    a = F.broadcast(c.orderBy(F.desc("anchor"), F.desc("score"), "id").limit(1).select(F.col("id").alias("aid"), F.col("when_date").alias("adate"), F.col("tags").alias("atags")))
+    c = window_facts(spark, d).where("score > 0").withColumn("anchor", F.round(F.col("score") + dates.temporal_bonus(F.col("when_date"), F.col("target"), F.col("status") == "active"), 6))
+    best = F.min(F.struct((-F.col("anchor")).alias("a"), (-F.col("score")).alias("s"), F.col("id").alias("aid"), F.col("when_date").alias("adate"), F.col("tags").alias("atags"))).alias("x")
+    a = c.groupBy("query").agg(best).select("query", "x.aid", "x.adate", "x.atags")
     support = F.round(F.col("anchor") + 1.5 * F.size(F.array_intersect("tags", "atags")) - 0.1 * F.abs(F.datediff("when_date", "adate")), 6)
-    s = c.crossJoin(a).select("id", "anchor", "score", F.when(F.col("id") == F.col("aid"), 1000.0).otherwise(support).alias("support"))
-    return s.orderBy(F.desc("support"), F.desc("anchor"), F.desc("score"), "id").limit(8).select("id", "support")
+    s = c.join(a, "query").select("query", "id", "anchor", "score", F.when(F.col("id") == F.col("aid"), 1000.0).otherwise(support).alias("support"))
+    return per_query(s, 8, F.desc("support"), F.desc("anchor"), F.desc("score"), F.col("id")).select("query", "id", "support")
+
+
+CHANGE_SQL = "change AS (SELECT query, id, when_date FROM (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 30) QUALIFY row_number() OVER (PARTITION BY query, when_date ORDER BY score DESC, id) <= 2)"
 
 
-@query("k17_change_candidates", sql(WINDOW_SQL + """, t AS (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, id LIMIT 30)
-SELECT id, when_date FROM (SELECT *, row_number() OVER (PARTITION BY when_date ORDER BY score DESC, id) AS r FROM t) WHERE r <= 2 ORDER BY when_date, id"""))
+@query("k17_change_candidates", sql(WINDOW_SQL + ", " + CHANGE_SQL + " SELECT query, id, when_date FROM change"))
 def k17(spark, d):
-    """Of the best max(3 n, 24) candidates two a day, n being ten."""
-    top = window_facts(spark, d).where("score > 0").orderBy(F.desc("score"), "id").limit(max(3 * 10, 24))
-    r = F.row_number().over(Window.partitionBy("when_date").orderBy(F.desc("score"), "id"))
-    return top.withColumn("r", r).where("r <= 2").orderBy("when_date", "id").select("id", "when_date")
+    """Of each window's best max(3 n, 24) candidates two a day, n being ten."""
+    top = per_query(window_facts(spark, d).where("score > 0"), max(3 * 10, 24), F.desc("score"), F.col("id"))
+    r = F.row_number().over(Window.partitionBy("query", "when_date").orderBy(F.desc("score"), "id"))
+    return top.withColumn("r", r).where("r <= 2").select("query", "id", "when_date")
 
 
-MODES_SQL = WINDOW_SQL + f""", c AS (SELECT *, {ANCHOR_SQL} AS anchor FROM scored WHERE score > 0), a AS (SELECT id, when_date, tags FROM c ORDER BY anchor DESC, score DESC, id LIMIT 1),
-lookup AS (SELECT id FROM c ORDER BY score DESC, when_date DESC, id LIMIT 10),
-state AS (SELECT c.id FROM c, a ORDER BY CASE WHEN c.id = a.id THEN 1000 ELSE round(CAST(c.anchor + 1.5 * len(list_intersect(c.tags, a.tags)) - 0.1 * abs(date_diff('day', a.when_date, c.when_date)) AS DOUBLE), 6) END DESC, anchor DESC, score DESC, c.id LIMIT 8),
-change AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY when_date ORDER BY score DESC, id) AS r FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, id LIMIT 30)) WHERE r <= 2),
-timeline AS (SELECT id FROM (SELECT id, when_date, row_number() OVER (PARTITION BY when_date ORDER BY score DESC, id) AS r FROM scored) WHERE r = 1 ORDER BY when_date, id LIMIT 20),
-recap AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY when_date ORDER BY score DESC, id) AS r FROM scored) WHERE r <= 3),
-first_ AS (SELECT id FROM c ORDER BY when_date, score DESC, id LIMIT 1)
-SELECT 'lookup' AS mode, id FROM lookup UNION ALL SELECT 'state', id FROM state UNION ALL SELECT 'change', id FROM change UNION ALL SELECT 'timeline', id FROM timeline UNION ALL SELECT 'recap', id FROM recap UNION ALL SELECT 'first_mention', id FROM first_"""
+MODES_SQL = STATE_SQL + ", " + CHANGE_SQL + """, lookup AS (SELECT query, id FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, when_date DESC, id) <= 10),
+daily AS (SELECT *, row_number() OVER (PARTITION BY query, when_date ORDER BY score DESC, id) AS r FROM scored), timeline AS (SELECT query, id FROM daily WHERE r = 1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY when_date, id) <= 20), recap AS (SELECT query, id FROM daily WHERE r <= 3),
+first_ AS (SELECT query, id FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY when_date, score DESC, id) = 1)
+SELECT 'lookup' AS mode, query, id FROM lookup UNION ALL SELECT 'state', query, id FROM state UNION ALL SELECT 'change', query, id FROM change UNION ALL SELECT 'timeline', query, id FROM timeline UNION ALL SELECT 'recap', query, id FROM recap UNION ALL SELECT 'first_mention', query, id FROM first_"""
 
 
 @query("p19_remember_when", sql(MODES_SQL))
 def p19(spark, d):
-    """A window's facts in six modes: by score, state about a day, changes, a day each, a recap by day, the first mention."""
+    """Every window's facts in six modes: by score, state about a day, changes, a day each, a recap by day, the first mention."""
     w = window_facts(spark, d)
     c = w.where("score > 0")
-    day = F.row_number().over(Window.partitionBy("when_date").orderBy(F.desc("score"), "id"))
-    daily = w.withColumn("r", day)
+    daily = w.withColumn("r", F.row_number().over(Window.partitionBy("query", "when_date").orderBy(F.desc("score"), "id")))
     modes = {
-        "lookup": c.orderBy(F.desc("score"), F.desc("when_date"), "id").limit(10), "state": k16(spark, d), "change": k17(spark, d),
-        "timeline": daily.where("r = 1").orderBy("when_date", "id").limit(20), "recap": daily.where("r <= 3"),
-        "first_mention": c.orderBy("when_date", F.desc("score"), "id").limit(1),
+        "lookup": per_query(c, 10, F.desc("score"), F.desc("when_date"), F.col("id")), "state": k16(spark, d), "change": k17(spark, d),
+        "timeline": per_query(daily.where("r = 1").drop("r"), 20, F.col("when_date"), F.col("id")), "recap": daily.where("r <= 3"),
+        "first_mention": per_query(c, 1, F.col("when_date"), F.desc("score"), F.col("id")),
     }
     out = None
     for mode, rows in modes.items():
-        part = rows.select(F.lit(mode).alias("mode"), "id")
+        part = rows.select(F.lit(mode).alias("mode"), "query", "id")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("p23_fact_backed_dates", sql(WINDOW_SQL + " SELECT when_date, count(*) AS facts, max(id) AS latest FROM scored WHERE when_date NOT IN (SELECT when_date FROM scored WHERE score > 3) GROUP BY when_date HAVING count(*) >= 2"))
+@query("p23_fact_backed_dates", sql(WINDOW_SQL + ", strong AS (SELECT DISTINCT query, when_date FROM scored WHERE score > 3) SELECT query, when_date, count(*) AS facts, max(id) AS latest FROM scored ANTI JOIN strong USING (query, when_date) GROUP BY query, when_date HAVING count(*) >= 2"))
 def p23(spark, d):
-    """Days without a strong find that two facts or more speak for."""
+    """Each window's days without a strong find that two facts or more speak for."""
     w = window_facts(spark, d)
-    strong = w.where("score > 3").select("when_date").distinct()
-    return w.join(strong, "when_date", "left_anti").groupBy("when_date").agg(F.count("*").alias("facts"), F.max("id").alias("latest")).where("facts >= 2")
+    strong = w.where("score > 3").select("query", "when_date").distinct()
+    return w.join(strong, ["query", "when_date"], "left_anti").groupBy("query", "when_date").agg(F.count("*").alias("facts"), F.max("id").alias("latest")).where("facts >= 2")
 
 
-@query("p22_associative_facts", sql(WINDOW_SQL + """, seed AS (SELECT id, subject, score FROM scored WHERE score > 3),
-sib AS (SELECT f.id, 0.5 * max(s.score) AS gain FROM seed s JOIN facts f ON f.subject = s.subject WHERE f.id NOT IN (SELECT id FROM seed) GROUP BY f.id),
-lk AS (SELECT b AS id, max(s.score * confidence) AS gain FROM seed s JOIN (SELECT source_id AS a, target_id AS b, confidence FROM fact_links UNION ALL SELECT target_id, source_id, confidence FROM fact_links) e ON e.a = s.id WHERE b NOT IN (SELECT id FROM seed) GROUP BY b)
-SELECT id, round(CAST(sum(gain) AS DOUBLE), 6) AS score FROM (SELECT * FROM sib UNION ALL SELECT * FROM lk) GROUP BY id"""))
+@query("p22_associative_facts", sql(WINDOW_SQL + """, seed AS (SELECT query, id, subject, score FROM scored WHERE score > 3),
+sib AS (SELECT s.query, f.id, 0.5 * max(s.score) AS gain FROM seed s JOIN facts f ON f.subject = s.subject GROUP BY ALL),
+lk AS (SELECT s.query, b AS id, max(s.score * confidence) AS gain FROM seed s JOIN (SELECT source_id AS a, target_id AS b, confidence FROM fact_links UNION ALL SELECT target_id, source_id, confidence FROM fact_links) e ON e.a = s.id GROUP BY ALL)
+SELECT query, id, round(CAST(sum(gain) AS DOUBLE), 6) AS score FROM (SELECT * FROM sib UNION ALL SELECT * FROM lk) ANTI JOIN seed USING (query, id) GROUP BY ALL"""))
 def p22(spark, d):
-    """Facts of the seeds' subjects, and facts linked with seeds, by what they gain from both."""
-    seed = window_facts(spark, d).where("score > 3").select("id", "subject", "score")
-    best = seed.groupBy("subject").agg((0.5 * F.max("score")).alias("gain"))
-    siblings = T.facts(spark, d).select("id", "subject").join(best, "subject").select("id", "gain")
+    """For each window facts of the seeds' subjects, and facts linked with seeds, by what they gain from both."""
+    seed = window_facts(spark, d).where("score > 3").select("query", "id", "subject", "score")
+    best = seed.groupBy("query", "subject").agg((0.5 * F.max("score")).alias("gain"))
+    siblings = T.facts(spark, d).select("id", "subject").join(best, "subject").select("query", "id", "gain")
     edges = joins.both_ways(T.fact_links(spark, d)).select("a", F.col("b").alias("to"), "confidence")
-    linked = edges.join(seed.select(F.col("id").alias("a"), "score"), "a").groupBy(F.col("to").alias("id")).agg(F.max(F.col("score") * F.col("confidence")).alias("gain"))
-    every = siblings.unionByName(linked).join(seed.select("id"), "id", "left_anti")
-    return every.groupBy("id").agg(F.round(F.sum("gain"), 6).alias("score"))
+    linked = edges.join(seed.select("query", F.col("id").alias("a"), "score"), "a").groupBy("query", F.col("to").alias("id")).agg(F.max(F.col("score") * F.col("confidence")).alias("gain"))
+    every = siblings.unionByName(linked).join(seed.select("query", "id"), ["query", "id"], "left_anti")
+    return every.groupBy("query", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
 
 
 @query("a34_sequence_ratios")
