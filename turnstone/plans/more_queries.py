@@ -98,15 +98,15 @@ def j4(spark, d):
     return T.read(spark, d, "conversations").join(want, ["conv_id", "turn"], "left_semi").select("conv_id", "turn", "role")
 
 
-@query("j13_reverse_dependents", sql(", e AS (SELECT node, parent FROM (SELECT o_orderkey AS node, o_orderkey // 3 AS parent, row_number() OVER (PARTITION BY o_orderkey // 3 ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 256), r AS (SELECT node, 1 AS level FROM e WHERE parent = 2 UNION ALL SELECT e.node, r.level + 1 FROM r JOIN e ON e.parent = r.node WHERE r.level < 8) SELECT node, level FROM r", recursive=True))
+@query("j13_reverse_dependents", sql(", e AS (SELECT node, parent FROM (SELECT o_orderkey AS node, o_orderkey // 3 AS parent, row_number() OVER (PARTITION BY o_orderkey // 3 ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 256), r AS (SELECT parent AS root, node, 1 AS level FROM e WHERE parent % 10 = 2 UNION ALL SELECT r.root, e.node, r.level + 1 FROM r JOIN e ON e.parent = r.node WHERE r.level < 8) SELECT root, node, level FROM r", recursive=True))
 def j13(spark, d):
-    """A node's first 256 dependents count, as in the operator's own bound; eight levels."""
+    """For every tenth node what depends on it: a node's first 256 dependents count, as in the operator's own bound; eight levels."""
     e = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.expr("o_orderkey div 3").alias("parent"))
     e = e.withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("node"))).where("r <= 256").drop("r")
-    level = e.where("parent = 2").select("node", F.lit(1).alias("level"))
+    level = e.where("parent % 10 = 2").select(F.col("parent").alias("root"), "node", F.lit(1).alias("level"))
     out = level
     for k in range(2, 9):
-        level = materialize(e.join(level.select(F.col("node").alias("parent")), "parent").select("node", F.lit(k).alias("level")), "level")
+        level = materialize(e.join(level.select("root", F.col("node").alias("parent")), "parent").select("root", "node", F.lit(k).alias("level")), "level")
         out = out.unionByName(level)
         if not level.limit(1).count():
             break
@@ -176,14 +176,6 @@ def k5(spark, d):
     return sequences.prefix_fill(s, "conversation_id", "summary_tokens", 1500, F.desc("full_tokens"), F.col("ref")).select("conversation_id", "ref")
 
 
-@query("k10_dense_then_floor", sql("SELECT id, CASE WHEN r <= 20 THEN 'dense' ELSE 'floor' END AS why FROM (SELECT id, object, conversation_id, row_number() OVER (ORDER BY object DESC, id) AS r FROM facts WHERE superseded_by = '') WHERE r <= 20 OR conversation_id = 4"))
-def k10(spark, d):
-    f = filters.live(T.facts(spark, d)).select("id", "object", "conversation_id")
-    dense = f.orderBy(F.desc("object"), "id").limit(20).select("id", F.lit("dense").alias("why"))
-    rest = f.where("conversation_id = 4").select("id").join(dense, "id", "left_anti").select("id", F.lit("floor").alias("why"))
-    return dense.unionByName(rest)
-
-
 @query("k22_reduction_plan", sql("SELECT conversation_id, ref FROM (SELECT conversation_id, ref, coalesce(sum(saving) OVER (PARTITION BY conversation_id ORDER BY saving DESC, ref ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT conversation_id, ref, full_tokens - summary_tokens AS saving FROM segments)) WHERE before < 20000"))
 def k22(spark, d):
     s = T.segments(spark, d).select("conversation_id", "ref", (F.col("full_tokens") - F.col("summary_tokens")).alias("saving"))
@@ -342,12 +334,6 @@ def q2(spark, d):
     return s.select("ref").join(t, "ref", "left").select("ref", F.coalesce(F.concat_ws(",", "t"), F.lit("")).alias("tags"))
 
 
-@query("q16_preflight", sql("SELECT (SELECT count(*) FROM telemetry WHERE component = 'error') AS running, (SELECT max(seq) FROM telemetry) AS epoch, (SELECT count(*) FROM messages WHERE role = 'user') AS pending"))
-def q16(spark, d):
-    a = T.telemetry(spark, d).agg(F.count_if(F.col("component") == "error").alias("running"), F.max("seq").alias("epoch"))
-    return a.crossJoin(T.messages(spark, d).agg(F.count_if(F.col("role") == "user").alias("pending")))
-
-
 @query("q17_violation_counts", sql("SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN full_tokens > 1000 THEN 'too_long' END, CASE WHEN len(tags) <> 3 THEN 'tags' END, CASE WHEN summary = full_text THEN 'no_summary' END], lambda x: x IS NOT NULL)) AS reason FROM segments) GROUP BY reason"))
 def q17(spark, d):
     s = T.segments(spark, d)
@@ -355,19 +341,6 @@ def q17(spark, d):
     return s.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("q21_claimed_days", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_shipdate = o_orderdate)")
-def q21(spark, d):
-    o = T.read(spark, d, "orders").select("o_orderdate").distinct()
-    li = T.read(spark, d, "lineitem").select(F.col("l_shipdate").alias("o_orderdate"))
-    return o.join(li, "o_orderdate", "left_semi").select(F.to_date("o_orderdate").alias("day")).distinct()
-
-
-@query("q22_state_machine", "SELECT user_id, arg_max(event_type, event_id) AS last, CASE WHEN bool_or(event_type = 'purchase') THEN 'approved' WHEN bool_or(event_type = 'error') THEN 'declined' ELSE 'staged' END AS state FROM events GROUP BY 1")
-def q22(spark, d):
-    has = lambda t: F.bool_or(F.col("event_type") == t)
-    return T.read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last"), F.when(has("purchase"), "approved").when(has("error"), "declined").otherwise("staged").alias("state"))
-
-
 @query("x8_cursor_read", sql("SELECT seq, component FROM telemetry WHERE seq > 500 ORDER BY seq LIMIT 200"))
 def x8(spark, d):
     return T.telemetry(spark, d).where("seq > 500").orderBy("seq").limit(200).select("seq", "component")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnstone.operators import ingest, joins, sequences, upkeep
+from turnstone.plans.compaction_queries import TAGGED_SQL, tagged
 from turnstone.plans.registry import query
 from turnstone.plans.sequence_queries import TURNS
 from turnstone.sources import exports
@@ -200,12 +201,15 @@ def p64(spark, d):
     return sequences.prefix_fill(m, "conversation_id", "cost", 400, F.desc("ordinal")).select("conversation_id", "ordinal")
 
 
-@query("p29_turns_by_tag", sql(TURNS + ", tagged AS (SELECT conversation_id, turn_no, hash FROM h WHERE contains(lower(user_text), 'tion')), live AS (SELECT conversation_id, turn_no, hash FROM h WHERE turn_no >= 5 AND contains(lower(assistant_text), 'tion')) SELECT conversation_id, turn_no, hash FROM tagged UNION SELECT conversation_id, turn_no, hash FROM live"))
+@query("p29_turns_by_tag", sql(TAGGED_SQL + ", asked AS (SELECT unnest(['abstract', 'motion', 'query', '_general']) AS tag), st AS (SELECT conversation_id, turn_no, hash, unnest(coalesce(carried, ['_general'])) AS tag FROM inherited WHERE turn_no < 5), lv AS (SELECT conversation_id, turn_no, hash, unnest(CASE WHEN len(own) = 0 THEN ['_general'] ELSE own END) AS tag FROM inherited WHERE turn_no >= 4) SELECT DISTINCT tag, conversation_id, turn_no FROM (SELECT * FROM st UNION ALL SELECT * FROM lv) JOIN asked USING (tag)"))
 def p29(spark, d):
-    """Stored and live turns with a tag, each once."""
-    t = sequences.turns(T.messages(spark, d))
-    stored, live = t.where(F.contains(F.lower("user_text"), F.lit("tion"))), t.where((F.col("turn_no") >= 5) & F.contains(F.lower("assistant_text"), F.lit("tion")))
-    return stored.unionByName(live).select("conversation_id", "turn_no", "hash").distinct()
+    """For each asked tag the stored turns that have or inherit it and the live ones that have it, each once."""
+    t = tagged(spark, d)
+    stored = t.where("turn_no < 5").select("conversation_id", "turn_no", F.explode("tags").alias("tag"))
+    own = F.when(F.size("own") == 0, F.array(F.lit("_general"))).otherwise(F.col("own"))
+    live = t.where("turn_no >= 4").select("conversation_id", "turn_no", F.explode(own).alias("tag"))
+    asked = spark.createDataFrame([(x,) for x in ("abstract", "motion", "query", "_general")], "tag string")
+    return stored.unionByName(live).join(asked, "tag", "left_semi").select("tag", "conversation_id", "turn_no").distinct()
 
 
 @query("p30_recovered_history", sql(TURNS + " SELECT conversation_id, string_agg(md5(user_text || chr(31) || assistant_text), ',' ORDER BY turn_no) AS history FROM turns WHERE turn_no < 50 GROUP BY conversation_id"))
@@ -467,10 +471,3 @@ def m9(spark, d):
     return T.read(spark, d, "events").select("event_id", F.concat_ws("=", F.map_keys(kept)[0], F.map_values(kept)[0]).alias("entry"), F.size(m).alias("n"))
 
 
-@query("x2_prefix_watermarks", sql("SELECT conversation_id, CAST(max(ordinal) FILTER (k < 6) + 1 AS BIGINT) AS compacted, CAST(greatest(max(ordinal) FILTER (k < 6), max(ordinal) FILTER (k < 4)) + 1 AS BIGINT) AS flushed FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ordinal) - 1 AS k FROM messages) GROUP BY 1"))
-def x2(spark, d):
-    """Two marks that never go back: what is compacted, and what is flushed, at least as far."""
-    k = F.row_number().over(Window.partitionBy("conversation_id").orderBy("ordinal")) - 1
-    m = T.messages(spark, d).withColumn("k", k).groupBy("conversation_id")
-    a, b = (F.max(F.when(F.col("k") < n, F.col("ordinal"))) for n in (6, 4))
-    return m.agg((a + 1).cast("long").alias("compacted"), (F.greatest(a, b) + 1).cast("long").alias("flushed"))
