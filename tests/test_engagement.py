@@ -41,14 +41,9 @@ def first_reason(posts, c, question=True, thread=True):
     return None
 
 
-def plain_key(p):
-    return (p[2], p[1])
-
-
 def test_rules_in_order(spark):
     rng = random.Random(1)
     posts, candidates = ledger(rng)
-    posts = [p for p in posts]
     h, c = spark.createDataFrame(posts, HISTORY), spark.createDataFrame(candidates, CANDIDATES)
     safe = [tuple(x if x is not None else 0 if k == 6 else x for k, x in enumerate(p)) for p in posts]
     got = {r.id: r.reason for r in repetition(h, c).collect()}

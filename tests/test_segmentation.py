@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from turnstone.operators.segmentation import topic_segments
 
 
@@ -95,5 +97,7 @@ def test_interleaved_topics_walking_and_empty_tables(spark):
     assert segments(turns(["a", "b", "x"], ["b", "c", "d", "e"], ["c", "d"])) == [0, 1, 1]  # the first turn's tags decide, so topics don't walk
     assert segments(turns(["_general"], ["a"])) == [0, 1]
     assert topic_segments(turns(["a"]).limit(0)).count() == 0
+    said = turns(["a"], ["a"], ["a"]).drop("session").withColumn("text", F.when(F.col("turn_no") == 1, "[Session from May 2] hello").otherwise(F.col("text")))
+    assert segments(said) == [0, 1, 0]
     nulls = spark.createDataFrame([(None, 0, "a text", None, None, None, "u", None, None), (None, 1, None, "a", ["a"], "", None, 1, 1)], SCHEMA)
     assert [(r.turn_no, r.segment, r.primary_tag) for r in topic_segments(nulls).collect()] == [(0, 0, "_general")]

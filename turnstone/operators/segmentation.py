@@ -127,11 +127,13 @@ def topic_segments(turns: DataFrame, most: int = 20, threshold: float = 0.5, gap
     """turns (conversation_id, turn_no, text, primary_tag, tags, session, identity, started, ended) -> (conversation_id,
     turn_no, segment, primary_tag, tags): the topic segment of each turn, from 0, with the segment's tags.
 
-    started and ended are seconds or null (then no gap splits), session is the turn's own header or empty, a null identity
-    is unresolved and its turn stands alone. Turns without a text but for white space are left out, null tags are none. See
+    started and ended are seconds or null (then no gap splits), session is the turn's own header or empty (without the column
+    it is looked for in the text), a null identity is unresolved and its turn stands alone. Turns without a text but for white space are left out, null tags are none. See
     assign() for the rules. A conversation's turns are folded in their order by one task; conversations are dealt by id.
     """
     kind = dict(turns.dtypes)["conversation_id"]
+    if "session" not in turns.columns:
+        turns = turns.withColumn("session", session_of(F.col("text")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn_no", ignore_index=True)
