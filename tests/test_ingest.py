@@ -17,7 +17,9 @@ def slow_run(a, b, least):
     return None if best is None or best[0] < least else (-best[2], -best[1], best[0])
 
 
-def test_longest_run():
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_longest_run(small, monkeypatch):
+    monkeypatch.setattr("turnstone.functions.overlap.SMALL", small)
     rng = random.Random(1)
     for _ in range(400):
         a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(2))

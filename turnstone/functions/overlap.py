@@ -16,6 +16,26 @@ def _names(both: np.ndarray, width: int, levels: list[np.ndarray]) -> np.ndarray
     return np.unique(a[:n] * (a.max() + 1) + a[shift : shift + n], return_inverse=True)[1]
 
 
+#: Pairs of positions up to which the runs are counted one by one.
+SMALL = 20_000
+
+
+def _by_pairs(a: list, b: list, by_shift: bool) -> tuple[int, int, int] | None:
+    at: dict = {}
+    for i, h in enumerate(a):
+        at.setdefault(h, []).append(i)
+    best, before = None, {}
+    for j, h in enumerate(b):
+        now = {i: before.get(i - 1, 0) + 1 for i in at.get(h, ())}
+        for i, n in now.items():
+            start, other = j - n + 1, i - n + 1
+            key = (-n, start - other, start) if by_shift else (-n, start, other)
+            if best is None or key < best[0]:
+                best = key, (other, start, n)
+        before = now
+    return None if best is None else best[1]
+
+
 def longest_run(a: list | np.ndarray, b: list | np.ndarray, least: int = 1, by_shift: bool = False) -> tuple[int, int, int] | None:
     """(start in a, start in b, length) of the longest run that both have, of ``least`` positions or more, else None.
 
@@ -26,6 +46,9 @@ def longest_run(a: list | np.ndarray, b: list | np.ndarray, least: int = 1, by_s
     n, m = len(a), len(b)
     if min(n, m) < max(1, least):
         return None
+    if n * m <= SMALL:
+        run = _by_pairs(list(a), list(b), by_shift)
+        return run if run is not None and run[2] >= least else None
     # one position between the two sequences that equals no other
     both = np.unique(np.concatenate([np.asarray(a, object), np.asarray(b, object)]), return_inverse=True)[1].astype(np.int64)
     both = np.concatenate([both[:n], [both.max() + 1], both[n:]])

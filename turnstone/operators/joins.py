@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,15 +70,22 @@ def alignment(stored: DataFrame, incoming: DataFrame, least: int = 3) -> DataFra
     """
     kind = dict(incoming.dtypes)["key"]
 
-    def longest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("pos"), b.sort_values("pos")
-        run = longest_run(a["hash"].tolist(), b["hash"].tolist(), least, by_shift=True) if len(a) and len(b) else None
-        rows = [(b["key"].iloc[0], int(b["pos"].iloc[run[1]] - a["pos"].iloc[run[0]]), int(b["pos"].iloc[run[1]]), run[2])] if run else []
-        return pd.DataFrame(rows, columns=["key", "shift", "start", "matched"])
-
-    # columns of their own, as both may come from one table
-    both = (df.select("key", "pos", "hash").toDF("key", "pos", "hash").groupBy("key") for df in (stored, incoming))
-    return next(both).cogroup(next(both)).applyInPandas(longest, f"key {kind}, shift long, start long, matched long")
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "hash"))).alias(name)).select("key", F.col(f"{name}.pos").alias(f"{name}_pos"), F.col(f"{name}.hash").alias(name))
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, a_pos, a, b_pos, b in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                run = longest_run(a, b, least, by_shift=True)
+                if run:
+                    out.append((key, b_pos[run[1]] - a_pos[run[0]], b_pos[run[1]], run[2]))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            types = (batch.schema.field("key").type, pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "shift", "start", "matched"])
+
+    both = listed(stored, "a").join(listed(incoming, "b"), "key")
+    return both.mapInArrow(longest, f"key {kind}, shift long, start long, matched long")
 
 
 def similar_tags(tags: DataFrame, least: float) -> DataFrame:
