@@ -15,7 +15,7 @@ from .exchange import begin_of, byte_set, gather, pack, slices, unpack, words_in
 
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: Bytes of text that become chunks (one for each language in them), and of text that a bucket stands for, about.
-CHUNK_BYTES, BUCKET_BYTES = 1 << 24, 1 << 22
+CHUNK_BYTES, BUCKET_BYTES = 1 << 23, 1 << 22
 #: Runs that a language's candidates are dealt to before its first are taken.
 RUNS = 64
 
@@ -48,7 +48,7 @@ def _start(chunk_bytes: int, buckets: int):
                 langs, names = pd.factorize(batch.column(0).slice(row, len(offsets) - 1).to_pandas())
                 starts, ends, rows, h = words_in_steps(data, offsets, SEPARATORS)
                 # a piece ends at a break and with its document
-                piece = np.cumsum(BREAKS[data], dtype=np.int64)[starts] + rows if len(starts) else rows
+                piece = np.searchsorted(np.flatnonzero(BREAKS[data]), starts) + rows
                 for k, name in enumerate(names):
                     mine = np.flatnonzero(langs[rows] == k)
                     if not len(mine):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix, read, signed
+from .common import materialize, mix, read, signed
 from .exchange import Segments, begin_of, byte_set, gather, pack, ragged, slices, unpack, words_in_steps
 
 WIDTH, PAIR = 13, 2
