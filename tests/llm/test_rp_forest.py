@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import numpy as np
 
 from turnstone.llm import rp_forest
@@ -79,3 +82,27 @@ def test_recall_with_production_parameters(spark):
     got = {r.vec_id: r for r in rp_forest.near_vectors(df).collect()}
     found = np.array([got[k].n_links for k in range(len(x))])
     assert (found <= n).all() and n.sum() > 8000 and found.sum() >= 0.99 * n.sum(), (found.sum(), n.sum())
+
+
+def shuffled(spark):
+    """Bytes of shuffle files on the disk."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(p.stat().st_size for d in dirs for p in Path(d.getPath()).rglob("shuffle_*"))
+
+
+def test_waves_leave_no_shuffle_files_and_lose_nothing(spark, monkeypatch):
+    rows = corpus(6, 600)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    want, written = brute(rows, 0.98), []
+    plain = rp_forest.materialize
+    monkeypatch.setattr(rp_forest, "WAVE_BYTES", 1 << 12)
+    monkeypatch.setattr(rp_forest, "FEW", 0)
+    monkeypatch.setattr(rp_forest, "materialize", lambda df, name, **k: (written.append(name), plain(df, name, **k))[1])
+    before = shuffled(spark)
+    found = rp_forest.near_vectors(df, leaf_size=20, leaf_most=40, block=16, whole=60)
+    time.sleep(1)
+    assert shuffled(spark) - before < 100_000  # all trees' vectors are six times 600 of 96 bytes at least
+    got = sorted(map(tuple, found.collect()), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want] and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want)
+    assert written.count("found") > 4 and written.count("leaves") > 4 and written.count("forest") > 4
