@@ -79,3 +79,24 @@ def test_scores_of_many_windows(spark):
     for slot in (1, 7, 400):
         assert {(x.query, x.id): x.score for x in window_scores(r, w, ("who", "what"), slot).collect()} == want
     assert window_scores(r, w.withColumn("terms", F.lit(None).cast(dict(w.dtypes)["terms"])), ("who", "what")).where("score <> 0").count() == 0
+
+
+def test_queries_pass_one_after_the_other(spark):
+    """No call for each query: a task's queries pass through batches, whose ends fall into queries and dates."""
+    from turnstone.operators.timeline import choose_milestones
+
+    rng = random.Random(15)
+    rows = [(q, 100 * q + k, rng.choice(["segment", "fact"]), f"2024-0{rng.randint(1, 8)}", f"point {rng.randint(0, 9)}", "t", rng.sample("abcdefgh", rng.randint(0, 5)), rng.randint(0, 2), rng.randint(0, 12)) for q in range(60) for k in range(rng.randint(1, 15))]
+    want = set()
+    for q in range(60):
+        finds = [dict(zip(("id", "source", "date", "point", "theme", "tokens", "matched", "tags"), (*r[1:6], set(r[6]), *r[7:]), strict=True)) for r in rows if r[0] == q]
+        want |= {(q, *(m[c] for c in ("date", "id", "source", "theme", "point", "support"))) for m in choose_milestones(finds, 4)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+        got = milestones(spark.createDataFrame(rng.sample(rows, len(rows)), SCHEMA).repartition(3), 4)
+        assert {tuple(x) for x in got.collect()} == want and len(want) > 100
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions.vectors import cosine
+from turnstone.operators.folds import keyed, values
 
 #: Weights of a semantic find and the similarity that it needs.
 SIMILARITY_WEIGHT, TERM_WEIGHT, BONUS, LEAST_SIMILARITY = 8.0, 0.5, 0.5, 0.22
@@ -42,33 +46,58 @@ def merged_window_scores(lexical: DataFrame, semantic: DataFrame, terms: DataFra
     return both.groupBy("query", "id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def choose_milestones(finds: list[dict], most: int) -> list[dict]:
-    """Milestones of one query's finds (source, date, point, theme, tokens, matched, tags), see milestones()."""
-    def base(f: dict) -> float:
-        first, term, token = SEGMENT_SCORE if f["source"] == "segment" else FACT_SCORE
-        extra = (0.5 if f["tags"] else 0.0) if f["source"] == "segment" else FACT_TAG * min(10, f["tags"])
-        return first + term * f["matched"] + token * min(6, len(f["tokens"])) + extra
+@lru_cache(1 << 16)
+def _worth(segment: bool, matched: int, tokens: int, tags: int) -> float:
+    first, term, token = SEGMENT_SCORE if segment else FACT_SCORE
+    extra = (0.5 if tags else 0.0) if segment else FACT_TAG * min(10, tags)
+    return first + term * matched + token * min(6, tokens) + extra
+
+
+@lru_cache(1 << 16)
+def _rank(base: float, new: int) -> tuple[float, int, float]:
+    return -round(base + NEW_TOKEN * new, 6), -new, -round(base, 6)
+
+
+class _Tale:
+    """Milestones of one query's finds, which come by dates; what is held of a date are its best segment and its best fact."""
 
-    seen: set[str] = set()
+    __slots__ = ("told", "seen", "date", "best")
 
-    def best(pool: list[dict]) -> dict:
-        def value(f: dict) -> tuple:
-            new = len(f["tokens"] - seen)
-            return round(base(f) + NEW_TOKEN * new, 6), new, round(base(f), 6)
+    def __init__(self):
+        self.told, self.seen, self.date, self.best = [], set(), None, [None, None]
 
-        return min(pool, key=lambda f: (*(-x for x in value(f)), f["id"]))
+    def add(self, date: str, id: object, source: str, point: str, theme: str, tokens: set[str], matched: int, tags: int) -> None:
+        if date != self.date:
+            self.close()
+            self.date = date
+        k = source != "segment"
+        if k and source != "fact":
+            return
+        rank = (*_rank(_worth(not k, matched, len(tokens), tags), len(tokens - self.seen)), id)
+        if self.best[k] is None or rank < self.best[k][0]:
+            self.best[k] = (rank, id, source, theme, point, tokens)
 
-    out = []
-    for date in sorted({f["date"] for f in finds}):
-        segments, facts = ([f for f in finds if f["date"] == date and f["source"] == s] for s in ("segment", "fact"))
-        main = best(segments or facts)
-        support = best(facts)["point"] if segments and facts else None
-        out.append({"date": date, "id": main["id"], "source": main["source"], "theme": main["theme"], "point": main["point"], "support": support if support != main["point"] else None})
-        seen |= main["tokens"]
-    n = len(out)
-    if n > most:
-        out = [out[i] for i in sorted({k * (n - 1) // (most - 1) if most > 1 else 0 for k in range(most)})]
-    return out
+    def close(self) -> None:
+        segment, fact = self.best
+        if segment or fact:
+            _, id, source, theme, point, tokens = segment or fact
+            support = fact[4] if segment and fact else None
+            self.told.append((self.date, id, source, theme, point, support if support != point else None))
+            self.seen |= tokens
+            self.best = [None, None]
+
+    def end(self, most: int) -> list[tuple]:
+        self.close()
+        n = len(self.told)
+        return self.told if n <= most else [self.told[i] for i in sorted({k * (n - 1) // (most - 1) if most > 1 else 0 for k in range(most)})]
+
+
+def choose_milestones(finds: list[dict], most: int) -> list[dict]:
+    """Milestones of one query's finds (source, date, point, theme, tokens, matched, tags), see milestones()."""
+    tale = _Tale()
+    for f in sorted(finds, key=lambda f: f["date"]):
+        tale.add(*(f[c] for c in ("date", "id", "source", "point", "theme", "tokens", "matched", "tags")))
+    return [dict(zip(("date", "id", "source", "theme", "point", "support"), x, strict=True)) for x in tale.end(most)]
 
 
 def milestones(finds: DataFrame, most: int) -> DataFrame:
@@ -77,17 +106,35 @@ def milestones(finds: DataFrame, most: int) -> DataFrame:
     One milestone for each date of a query's finds, in order: a segment rather than a fact, that with the best score, new
     tokens counting 0.8 each; new is what no milestone before has told. A fact of the same day supports a segment unless it
     says the same. Of more than ``most`` dates evenly spaced ones stay, the first and the last among them. matched counts the
-    query's terms in a find, tags its tags. Finds are a search's bounded list for each query; empty points are left out.
+    query's terms in a find, tags its tags; empty points are left out. A query's finds pass through one task by dates, a task's
+    queries one after the other.
     """
     kinds = dict(finds.dtypes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{**r, "tokens": set() if r["tokens"] is None else set(r["tokens"])} for r in pdf.to_dict("records")]
-        out = choose_milestones(rows, most)
-        return pd.DataFrame([(pdf["query"].iloc[0], *(m[c] for c in ("date", "id", "source", "theme", "point", "support"))) for m in out], columns=["query", "date", "id", "source", "theme", "point", "support"])
+    names = ("query", "date", "id", "source", "theme", "point", "support")
+    schema = f"query {kinds['query']}, date string, id {kinds['id']}, source string, theme string, point string, support string"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tale, types = None, None, None
+
+        def told(out: list) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(x, types.get(c, pa.string())) for c, x in zip(names, columns, strict=True)], names)
+
+        for batch in batches:
+            types, out = {c: batch.schema.field(c).type for c in ("query", "id")}, []
+            columns = ("date", "id", "source", "point", "theme", "tokens", "matched", "tags")
+            for query, date, id, source, point, theme, tokens, matched, tags in zip(*(values(batch.column(c)) for c in ("query", *columns)), strict=True):
+                if tale is None or query != at:
+                    out += ((at, *x) for x in tale.end(most)) if tale else ()
+                    at, tale = query, _Tale()
+                tale.add(date, id, source, point, theme, set(tokens or ()), matched, tags)
+            if out:
+                yield told(out)
+        if tale:
+            yield told([(at, *x) for x in tale.end(most)])
 
     said = finds.where("trim(point) <> ''").select("query", "id", "source", F.coalesce("date", F.lit("")).alias("date"), "point", "theme", "tokens", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("tags", F.lit(0)).alias("tags"))
-    return said.groupBy("query").applyInPandas(fold, f"query {kinds['query']}, date string, id {kinds['id']}, source string, theme string, point string, support string")
+    return keyed(said, "query", F.col("date")).mapInArrow(fold, schema)
 
 
 def window_scores(rows: DataFrame, windows: DataFrame, fields: tuple[str, ...], slot_days: int = 30) -> DataFrame:
