@@ -37,3 +37,29 @@ def test_claims_marks_and_preflights(spark):
     ops = spark.createDataFrame([("f", "running"), ("a", "failed")], "key string, status string")
     want = spark.createDataFrame([(k, 2) for k in "abcdefg"], "key string, epoch int")
     assert {r.key: (r.verdict, r.pending, r.running) for r in preflight(conv, done, ops, want).collect()} == {"a": ("quiet", 0, 0), "b": ("epoch", 0, 0), "c": ("phase", 0, 0), "d": ("deleted", 0, 0), "e": ("pending", 2, 0), "f": ("running", 1, 1), "g": ("missing", 0, 0)}
+
+
+def test_newest_facts_of_tags_are_ranked_once_for_all_queries(spark, tmp_path, monkeypatch):
+    """k10 on 60 queries of seven tags: what is ranked are facts, not facts times queries."""
+    import datetime as dt
+
+    import duckdb
+
+    from turnstone.operators import sequences
+    from turnstone.plans import catalog
+
+    rng = random.Random(21)
+    day = lambda: dt.datetime(1992, 1, 1) + dt.timedelta(days=rng.randint(0, 2500))
+    orders = [(k, rng.randint(0, 200), "FOP"[k % 3], 1000.0 * k, day(), f"{k % 5 + 1}-P{k % 5}") for k in range(1500)]
+    vectors = [(k, [rng.gauss(0, 1) for _ in range(4)], k % 3) for k in range(6000) if k < 800 or k % 100 == 0]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ranked, plain = [], sequences.top_per_key
+    monkeypatch.setattr(sequences, "top_per_key", lambda rows, *a, **k: (ranked.append(rows.count()), plain(rows, *a, **k))[1])
+    got = {tuple(r) for r in catalog.QUERIES["k10_dense_then_floor"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for t in ("orders", "embeddings", "documents", "conversations", "events"):
+        path = f"{tmp_path}/{t}.parquet/*.parquet" if t in ("orders", "embeddings") else f"/root/testdata/sf0.001/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}'")
+    assert got == set(con.execute(catalog.ORACLE_SQL["k10_dense_then_floor"]).fetchall()) and len(got) > 1200
+    assert ranked and max(ranked) <= len(orders)

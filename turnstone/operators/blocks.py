@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a run and queries of a block, at most about; runs at least.
 RUN_ROWS, QUERY_ROWS, LEAST_RUNS = 50_000, 2_048, 8
+#: Queries of a block whose cosines are held at once. What rounding to six digits moves a cosine by, at most.
+SLICE, ROUNDING = 128, 5e-7
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -28,20 +30,32 @@ def _search(least: float, limit: int | None, matched: bool):
             code, names = pd.factorize(owners, sort=True)
             order = np.lexsort((ids, code))
             code, ids = code[order], ids[order]
-            cos = np.round((_matrix(rows.column("vec"))[order]) @ _matrix(queries.column("q")).T, 6)
+            x, q = _matrix(rows.column("vec"))[order], _matrix(queries.column("q"))
             if matched:
-                a = rows.column("group").to_pandas().to_numpy()[order]
-                cos[a[:, None] != queries.column("asker").to_pandas().to_numpy()[None, :]] = -2.0
+                a, asker = rows.column("group").to_pandas().to_numpy()[order], queries.column("asker").to_pandas().to_numpy()
             first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            best = np.maximum.reduceat(cos, first, axis=0)
-            for k, query in enumerate(queries.column("query").to_pylist()):
-                hit = np.flatnonzero(best[:, k] >= least)
-                if limit is not None and len(hit) > limit:
-                    hit = hit[np.argsort(-best[hit, k], kind="stable")[:limit]]
-                for o in hit.tolist():
-                    end = first[o + 1] if o + 1 < len(first) else len(code)
-                    at = first[o] + int(np.argmax(cos[first[o] : end, k]))
-                    out.append((query, names[o], int(ids[at]), float(best[o, k])))
+            ends = np.r_[first[1:], len(code)]
+            asked = queries.column("query").to_pylist()
+            for begin in range(0, len(asked), SLICE):
+                some = slice(begin, begin + SLICE)
+                cos = q[some] @ x.T
+                if matched:
+                    cos[asker[some][:, None] != a[None, :]] = -2.0
+                best = cos if len(first) == len(code) else np.maximum.reduceat(cos, first, axis=1)
+                for k, query in enumerate(asked[some]):
+                    # only what can be among the best after rounding is rounded
+                    low = least
+                    if limit is not None and 0 < limit < len(first):
+                        low = max(low, np.partition(best[k], len(first) - limit)[len(first) - limit])
+                    hit = np.flatnonzero(best[k] >= low - 3 * ROUNDING)
+                    near = np.round(best[k][hit], 6)
+                    hit, near = hit[near >= least], near[near >= least]
+                    if limit is not None and len(hit) > limit:
+                        top = np.argsort(-near, kind="stable")[:limit]
+                        hit, near = hit[top], near[top]
+                    for o, c in zip(hit.tolist(), near.tolist(), strict=True):
+                        at = first[o] + (int(np.argmax(np.round(cos[k, first[o] : ends[o]], 6))) if ends[o] - first[o] > 1 else 0)
+                        out.append((query, names[o], int(ids[at]), c))
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         return pa.table([pa.array(columns[0], queries.schema.field("query").type), pa.array(list(columns[1]), rows.schema.field("owner").type), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64())], ["query", "owner", "id", "cosine"])
 
@@ -54,7 +68,7 @@ def search_each(rows: DataFrame, queries: DataFrame, least: float, limit: int |
     An owner counts with its nearest row, of equally near ones the smallest id; the ``limit`` best owners over least count
     (None: all), by cosine to six digits, then owner. With a column group of rows and asker of queries only rows of the
     asker's group are looked at. Vectors are of one length without nulls; a zero vector has the cosine 0. Every run of rows
-    meets every block of queries; an owner's rows are in one run, so owners are small.
+    meets every block of queries, a slice of it at a time; an owner's rows are in one run, so owners are small.
     """
     matched = "group" in rows.columns
     n, m = rows.count(), queries.count()

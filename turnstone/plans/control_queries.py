@@ -8,6 +8,7 @@ from turnstone.operators import control, filters, sequences
 from turnstone.operators.blocks import search_each
 from turnstone.plans.registry import query
 from turnstone.sources import tables as T
+from turnstone.sources.shared import materialize
 from turnstone.sources.tables import sql
 
 
@@ -72,9 +73,13 @@ def k10(spark, d):
     f = filters.live(T.facts(spark, d))
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
     rows = f.select("id").join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "id")
-    dense = search_each(rows.select("id", F.col("id").alias("owner"), "vec"), asked, 0.1, 20).select("query", "id", F.lit("dense").alias("why"))
+    rows = materialize(rows.select("id", F.col("id").alias("owner"), "vec"), "facts")
+    dense = search_each(rows, asked, 0.1, 20).select("query", "id", F.lit("dense").alias("why"))
+    dense = materialize(dense, "dense")
+    # a query has one tag, so its newest facts are those of its tag: few rows, whatever the number of its facts and queries
     tag = F.concat(F.lit("y"), (1992 + F.expr("query div 100") % 7).cast("string"))
-    tagged = f.select("id", "when_date", F.explode(F.array_distinct("tags")).alias("tag")).join(asked.select("query", tag.alias("tag")), "tag")
-    newest = sequences.top_per_key(tagged.select("query", "id", "when_date"), "query", 15, F.desc("when_date"), F.col("id"))
+    wanted = asked.select("query", tag.alias("tag"))
+    tagged = f.select("id", "when_date", F.explode(F.array_distinct("tags")).alias("tag")).join(wanted.select("tag").distinct(), "tag", "left_semi")
+    newest = sequences.top_per_key(tagged.select("tag", "id", "when_date"), "tag", 15, F.desc("when_date"), F.col("id")).join(wanted, "tag")
     rest = newest.select("query", "id").join(dense.select("query", "id"), ["query", "id"], "left_anti")
     return dense.unionByName(rest.withColumn("why", F.lit("floor")))
