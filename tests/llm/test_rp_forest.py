@@ -91,7 +91,7 @@ def shuffled(spark):
 
 
 def test_waves_leave_no_shuffle_files_and_lose_nothing(spark, monkeypatch):
-    rows = corpus(6, 600)
+    rows = [(i, v, int(i >= 450)) for i, v, _ in corpus(6, 600)]  # one label's vectors are split in a round, the other's by tasks
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
     want, written = brute(rows, 0.98), []
     plain = rp_forest.materialize
@@ -99,10 +99,10 @@ def test_waves_leave_no_shuffle_files_and_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(rp_forest, "FEW", 0)
     monkeypatch.setattr(rp_forest, "materialize", lambda df, name, **k: (written.append(name), plain(df, name, **k))[1])
     before = shuffled(spark)
-    found = rp_forest.near_vectors(df, leaf_size=20, leaf_most=40, block=16, whole=60)
+    found = rp_forest.near_vectors(df, leaf_size=20, leaf_most=40, block=16, whole=300)
     time.sleep(1)
     assert shuffled(spark) - before < 100_000  # all trees' vectors are six times 600 of 96 bytes at least
     got = sorted(map(tuple, found.collect()), key=str)
     assert [g[0] for g in got] == [w[0] for w in want] and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
     assert sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want)
-    assert written.count("found") > 4 and written.count("leaves") > 4 and written.count("forest") > 4
+    assert written.count("found") > 4 and written.count("leaves") >= 4 and written.count("forest") > 4

@@ -9,6 +9,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,19 +48,19 @@ def _valid(dtype: str):
 
 
 def _checked(batch: pa.RecordBatch, dtype: str) -> pa.RecordBatch:
-    ids, labels, digests, vecs = [], [], [], []
-    for i, label, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-        v = v.values if v.is_valid else None
-        if i is None or label is None or v is None or not len(v) or v.null_count:
-            continue
-        x = v.to_numpy(zero_copy_only=False).astype(dtype)
-        if np.isfinite(x).all() and x.any():
-            raw = (x + 0.0).tobytes()
-            ids.append(i)
-            labels.append(str(label))
-            digests.append(xxhash.xxh3_128_digest(raw))
-            vecs.append(raw)
-    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary())], ["id", "label", "digest", "vec"])
+    ids, labels, vecs = batch.columns
+    ends = np.cumsum(pc.list_value_length(vecs).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.r_[0, ends[:-1]]
+    # a null component is NaN; + 0.0 makes -0.0 equal to 0.0
+    x = vecs.flatten().to_numpy(zero_copy_only=False).astype(dtype) + np.dtype(dtype).type(0)
+    finite, some = (np.r_[0, np.cumsum(y)] for y in (np.isfinite(x), x != 0))
+    good = (finite[ends] - finite[starts] == ends - starts) & (some[ends] > some[starts])
+    good &= np.asarray(ids.is_valid()) & np.asarray(labels.is_valid())
+    data, size = x.tobytes(), x.itemsize
+    raws = [data[a * size : b * size] for a, b in zip(starts[good].tolist(), ends[good].tolist(), strict=True)]
+    mask = pa.array(good)
+    digests = pa.array([xxhash.xxh3_128_digest(raw) for raw in raws], pa.binary())
+    return pa.record_batch([ids.filter(mask).cast(pa.int64()), labels.filter(mask).cast(pa.string()), digests, pa.array(raws, pa.binary())], ["id", "label", "digest", "vec"])
 
 
 def _units(vecs, dtype: str) -> np.ndarray:
